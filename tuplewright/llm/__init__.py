@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("media", "packing", "quality")
+MODULES = ("sharding", "media", "packing", "simhash", "quality")
 
 
 def _gather(name: str) -> dict:
