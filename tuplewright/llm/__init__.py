@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("sharding", "media", "packing", "simhash", "quality")
+MODULES = ("sharding", "media", "packing", "simhash", "pii", "quality")
 
 
 def _gather(name: str) -> dict:
