@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("sharding", "media", "packing", "simhash", "pii", "toxicity", "licences", "quality")
+MODULES = ("sharding", "media", "packing", "simhash", "pii", "toxicity", "licences", "quality", "bpe")
 
 
 def _gather(name: str) -> dict:
