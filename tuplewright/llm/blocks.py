@@ -17,7 +17,9 @@ rows; they are saved before use.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark import TaskContext
 
 from tuplewright.llm.common import texts
 
-BLOCK_BYTES = 28 << 20
+BLOCK_BYTES = 20 << 20
 SHARD_WORDS = 400_000
 SCHEMA = "block long, shard int, data binary"
 
@@ -89,22 +91,19 @@ class Block:
         return cls([i if k else None for i, k in zip(ids, known, strict=True)], lengths, from_planes(data[at : at + 4 * t]), from_planes(data[at + 4 * t : at + 4 * (t + d)]))
 
 
-def dictionary(lists: Iterator[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def dictionary(lists: Iterator[list]) -> tuple[list, np.ndarray, np.ndarray]:
     """Distinct words by falling count, the lengths of the lists, and all words as places in the dictionary."""
-    places: dict[bytes, int] = {}
-    lengths, parts = [], []
-    for words in lists:
-        lengths.append(len(words))
-        parts.append(np.array([places.setdefault(w, len(places)) for w in words], np.uint32))
+    places = defaultdict(count().__next__)
+    parts = [np.fromiter(map(places.__getitem__, words), np.uint32, len(words)) for words in lists]
     tokens = np.concatenate([np.zeros(0, np.uint32), *parts])
     order = np.argsort(-np.bincount(tokens, minlength=len(places)), kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     words = list(places)
-    return [words[i] for i in order.tolist()], np.array(lengths, np.int64), rank[tokens]
+    return [words[i] for i in order.tolist()], np.array([len(p) for p in parts], np.int64), rank[tokens]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[bytes]], shards: int, most: int = BLOCK_BYTES, extra: Callable | None = None) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list], shards: int, most: int = BLOCK_BYTES, extra: Callable | None = None) -> Iterator[pa.RecordBatch]:
     """Batches of doc_id and text to rows of blocks. extra(block, words) gives a bytes value for each shard's share beside the words, from their places."""
     base, made = TaskContext.get().partitionId() << 32, 0
     ids: list[int | None] = []
@@ -114,8 +113,10 @@ def blocks(batches: Iterator[pa.RecordBatch], split: Callable[[str], list[bytes]
     def flush() -> pa.RecordBatch:
         nonlocal made, ids, held, size
         words, lengths, tokens = dictionary(split(t) for t in held)
+        words = [w.encode() if isinstance(w, str) else w for w in words]
         shard = shard_of(words, shards)
-        order = np.array(sorted(range(len(words)), key=lambda i: (shard[i], words[i])), np.int64)
+        by_word = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        order = by_word[np.argsort(shard[by_word], kind="stable")]
         block = Block(ids, lengths, tokens, order)
         rows = [(-1, block.data())]
         edges = np.searchsorted(shard[order], np.arange(shards + 1)).tolist() if len(order) else [0] * (shards + 1)
