@@ -17,9 +17,10 @@ def test_elias_fano_against_plain_arrays():
         ef = L.EliasFano.of(v, universe)
         assert (ef.access(np.arange(n)) == v).all()
         x = np.concatenate([v, rng.integers(0, universe, 200).astype(np.uint64)])
-        assert (ef.successor(x) == np.searchsorted(v, x, "left")).all()
+        at, same = ef.successor(x)
+        assert (at == np.searchsorted(v, x, "left")).all() and (same == np.isin(x, v)).all()
     dense = np.concatenate([np.arange(5000), [10**9]]).astype(np.uint64)
-    assert (L.EliasFano.of(dense, 10**9 + 1).successor(dense) == np.arange(5001)).all()
+    assert (L.EliasFano.of(dense, 10**9 + 1).successor(dense)[0] == np.arange(5001)).all()
 
 
 def test_trie_in_a_mapped_file(tmp_path):
@@ -41,6 +42,8 @@ def test_trie_in_a_mapped_file(tmp_path):
         assert (code == L.ABSENT) == (k == 0) and (p < 0) == (c == 99)
         if k:
             assert abs(trie.book[code] - math.log10((k - d) / totals[c])) < 0.02
+    first = trie.pointers.access(np.arange(trie.contexts.n + 1)).astype(int)
+    assert first[0] == 0 and first[-1] == trie.words.n and (np.diff(first) > 0).all()
     assert (trie.find(place[:5], np.array([9999] * 5, np.uint64)) == L.ABSENT).all()
 
 

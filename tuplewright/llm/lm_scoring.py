@@ -9,8 +9,8 @@ hashing makes shards alike, and a context's mass always adds up to one). A text
 and ends with the end token; a word not in training has, and gives as a context, the base alone.
 
 Method: pairs are kept in tries of two levels. Level one has the contexts, level two each context's
-successors beside one another; both and the pointers between them are monotone sequences in Elias-Fano
-form (low bits packed, high bits unary). Discounted probabilities and back-off weights are 8-bit codes of
+successors beside one another, as numbers relative to the context's place; both and the pointers between
+them are monotone sequences in Elias-Fano form (low bits packed, high bits unary). Discounted probabilities and back-off weights are 8-bit codes of
 a codebook. The levels are written to one file and memory-mapped; a query finds its context by successor
 search, then its word by successor search relative to the context's place, by select on the high bits
 and bisection of the low bits, for arrays of queries at a time.
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 from tuplewright.llm import blocks as B
 from tuplewright.llm.common import by_bytes, documents, saved
 
-SHARD_PAIRS = 4_000_000
+SHARD_PAIRS = 2_500_000
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1
 SCHEMA = "block long, shard int, data binary, a long, b long, x double"
@@ -57,6 +57,10 @@ UNKNOWN, END, START, FIRST = 0, 1, 2, 3
 ABSENT = 255
 
 
+#: the place of the k-th one of each byte
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
+
+
 class EliasFano:
     """A monotone sequence below ``universe`` (uint64 arrays). Parts are plain arrays, so they can be memory-mapped."""
 
@@ -93,9 +97,13 @@ class EliasFano:
         for a in range(0, len(k), 1 << 15):
             part = k[a : a + (1 << 15)]
             word = np.searchsorted(directory, part, "right") - 1
-            bits = np.unpackbits(np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") ^ flip
-            rank = np.cumsum(bits, axis=1, dtype=np.uint8)
-            out[a : a + len(part)] = word * 64 + np.argmax(rank == (part - directory[word] + 1)[:, None], axis=1)
+            eight = np.ascontiguousarray(self.high[word]).view(np.uint8).reshape(-1, 8) ^ np.uint8(255 * flip)
+            sums = np.cumsum(np.bitwise_count(eight), axis=1, dtype=np.int64)
+            rank = part - directory[word]
+            byte = (sums <= rank[:, None]).sum(1)
+            row = np.arange(len(part))
+            rank -= np.where(byte > 0, sums[row, byte - 1], 0)
+            out[a : a + len(part)] = word * 64 + byte * 8 + _IN_BYTE[eight[row, byte], rank]
         return out
 
     def _low(self, i: np.ndarray) -> np.ndarray:
@@ -112,8 +120,8 @@ class EliasFano:
         high = self._select(i, self.ones, 0) - i
         return (high.astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first place whose value is x or more (n if there is none)."""
+    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first place whose value is x or more (n if there is none), and whether it is x."""
         h = (x >> np.uint64(self.bits)).astype(np.int64)
         rest = x & np.uint64((1 << self.bits) - 1)
         end = self._select(h, self.zeros, 1) - h  # values with high part h or less
@@ -128,7 +136,9 @@ class EliasFano:
             less[open_] = self._low(middle[open_]) < rest[open_]
             left = np.where(open_ & less, middle + 1, left)
             right = np.where(open_ & ~less, middle, right)
-        return left
+        same = left < end
+        same[same] = self._low(left[same]) == rest[same]
+        return left, same
 
 
 def quantised(values: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +200,8 @@ class Trie:
             return np.full(len(contexts), -1)
         inside = contexts <= self.contexts.access(np.array([self.contexts.n - 1]))[0]
         out = np.full(len(contexts), -1)
-        at = self.contexts.successor(contexts[inside])
-        out[inside] = np.where(self.contexts.access(at) == contexts[inside], at, -1)
+        at, same = self.contexts.successor(contexts[inside])
+        out[inside] = np.where(same, at, -1)
         return out
 
     def find(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -199,11 +209,7 @@ class Trie:
         out = np.full(len(place), ABSENT, np.uint8)
         ask = np.flatnonzero((place >= 0) & (word < self.universe))
         if len(ask):
-            value = place[ask].astype(np.uint64) * np.uint64(self.universe) + word[ask]
-            at = self.words.successor(value)
-            within = at < self.pointers.access(place[ask] + 1).astype(np.int64)
-            ask, at, value = ask[within], at[within], value[within]
-            same = self.words.access(at) == value
+            at, same = self.words.successor(place[ask].astype(np.uint64) * np.uint64(self.universe) + word[ask])
             out[ask[same]] = self.codes[at[same]]
         return out
 
@@ -353,7 +359,9 @@ def _send_pairs(texts: int, shards: int, most: int):
 
 def build_trie(context: np.ndarray, word: np.ndarray, times: np.ndarray, total: np.ndarray) -> Trie:
     """The trie of pairs seen in training. total: c(v) of each row's context. Rows of one pair are summed."""
-    order = np.lexsort((word, context))
+    wide = int(word.max(initial=0)) + 1
+    one_key = int(context.max(initial=0)) * wide < 1 << 63
+    order = np.argsort(context * np.uint64(wide) + word) if one_key else np.lexsort((word, context))
     context, word, times, total = context[order], word[order], times[order], total[order]
     new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(context) else np.zeros(0, np.int64)
     times = np.add.reduceat(times.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
