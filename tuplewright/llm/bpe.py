@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 Method: the distinct words (matches of the splitting pattern) are encoded by Spark higher-order functions.
-A word's bytes are an array of one-character strings (byte b as U+00b); a fold over at most its length
-merges the leftmost pair of least rank until none has a rank, holding the pieces and the ranks of their
-pairs, of which a merge changes two. Ranks come from a literal map of the vocabulary: ``BUCKETS`` small
-maps in a literal array, addressed by the key's hash, since a lookup in one large map literal is a scan.
+A word's bytes are characters U+0000 to U+00FF; a fold over at most its length merges the leftmost pair
+of least rank until none has a rank, holding the boundaries between pieces and the ranks of their pairs,
+of which a merge changes two. Ranks come from a literal map of the vocabulary: ``BUCKETS`` small maps in a
+literal array, addressed by the key's hash, since a lookup in one large map literal is a scan.
 Decoding takes the binary pieces of ids from a literal array and concatenates them.
 
 Plan. A word is encoded once for the whole corpus, not once a text. Documents become blocks with a
@@ -36,6 +36,8 @@ from tuplewright.llm.common import by_bytes, documents, saved
 
 BUCKETS = 1 << 15
 NO_RANK = 2**31 - 1
+SHIFT = 2**32
+ABSENT = NO_RANK * SHIFT
 
 
 @lru_cache(maxsize=2)
@@ -60,36 +62,60 @@ def rank_map(pieces: list[bytes]) -> Column:
     return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
 
 
-def encode_word(word: Column, ranks: Column) -> Column:
-    """Ids of one word, a binary column."""
+def encode_word(word: Column, rank_maps: Column) -> Column:
+    """Ids of one word, a binary column. The plan holds the literal once: the rest refers to it through a lambda's variable.
+
+    The fold's state are the boundaries b between pieces (byte offsets, both ends among them) and for each
+    inner one the entry rank * 2**32 + offset of the pair that it parts; the least entry is the leftmost
+    pair of least rank. A merge drops its boundary and renews the entries of the two beside it.
+    """
+    return _let(rank_maps, lambda ranks: _encoded(word, ranks))
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _encoded(word: Column, ranks: Column) -> Column:
     rank = lambda piece: F.coalesce(F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece), F.lit(NO_RANK))
-    let = lambda value, body: F.transform(F.array(value), body)[0]
     none = F.array().cast("array<int>")
+    text = F.decode(word, "ISO-8859-1")
+    piece = lambda a, b: F.substring(text, a + 1, b - a)
+    entry = lambda a, at, b: rank(piece(a, b)).cast("long") * SHIFT + at
+
+    def merged(s: Column, least: Column) -> Column:
+        at = (least % SHIFT).cast("int")
+
+        def beside(p: Column) -> Column:
+            """p: the boundary's place in b, from 1."""
+            b = s["b"]
+            left, right = F.get(b, p - 2), F.get(b, p)
+            new_left = F.when(p > 2, entry(F.get(b, p - 3), left, right)).otherwise(ABSENT)
+            new_right = F.when(p + 1 < F.size(b), entry(left, right, F.get(b, p + 1))).otherwise(ABSENT)
 
-    def merged(s: Column, p: Column) -> Column:
-        """The state after a merge of pieces p and p + 1 (from 1)."""
+            def renewed(x: Column) -> Column:
+                offset = lambda e: e % SHIFT
+                put = lambda e: F.when(e == least, F.lit(ABSENT)).when(offset(e) == x["l"], x["nl"]).when(offset(e) == x["r"], x["nr"]).otherwise(e)
+                return F.transform(s["e"], put)
 
-        def put(new: Column) -> Column:
-            n = F.size(s["w"])
-            left = F.when(p > 1, F.concat(F.slice(s["r"], F.lit(1), p - 2), F.array(rank(F.concat(s["w"][p - 2], new))))).otherwise(none)
-            right = F.when(p + 1 < n, F.concat(F.array(rank(F.concat(new, s["w"][p + 1]))), F.slice(s["r"], p + 2, n))).otherwise(none)
-            return F.struct(F.concat(F.slice(s["w"], F.lit(1), p - 1), F.array(new), F.slice(s["w"], p + 2, n)).alias("w"), F.concat(left, right).alias("r"))
+            around = F.struct(left.alias("l"), right.alias("r"), new_left.alias("nl"), new_right.alias("nr"))
+            return F.struct(F.array_remove(b, at).alias("b"), _let(around, renewed).alias("e"))
 
-        return let(F.concat(s["w"][p - 1], s["w"][p]), put)
+        return _let(F.array_position(s["b"], at).cast("int"), beside)
 
     def step(s: Column, _: Column) -> Column:
-        return let(F.array_min(s["r"]), lambda m: F.when(m < NO_RANK, let(F.array_position(s["r"], m).cast("int"), lambda p: merged(s, p))).otherwise(s))
+        return _let(F.array_min(s["e"]), lambda m: F.when(m < NO_RANK * SHIFT, merged(s, m)).otherwise(s))
 
-    def fold(pieces: Column) -> Column:
-        n = F.size(pieces)
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.concat(pieces[i], pieces[i + 1])))).otherwise(none)
-        done = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.struct(pieces.alias("w"), pairs.alias("r")), step)
-        return F.transform(done["w"], rank)
+    def fold(n: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: entry(i - 1, i, i + 1))
+        start = F.struct(F.sequence(F.lit(0), n).alias("b"), pairs.alias("e"))
+        pieces = lambda b: F.zip_with(F.slice(b, F.lit(1), F.size(b) - 1), F.slice(b, F.lit(2), F.size(b) - 1), lambda x, y: rank(piece(x, y)))
+        return _let(F.aggregate(F.sequence(F.lit(2), n), start, step)["b"], pieces)
 
-    text = F.decode(word, "ISO-8859-1")
     # a word that is a piece itself needs no fold
-    whole = let(rank(text), lambda r: F.when(r < NO_RANK, F.array(r)).otherwise(fold(F.split(text, ""))))
-    return F.when(F.octet_length(word) == 0, none).otherwise(whole)
+    n = F.octet_length(word)
+    whole = _let(rank(text), lambda r: F.when((r < NO_RANK) | (n == 1), F.array(r)).otherwise(fold(n)))
+    return F.when(n == 0, none).otherwise(whole)
 
 
 def piece_array(pieces: list[bytes]) -> Column:
@@ -108,12 +134,23 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.withColumn("ids", encode_word(F.col("word"), rank_map(vocabulary(path))))
 
 
+def splitter(pattern: str):
+    """A function from a text to its matches. The standard module splits plain ASCII with the public pattern faster, to the same words."""
+    import re
+
+    import public_tokenizers as P
+    import regex
+
+    find = regex.compile(pattern).findall
+    if pattern != P.PATTERN:
+        return find
+    ascii_find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall
+    return lambda text: ascii_find(text) if text.isascii() else find(text)
+
+
 def _block_rows(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
-        yield from B.blocks(by_bytes(batches), lambda text: [w.encode() for w in find(text)], shards)
+        yield from B.blocks(by_bytes(batches), splitter(pattern), shards)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, B.SCHEMA)
 
