@@ -27,12 +27,13 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuplewright.llm import blocks as B
-from tuplewright.llm.common import by_bytes, documents, saved
+from tuplewright.llm.common import by_bytes, documents, saved, saved_by
 
 BUCKETS = 1 << 15
 NO_RANK = 2**31 - 1
@@ -162,9 +163,23 @@ def _distinct(table: pa.Table) -> pa.Table:
     return pa.table({"shard": pa.array([table.column("shard")[0].as_py()] * len(words), pa.int32()), "word": pa.array(list(words), pa.binary())})
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of words and their ids to compressed lists of both, some for each shard."""
+    for batch in batches:
+        shards = batch.column(0).to_numpy()
+        for shard in np.unique(shards).tolist():
+            part = batch.filter(pa.array(shards == shard))
+            data = B.squeeze(B.joined([*part.column(1).to_pylist(), *(x.encode() for x in part.column(2).to_pylist())]))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], ["shard", "data"])
+
+
 def _look_up(shares: pa.Table, encoded: pa.Table) -> pa.Table:
     """Each block's share of words to a share of their ids, as decimal numbers with commas."""
-    ids = dict(zip(encoded.column("word").to_pylist(), encoded.column("ids").to_pylist(), strict=True))
+    ids: dict[bytes, str] = {}
+    for data in encoded.column("data").to_pylist():
+        both = B.parted(B.expand(data))
+        half = len(both) // 2
+        ids.update(zip(both[:half], (x.decode() for x in both[half:]), strict=True))
     out = [B.squeeze("\n".join([ids[w] for w in B.parted(B.expand(data))]).encode()) for data in shares.column("data").to_pylist()]
     return pa.table({"block": shares.column("block"), "shard": shares.column("shard"), "data": pa.array(out, pa.binary())})
 
@@ -174,11 +189,12 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, finish, schema:
     spark = docs.sparkSession
     if shards is None:  # one for about each block's worth of words, at least two a core
         shards = max(2 * spark.sparkContext.defaultParallelism, docs.select("doc_id").rdd.getNumPartitions())
-    rows = saved(_block_rows(docs, pattern, shards), "bpe-blocks")
+    rows = saved_by(_block_rows(docs, pattern, shards), "bpe-blocks", "block", shards)
     shares = rows.where("shard >= 0")
     distinct = shares.select("shard", "data").groupBy("shard").applyInArrow(_distinct, "shard int, word binary")
     encoded = saved(encode_words(distinct, path).select("shard", "word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")), "bpe-words")
-    found = shares.groupBy("shard").cogroup(encoded.groupBy("shard")).applyInArrow(_look_up, B.SCHEMA)
+    gathered = encoded.mapInArrow(_gathered, "shard int, data binary")
+    found = shares.groupBy("shard").cogroup(gathered.groupBy("shard")).applyInArrow(_look_up, B.SCHEMA)
     names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
 
     def read_off(docs: pa.Table, found: pa.Table) -> pa.Table:
