@@ -34,6 +34,7 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 HOST_RATE = 0.5
+BROADCAST_HOSTS = 10_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 
@@ -108,6 +109,29 @@ def verdicts(docs: DataFrame, host: str = "source", rate: float = HOST_RATE) ->
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= rate))
 
 
+def base_fails(words: int, repeats: int) -> bool:
+    return words < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * words
+
+
+def kept(docs: DataFrame, host: str = "source", rate: float = HOST_RATE) -> DataFrame:
+    """The rows of docs that pass, with all their columns.
+
+    Texts are measured twice, once for the hosts' rates and once as they pass by, instead of being joined
+    to their measures, which would move every text. Rejected hosts are broadcast up to ``BROADCAST_HOSTS``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            found = [measure(t) for t in texts(batch)]
+            yield batch.filter(pa.array([not base_fails(m[0], m[4]) for m in found], pa.bool_()))
+
+    rates = host_rates(with_rules(saved(measures(docs, host), "measures")))
+    bad = saved(rates.where(F.col("rate") > rate).select(F.col("host").alias("_host")), "hosts")
+    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        bad = F.broadcast(bad)
+    return docs.mapInArrow(run, docs.schema).join(bad, F.col(host).cast("string").eqNullSafe(F.col("_host")), "left_anti")
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
 

@@ -197,6 +197,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, pairwise: int = PAIRW
     return marked.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
+def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Of each group of near-duplicates the row of least doc_id, with all its columns. Of rows with one id and text one stays; rows without id stay."""
+    marked = saved(near_duplicates(docs, radius), "groups")
+    gone = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    again = marked.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    if again.isEmpty():
+        return out
+    again = saved(again, "repeated")
+    once = out.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
+    return once.unionByName(out.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

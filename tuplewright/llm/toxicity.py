@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tuplewright.llm.common import by_bytes, doc_crc, documents, texts
 
-SAMPLE = 6000
+SAMPLE = 4500
 WINDOWS = (3, 6, 12, 40)
 PAIR_DISCOUNT = 16.0
 THRESHOLD = 0.3
@@ -210,6 +210,19 @@ def scored(docs: DataFrame, model: ClassModels, extra: list[str] | None = None)
     return chosen.mapInArrow(run, f"{schema}, score double")
 
 
+def kept(docs: DataFrame, model: ClassModels, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score is below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in by_bytes(batches):
+            x = np.array([m.features(word_hashes(t)) for t in texts(batch)]).reshape(-1, 1 + len(WINDOWS))
+            yield batch.filter(pa.array(m.score(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
