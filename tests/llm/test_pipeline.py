@@ -60,6 +60,6 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_nulls_and_empty(spark, tmp_path):
     for k, given in enumerate((cases.rows(), [])):
         folder = cases.stored(spark, tmp_path / str(k), given)
-        spark.createDataFrame([(1, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
         got = corpus_pipeline.run(spark, folder).collect()
         assert bool(got) == bool(given)
