@@ -46,3 +46,13 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert bpe.op10_bpe(spark, cases.stored(spark, tmp_path, [])).count() == 0
+
+
+def test_splitters_agree_on_every_character():
+    import regex
+
+    find, split = regex.compile(P.PATTERN).findall, bpe.splitter(P.PATTERN)
+    for a in range(0, 0x110000, 256):
+        chars = [chr(c) for c in range(a, a + 256) if not 0xD800 <= c < 0xE000]
+        for text in (f"{c}x1_ {c}{c} {c}" for c in chars):
+            assert split(text) == find(text), hex(ord(text[0]))

@@ -136,7 +136,11 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
 
 
 def splitter(pattern: str):
-    """A function from a text to its matches. The standard module splits plain ASCII with the public pattern faster, to the same words."""
+    """A function from a text to its matches.
+
+    With the public pattern the standard module splits faster, to the same words, texts of Latin letters
+    whose numbers are decimal digits (its classes can't tell other numbers from letters).
+    """
     import re
 
     import public_tokenizers as P
@@ -145,8 +149,12 @@ def splitter(pattern: str):
     find = regex.compile(pattern).findall
     if pattern != P.PATTERN:
         return find
-    ascii_find = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall
-    return lambda text: ascii_find(text) if text.isascii() else find(text)
+    short = "'s|'t|'re|'ve|'m|'ll|'d"
+    ascii_find = re.compile(rf"{short}| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall
+    space = r"\t-\r \x85\xa0"  # of the characters up to U+024F
+    wide_find = re.compile(rf"{short}| ?[^\W\d_]+| ?\d+| ?(?:_|[^\w{space}])+|[{space}]+(?![^{space}])|[{space}]+").findall
+    other = re.compile("[\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]").search
+    return lambda text: ascii_find(text) if text.isascii() else find(text) if other(text) else wide_find(text)
 
 
 def _block_rows(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
@@ -198,18 +206,18 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, finish, schema:
     names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
 
     def read_off(docs: pa.Table, found: pa.Table) -> pa.Table:
-        pieces = vocabulary(path)
+        pieces = {str(i): p for i, p in enumerate(vocabulary(path))}
         shares = [(s, B.expand(d).decode().split("\n")) for s, d in zip(found.column("shard").to_pylist(), found.column("data").to_pylist(), strict=True)]
         out = []
         for data in docs.column("data").to_pylist():
             block = B.Block.of(data)
             ids = B.answers(block, shares)
-            plain = [b"".join([pieces[int(i)] for i in x.split(",")]) for x in ids]
-            at = 0
+            plain = np.array([b"".join(map(pieces.__getitem__, x.split(","))) for x in ids], object)
+            ids, at = np.array(ids, object), 0
             for doc, n in zip(block.ids, block.lengths.tolist(), strict=True):
-                mine = block.tokens[at : at + n].tolist()
+                mine = block.tokens[at : at + n]
                 at += n
-                out.append(finish(doc, [ids[i] for i in mine], [plain[i] for i in mine]))
+                out.append(finish(doc, ids[mine].tolist(), plain[mine].tolist()))
         return pa.table({name: [r[k] for r in out] for k, name in enumerate(names)}, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
