@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("tuplewright.operators.idioms",)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= import_module(m).QUERIES
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    out: dict = {}
+    for m in MODULES:
+        out |= import_module(m).ORACLES
+    return out
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
