@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tuplewright.operators.idioms",)
+MODULES = ("tuplewright.operators.idioms", "tuplewright.operators.recursive")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """The closure of trade between nations, by the rule engine."""
+    from tuplewright.operators import recursive
+
+    return recursive.tc_linear(spark, sf_dir)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +29,7 @@ from tuplewright.functions import functors
 from tuplewright.plans.language import Aggregate, Atom, Call, Compare, Const, Program, Relation, Rule, RuleError, Var, all_variables, parse, used, variables
 
 COMPACT_AFTER = 8
+PARALLEL = 6
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,15 +52,15 @@ class Stored:
         self.base = f"{shared_dir(spark)}/relations/{name.replace('.', '_')}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
 
-    def write(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """The rows as written, not yet part of the relation, and their count."""
+    def write(self, df: DataFrame, counted: bool = True) -> tuple[DataFrame, int, str]:
+        """The rows as written, not yet part of the relation, their count (1 if it isn't asked for), and their place."""
         path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(self.schema).parquet(path)
-        return out, out.count()
+        return out, out.count() if counted else 1, path
 
-    def add(self, df: DataFrame) -> None:
-        self.paths += [str(f) for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}]
+    def add(self, path: str) -> None:
+        self.paths.append(path)
         if len(self.paths) > COMPACT_AFTER:
             path = f"{self.base}/all-{uuid.uuid4().hex[:8]}"
             self.all().write.parquet(path)
@@ -372,7 +373,8 @@ class Compiler:
     def aggregate(self, x: Aggregate, state: DataFrame | None, outer: list[str], name: str) -> DataFrame:
         """state with the aggregate's value for each binding of the outer variables."""
         seed = state.select(*outer).distinct() if outer else None
-        inner = set().union(*map(all_variables, x.body)) | (all_variables(x.value) if x.value is not None else set())
+        blank = {v for b in x.body if isinstance(b, Atom) and b.negated for v in variables(b) if v.startswith("_")}
+        inner = set().union(*map(all_variables, x.body)) - blank | (all_variables(x.value) if x.value is not None else set())
         tables = [self.relation(b.relation) if isinstance(b, Atom) else None for b in x.body]
         rows = self.body(x.body, tables, inner, seed=seed).distinct()
         value = self.term(x.value, {v: F.col(f"`{v}`") for v in rows.columns}) if x.value is not None else F.lit(1)
@@ -398,10 +400,15 @@ class Engine(Compiler):
         self.most_rounds = most_rounds
         self.stored: dict[str, Stored] = {}
         self.rounds: list[Round] = []
+        derived = {h.relation for r in self.program.rules for h in r.heads}
+        #: relations that are facts alone are read where they are
+        self.plain = {n: self.given(n).distinct() for n in self.program.relations if n in self.facts and n not in derived and self.program.relations[n].columns}
         #: called with (relation, its new tuples, round) as they are found
         self.on_delta = None
 
     def relation(self, name: str) -> DataFrame:
+        if name in self.plain:
+            return self.plain[name]
         return self.stored[name].all()
 
     def given(self, name: str) -> DataFrame | None:
@@ -437,7 +444,7 @@ class Engine(Compiler):
                 out = out.where(F.col(f"`{f.name}`").isNotNull())
         return out
 
-    def _new(self, name: str, parts: list[DataFrame], known: bool) -> tuple[DataFrame, int]:
+    def _new(self, name: str, parts: list[DataFrame], counted: bool) -> tuple[DataFrame, int, str]:
         """The tuples of the parts that the relation lacks, written."""
         store, relation = self.stored[name], self.program.relations[name]
         out = parts[0]
@@ -446,7 +453,7 @@ class Engine(Compiler):
         if not relation.columns:
             out = out.limit(1)
         out = out.distinct()
-        if known and store.paths:
+        if store.paths:
             if relation.columns:
                 out = out.join(store.all(), out.columns, "left_anti")
             elif store.all().count():
@@ -457,7 +464,7 @@ class Engine(Compiler):
             out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
             if store.paths:
                 out = out.join(store.all().select(*keys), keys, "left_anti")
-        return store.write(out)
+        return store.write(out, counted)
 
     def _evaluate(self, group: list[str], delta: dict[str, DataFrame] | None = None) -> None:
         """Brings a stratum to its fixpoint. delta: new tuples of lower relations, when only what follows from them is to be added."""
@@ -495,13 +502,14 @@ class Engine(Compiler):
         with ThreadPoolExecutor(max_workers=4) as pool:
             while True:
                 work = {r: p for r, p in parts.items() if p}
-                made = dict(zip(work, pool.map(lambda r: self._new(r, work[r], True), work), strict=True))
-                fresh = {r: df for r, (df, n) in made.items() if n}
+                counted = any(recursive) or delta is not None
+                made = dict(zip(work, pool.map(lambda r: self._new(r, work[r], counted), work), strict=True))
+                fresh = {r: df for r, (df, n, _) in made.items() if n}
                 for r, df in fresh.items():
-                    self.stored[r].add(df)
+                    self.stored[r].add(made[r][2])
                     if delta is not None:
                         delta[r] = delta[r].unionByName(df) if r in delta else df
-                self.rounds.append(Round(tuple(group), number, {r: n for r, (_, n) in made.items()}))
+                self.rounds.append(Round(tuple(group), number, {r: n for r, (_, n, _) in made.items()} if counted else {}))
                 if self.on_delta:
                     for r, df in fresh.items():
                         self.on_delta(r, df, number)
@@ -519,9 +527,23 @@ class Engine(Compiler):
     def run(self, *wanted: str) -> Result:
         """Evaluates what the wanted relations need (by default the outputs, or else everything)."""
         wanted = wanted or tuple(self.program.outputs) or tuple(self.program.relations)
-        for group in strata(self.program, wanted):
-            if not all(r in self.stored for r in group):
-                self._evaluate(group)
+        groups = [g for g in strata(self.program, wanted) if not all(r in self.stored or r in self.plain for r in g)]
+        needs = {r: {u for q in self.program.rules for h in q.heads if h.relation == r for x in q.body for u, _ in used(x)} for g in groups for r in g}
+        done: dict[str, Future] = {}
+
+        def evaluate_after(group: list[str], before: list[Future]) -> None:
+            for f in before:
+                f.result()
+            self._evaluate(group)
+
+        # groups come after what they need, so that a waiting one never holds up another
+        with ThreadPoolExecutor(max_workers=PARALLEL) as pool:
+            for group in groups:
+                before = {id(done[u]): done[u] for r in group for u in needs[r] if u in done and u not in group}
+                future = pool.submit(evaluate_after, group, list(before.values()))
+                done |= dict.fromkeys(group, future)
+            for f in done.values():
+                f.result()
         return Result({r: self.relation(r) for r in wanted}, self.rounds)
 
     def insert(self, name: str, rows: DataFrame) -> dict[str, int]:
@@ -529,6 +551,9 @@ class Engine(Compiler):
         schema = self.schema(self.program.relations[name])
         rows = rows.select(*(F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, schema.fields, strict=True)))
         self.facts[name] = self.facts[name].unionByName(rows.toDF(*self.facts[name].columns)) if name in self.facts else rows
+        fact_only = name in self.plain
+        if fact_only:
+            self.plain[name] = self.plain[name].unionByName(rows).distinct()
         delta, changed = {name: rows}, {name}
         before = len(self.rounds)
         for group in strata(self.program, list(self.stored)):
