@@ -546,6 +546,12 @@ class Engine(Compiler):
                 f.result()
         return Result({r: self.relation(r) for r in wanted}, self.rounds)
 
+    def stored_rows(self, name: str, rows: DataFrame) -> DataFrame:
+        """Rows of a relation, written to the shared folder."""
+        schema = self.schema(self.program.relations[name])
+        rows = rows.select(*(F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, schema.fields, strict=True)))
+        return Stored(self.spark, f"{name}-batch", schema).write(rows.distinct())[0]
+
     def insert(self, name: str, rows: DataFrame) -> dict[str, int]:
         """Adds facts after a run and derives what follows. Relations that negate or aggregate anything that changed are evaluated anew."""
         schema = self.schema(self.program.relations[name])
