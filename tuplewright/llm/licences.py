@@ -145,4 +145,20 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_licences": op8_licences}
-ORACLES: dict[str, str] = {}
+
+
+def _sql() -> str:
+    """The scan in SQL. Its expressions have no lookahead, so a spelling's plural is kept by a group."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    form = f"regexp_replace(regexp_replace(lower(t), {quoted(_COPYRIGHT)}, '', 'g'), {quoted(_MARKS)}, '', 'g')"
+    form = f"trim(regexp_replace({form}, {quoted('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}, ' ', 'g'), ' ')"
+    for old, new in SPELLINGS.items():
+        form = f"regexp_replace({form}, {quoted(rf'\b{old}(s?)\b')}, {quoted(rf'{new}\1')}, 'g')"
+    known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in KNOWN.items())
+    return (
+        f"with k as (select sha256({form}) as digest, min(licence) as licence from (values {known}) v(licence, t) group by 1), "
+        f"d as (select doc_id, sha256({form}) as digest from (select doc_id, coalesce(text, '') as t from documents)) select doc_id, d.digest as digest, licence from d left join k on d.digest = k.digest"
+    )
+
+
+ORACLES = {"op8_licences": _sql()}

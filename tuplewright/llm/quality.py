@@ -133,8 +133,24 @@ def kept(docs: DataFrame, host: str = "source", rate: float = HOST_RATE) -> Data
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdicts(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate")
+    return verdicts(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {"op9_host_rules": op9_host_rules}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_host_rules": r"""
+with d as (select doc_id, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+g as (select doc_id, i, array_to_string(list_slice(ws, i, i + 4), ' ') as gram from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from d where len(ws) >= 5)),
+r as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, gram) as c from g) where c > 1),
+c as (select doc_id, count(distinct i + k) as n from r, range(0, 5) t(k) group by doc_id),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+m as (select d.doc_id, d.source, len(ws) as n_words, coalesce(length(array_to_string(ws, '')), 0) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from d join l on d.doc_id = l.doc_id left join c on d.doc_id = c.doc_id),
+f as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
+v as (select *, base_failed or 10 * n_symbols > n_words or word_chars < 2 * n_words or word_chars > 15 * n_words or 5 * n_dup_lines > n_words as failed from f),
+h as (select source, count(*) as docs, sum(case when failed then 1 else 0 end) as bad from v group by source),
+a as (select sum(bad) / sum(docs) as rate, sum(bad * bad / docs) / sum(docs) - (sum(bad) / sum(docs)) * (sum(bad) / sum(docs)) - count(*) * (sum(bad) / sum(docs)) * (1 - sum(bad) / sum(docs)) / sum(docs) as spread from h),
+p as (select rate, case when spread > 0 then least(10000.0, greatest(2.0, rate * (1 - rate) / spread - 1)) else 10000.0 end as w from a)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and (bad + rate * w) / (docs + w) <= 0.5 as kept from v join h on v.source is not distinct from h.source, p"""
+}
