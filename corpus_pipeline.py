@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tuplewright.llm import packing, pii, quality, simhash, toxicity
+from tuplewright.llm import packing, pii, quality, shingles, toxicity
 from tuplewright.llm.common import documents, saved
 
 
@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document of least id."""
-    return simhash.kept(docs)
+    """Keeps of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more) the document of least id."""
+    return shingles.kept(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

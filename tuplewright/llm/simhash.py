@@ -199,7 +199,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, pairwise: int = PAIRW
 
 def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Of each group of near-duplicates the row of least doc_id, with all its columns. Of rows with one id and text one stays; rows without id stay."""
-    marked = saved(near_duplicates(docs, radius), "groups")
+    return firsts(docs, near_duplicates(docs, radius))
+
+
+def firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """kept, for groups of doc_id and component_id found in docs."""
+    marked = saved(groups, "groups")
     gone = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
     again = marked.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
