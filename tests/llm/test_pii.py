@@ -63,6 +63,33 @@ def test_values_stay_in_their_format(spark):
     assert (got[3].text, got[4].text, got[5].text) == (None, "", "no digits") and sum(got[3].pii) == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card, longest = "4111111111111111", "6304123456789012345"
+    longest = next(longest[:-1] + d for d in "0123456789" if luhn(longest[:-1] + d))
+    new = lambda c: (lambda b: b + next(d for d in "0123456789" if luhn(b + d)))(chars(c[:-1], "card"))
+    in4 = lambda c: " ".join(c[i : i + 4] for i in range(0, len(c), 4))
+    amex = "3782 822463 10005"
+    put = lambda a: (lambda b: f"{b[:4]} {b[4:10]} {b[10:]}")(new(a.replace(" ", "")))
+    cases_ = [
+        (f"{in4(card)} 05/27", f"{in4(new(card))} 05/27", 1),
+        (f"12 {card}", f"12 {new(card)}", 1),
+        (f"{card} 123", f"{new(card)} 123", 1),
+        (f"2024 {in4(card)} 77", f"2024 {in4(new(card))} 77", 1),
+        (f"12 {in4(card).replace(' ', '-')} 345", f"12 {in4(new(card)).replace(' ', '-')} 345", 1),
+        (f"7 {amex} 1234", f"7 {put(amex)} 1234", 1),
+        (in4(longest), in4(new(longest)), 1),
+        (f"{in4(card)} {in4(card)}", f"{in4(new(card))} {in4(new(card))}", 2),
+        (f"{card} 12 {card}", f"{new(card)} 12 {new(card)}", 2),
+        ("1234 5678 9012 3456 78", "1234 5678 9012 3456 78", 0),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases_)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
+    assert [(got[i].text, got[i].pii.card) for i in range(len(cases_))] == [(c[1], c[2]) for c in cases_]
+    df = spark.createDataFrame([(1, f"{card} 02/29/2024"), (2, f"{card} 10.0.0.1")], "doc_id long, text string")
+    got = {r.doc_id: r.pii.asDict() for r in pii.pseudonymise(df, KEY).collect()}
+    assert (got[1]["card"], got[1]["date"], got[2]["card"], got[2]["ip"]) == (1, 1, 1, 1)
+
+
 def test_permutations_are_one_to_one(spark):
     df = spark.range(27 * 50).select(pii.permute_number(pii.F.col("id"), pii.F.lit(KEY), "x", 27, 50).alias("n"))
     assert sorted(r.n for r in df.collect()) == list(range(27 * 50))

@@ -9,7 +9,8 @@ across documents.
 kind   found and validated                          permuted
 =====  ===========================================  ==============================================
 email  local part of 64 characters at most @ name   letters and digits of the local part, in class
-card   13 to 19 digits, also in groups; Luhn        all digits but the last, which is made to check
+card   13 to 19 digits, also in groups; Luhn;       all digits but the last, which is made to check
+       also beside other numbers (see _cards)
 ip     four numbers of 0 to 255                     the 32-bit address
 phone  +country or (area), 7 to 14 more digits      the digits after the country code
 ssn    ddd-dd-dddd, no void area, group or serial   within the valid numbers
@@ -45,10 +46,14 @@ FORMATS = {
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w)",
     "ssn": r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])",
     "date": r"(?<![\w./-])(?:(?:1[789]|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[01][0-9]/[0-3][0-9]/(?:1[789]|20)[0-9]{2}|[0-3][0-9]\.[01][0-9]\.(?:1[789]|20)[0-9]{2})(?![\w/-])",
-    "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "phone": r"(?:(?<![\w+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})|(?<!\w)\([0-9]{3}\))(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)",
 }
-PATTERN = "|".join(FORMATS.values())
+#: a run of digit groups, in which cards are looked for; it ends before a value of another kind
+_OTHER = "|".join([FORMATS["ip"], FORMATS["ssn"], FORMATS["date"], "[A-Za-z0-9._%+-]{1,64}+@"])
+FORMATS["card"] = rf"(?<![\w.-])[0-9](?:(?:[ -](?!{_OTHER}))?[0-9]){{12,61}}(?![\w-])"
+LOOSE = "^[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+GROUPED = ["^[0-9]{13,19}(?![0-9])", *(f"^[0-9]{{4}}{s}{rest}(?![0-9])" for s in " -" for rest in (f"[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{1,3}}", f"[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}", f"[0-9]{{6}}{s}[0-9]{{5}}"))]
+PATTERN = "|".join(FORMATS[k] for k in ("email", "ip", "ssn", "date", "card", "phone"))
 
 
 def _let(value: Column, body) -> Column:
@@ -126,6 +131,32 @@ def _card(value: Column, key: Column) -> Column:
     return F.when(luhn_sum(digits) % 10 == 0, F.when(F.length(digits) == F.length(value), new).otherwise(_let(new, laid)))
 
 
+def _cards(run: Column, key: Column) -> Column:
+    """struct(new, n): the run with its n cards replaced. At the start and after a card the longest loose run is tried
+    first; there and at each later group the common groupings, so that a card between other numbers is found."""
+
+    def step(s: Column, _: Column) -> Column:
+        start = F.regexp_extract(s["rest"], "^[ -]?", 0)
+
+        def at(rest: Column) -> Column:
+            tried = F.array(F.when(s["fresh"], F.regexp_extract(rest, LOOSE, 0)).otherwise(""), *(F.regexp_extract(rest, p, 0) for p in GROUPED))
+            valid = F.filter(tried, lambda c: (c != "") & (luhn_sum(F.regexp_replace(c, "[^0-9]", "")) % 10 == 0))
+
+            def moved(found: Column) -> Column:
+                group = F.regexp_extract(rest, "^[0-9]*", 0)
+                taken = F.when(found.isNull(), group).otherwise(found)
+                new = F.when(found.isNull(), group).otherwise(_card(found, key))
+                return F.struct(F.concat(s["out"], start, new).alias("out"), F.substring(rest, F.length(taken) + 1, F.length(rest)).alias("rest"), found.isNotNull().alias("fresh"), (s["n"] + found.isNotNull().cast("long")).alias("n"))
+
+            return _let(F.get(valid, F.lit(0)), moved)
+
+        return _let(F.substring(s["rest"], F.length(start) + 1, F.length(s["rest"])), at)
+
+    begin = F.struct(F.lit("").alias("out"), run.alias("rest"), F.lit(True).alias("fresh"), F.lit(0).cast("long").alias("n"))
+    done = F.aggregate(F.split(run, "[ -]"), begin, step)  # a group or more each step
+    return _let(done, lambda s: F.struct(F.when(s["n"] > 0, s["out"]).alias("new"), s["n"].alias("n")))
+
+
 def _ip(value: Column, key: Column) -> Column:
     parts = F.split(value, "[.]")
     number = ((parts[0].cast("long") * 256 + parts[1].cast("long")) * 256 + parts[2].cast("long")) * 256 + parts[3].cast("long")
@@ -178,19 +209,19 @@ def kind_of(value: Column) -> Column:
 
 
 def pseudonym(value: Column, kind: Column, key: Column) -> Column:
-    """The value's pseudonym; null if it isn't valid."""
-    make = {"email": _email, "card": _card, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date}
+    """struct(new, n): the value's pseudonym, null if it isn't valid, and how many values of the kind it holds."""
+    make = {"email": _email, "ip": _ip, "phone": _phone, "ssn": _ssn, "date": _date}
     out = F
     for name, f in make.items():
-        out = out.when(kind == name, f(value, key))
-    return out
+        out = out.when(kind == name, F.struct(f(value, key).alias("new"), F.lit(1).cast("long").alias("n")))
+    return out.when(kind == "card", _cards(value, key))
 
 
 def find(text: Column, key: Column) -> Column:
-    """Array of struct(kind, value, new) in the text's order; kind and new are null where the validation failed."""
+    """Array of struct(kind, value, new, n) in the text's order; kind is null and new the value where the validation failed."""
 
     def looked_up(v: Column) -> Column:
-        return _let(kind_of(v), lambda k: _let(pseudonym(v, k, key), lambda new: F.struct(F.when(new.isNotNull(), k).alias("kind"), v.alias("value"), F.coalesce(new, v).alias("new"))))
+        return _let(kind_of(v), lambda k: _let(pseudonym(v, k, key), lambda p: F.struct(F.when(p["new"].isNotNull(), k).alias("kind"), v.alias("value"), F.coalesce(p["new"], v).alias("new"), p["n"].alias("n"))))
 
     return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), looked_up)
 
@@ -203,7 +234,7 @@ def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text")
     def replaced(found: Column) -> Column:
         joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), found, lambda gap, f: F.concat(gap, F.coalesce(f["new"], F.lit("")))), "")
         is_kind = lambda k: lambda f: f["kind"] == k
-        counts = F.struct(*(F.size(F.filter(found, is_kind(k))).cast("long").alias(k) for k in KINDS))
+        counts = F.struct(*(F.aggregate(F.filter(found, is_kind(k)), F.lit(0).cast("long"), lambda s, f: s + f["n"]).alias(k) for k in KINDS))
         return F.struct(joined.alias("text"), counts.alias("pii"))
 
     none = F.struct(text.alias("text"), F.struct(*(F.lit(0).cast("long").alias(k) for k in KINDS)).alias("pii"))
