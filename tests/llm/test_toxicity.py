@@ -53,3 +53,10 @@ def test_no_labels_and_no_rows(spark, tmp_path):
     empty = cases.stored(spark, tmp_path / "none", [])
     spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert toxicity.op7_toxicity(spark, empty).count() == 0
+
+
+def test_counts_come_from_all_folds():
+    rows = [(i % 3, y, f"{t} onlyhere" if i % 3 == 2 and y else t) for i, (t, y) in enumerate(corpus(300, 3))]
+    model = toxicity.train(rows, 0.3)
+    assert toxicity.word_hashes("onlyhere")[0] in model.words
+    assert model.ratios(toxicity.word_hashes("onlyhere"))[0] > 0.5 and model.fit[1:].any()

@@ -17,8 +17,8 @@ over its strongest stretch of each of ``WINDOWS`` words (so that an insult in a
 out). A logistic fit over these, on texts that the counts have not seen, turns them into a score.
 
 Training uses at most ``SAMPLE`` labelled texts of each class, those of least hash of their id; the bound
-is a parameter, and the counts (two thirds of the sample) and the fit (one third) are made on the driver
-from these texts alone. Where a class has none, every score is the share of label 1 in the sample.
+is a parameter. The fit is made on a third of the sample with counts from the other two, the counts that
+score are of the whole sample; all on the driver, from these texts alone. Where a class has none, every score is the share of label 1 in the sample.
 Texts are scored in one map with the model as a broadcast value, whose size the sample bounds: a hash
 and a log ratio for each word and for each pair that passed the discount.
 
@@ -165,7 +165,8 @@ def train(rows: list[tuple[int, int, str]], share: float) -> ClassModels:
     pick = lambda keep: tuple([w for f, y, w in hashed if keep(f) and y == c] for c in (0, 1))
     part = ClassModels(pick(lambda f: f < 2))
     held = [(y, part.features(w)) for f, y, w in hashed if f == 2]
-    model = part
+    del part
+    model = ClassModels(pick(lambda f: True))
     y = np.array([a for a, _ in held], float)
     share = min(max(share, 1e-6), 1 - 1e-6)
     if 0 < y.sum() < len(y) and all(pick(lambda f: f < 2)):
