@@ -56,6 +56,17 @@ def repeated_variable(spark, d):
     return item.where(F.col("l_orderkey") % 7 == F.col("l_linenumber")).select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).distinct()
 
 
+@query(
+    "select distinct l_orderkey as o, c_nationkey as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey "
+    "join supplier on l_suppkey = s_suppkey where c_nationkey = s_nationkey"
+)
+def repeated_variable_columns(spark, d):
+    """sale(o, x, x) over the joined rows: an order that a supplier of the customer's own nation served."""
+    sale = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    sale = sale.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return sale.where("c_nationkey = s_nationkey").select(F.col("l_orderkey").alias("o"), F.col("c_nationkey").alias("n")).distinct()
+
+
 @query("select distinct n_regionkey as a, n_nationkey as b from nation")
 def column_permutation(spark, d):
     return table(spark, d, "nation").select(F.col("n_regionkey").alias("a"), F.col("n_nationkey").alias("b")).distinct()
