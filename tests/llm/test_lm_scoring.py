@@ -108,3 +108,16 @@ def test_without_training_and_empty(spark, tmp_path):
     (row,) = L.op4_lm_scoring(spark, folder).collect()
     assert (row.train_tokens, row.n_known, row.n_tokens) == (0, 0, 3) and row.score == row.base_score
     assert L.op4_lm_scoring(spark, cases.stored(spark, tmp_path / "none", [])).count() == 0
+
+
+def test_scores_do_not_depend_on_shards(spark, tmp_path):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(60)]
+    given = [(i, " ".join(rng.choices(vocabulary, weights=range(1, 61), k=rng.randint(0, 80))), None, None, 0, 0, "", "", 0) for i in range(200)]
+    docs = spark.read.parquet(f"{cases.stored(spark, tmp_path, given)}/documents.parquet")
+    runs = [{r.doc_id: r.score for r in L.score_documents(docs, **sizes).collect()} for sizes in ({"word_shards": 2, "pair_shards": 4}, {"word_shards": 5, "pair_shards": 16}, {"pair_shards": 3, "shard_pairs": 100})]
+    want = {r[0]: r[6] for r in brute([(g[0], g[1]) for g in given])}
+    for i, score in want.items():
+        n = len(given[i][1].split()) + 1
+        assert all(abs(run[i] - score) <= n / L.STEPS / 2 + 1e-9 for run in runs)  # what the codes can be off
+        assert abs(runs[0][i] - runs[1][i]) < 1e-9 and abs(runs[0][i] - runs[2][i]) < 1e-9

@@ -4,14 +4,14 @@ The model is a bigram model with absolute discounting over the given unigram bas
 
     p(w | v) = max(c(v, w) - D, 0) / c(v) + D * T(v) / c(v) * p(w),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-T(v): distinct words after v, D = n1 / (n1 + 2 n2) of the pair counts of a shard (of millions of pairs;
-hashing makes shards alike, and a context's mass always adds up to one). A text starts in a start context
-and ends with the end token; a word not in training has, and gives as a context, the base alone.
+T(v): distinct words after v, D = n1 / (n1 + 2 n2) of the counts of all pairs of the corpus. A text starts in a
+start context and ends with the end token; a word not in training has, and gives as a context, the base alone (the
+base's share for such words is outside of what the back-off spreads). Scores don't depend on blocks or shards.
 
 Method: pairs are kept in tries of two levels. Level one has the contexts, level two each context's
 successors beside one another, as numbers relative to the context's place; both and the pointers between
-them are monotone sequences in Elias-Fano form (low bits packed, high bits unary). Discounted probabilities and back-off weights are 8-bit codes of
-a codebook. The levels are written to one file and memory-mapped; a query finds its context by successor
+them are monotone sequences in Elias-Fano form (low bits packed, high bits unary). Discounted probabilities and
+back-off weights are 16-bit codes of their logarithms in steps of 1/STEPS decade, one grid for all shards. The levels are written to one file and memory-mapped; a query finds its context by successor
 search, then its word by successor search relative to the context's place, by select on the high bits
 and bisection of the low bits, for arrays of queries at a time.
 
@@ -20,11 +20,14 @@ How it is distributed. One trie of a corpus has no bound, so there is one for ea
 1. Texts become blocks with a dictionary each (blocks.py), saved. Words with their training counts meet by
    shard, are summed, get dense numbers, and go back to the blocks.
 2. Each block sends its distinct pairs with their training counts to shards of about ``SHARD_PAIRS``
-   pairs. A context goes to one shard whole, but one of more than ``SHARD_PAIRS`` tokens is dealt by
-   pair (there are at most N / SHARD_PAIRS of those, and only their back-off parts are summed apart and
-   broadcast). The shard sums the counts, builds its trie and answers every block.
+   pairs, kept in a table bucketed by shard. A context goes to one shard whole, but one of more than
+   ``SHARD_PAIRS`` tokens is dealt by pair; the distinct words after it are summed apart and joined to the
+   blocks that have it. A first pass over the shards counts the pairs seen once and twice; the second
+   sums the counts, builds its trie with the discount and answers every block.
 3. Blocks add up their texts' scores.
 
+Memory: a task holds one block (``BLOCK_BYTES`` of text) or one shard, in 32-bit arrays where places suffice.
+
 All counts are of all training texts. A word or pair moves once a block, however frequent it is there.
 
 Nulls and edge cases: a null text is the empty text (one end token); a null doc_id is scored, counts as held
@@ -45,8 +48,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuplewright.llm import blocks as B
-from tuplewright.llm.common import by_bytes, documents, saved
+from tuplewright.llm.common import by_bytes, documents, saved, saved_by
 
+BLOCK_BYTES = 12 << 20
 SHARD_PAIRS = 2_500_000
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1
@@ -54,7 +58,10 @@ SCHEMA = "block long, shard int, data binary, a long, b long, x double"
 NAMES = ["block", "shard", "data", "a", "b", "x"]
 #: numbers of the tokens: unknown, the end, the start context, then words
 UNKNOWN, END, START, FIRST = 0, 1, 2, 3
-ABSENT = 255
+STEPS = 256
+ABSENT = 65535
+#: pseudo-shard of a block's hot contexts
+ASKS = -2
 
 
 #: the place of the k-th one of each byte
@@ -141,14 +148,14 @@ class EliasFano:
         return left, same
 
 
-def quantised(values: np.ndarray, levels: int = 255) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and their codebook: the distinct values if they are few enough, else the means of equally full bins."""
-    distinct, at = np.unique(values, return_inverse=True)
-    if len(distinct) > levels:
-        bins = np.minimum(np.cumsum(np.bincount(at)) * levels // (len(values) + 1), levels - 1)[at]
-        used, at = np.unique(bins, return_inverse=True)
-        distinct = np.bincount(at, values) / np.bincount(at)
-    return at.astype(np.uint8), distinct.astype(np.float64)
+def quantised(values: np.ndarray) -> np.ndarray:
+    """Codes of probabilities or weights of at most one: their negative logarithms in steps of 1/STEPS decade."""
+    return np.minimum(np.rint(np.log10(values) * -STEPS), ABSENT - 1).astype(np.uint16)
+
+
+def codebook(codes: np.ndarray) -> np.ndarray:
+    """The logarithms of the codes up to the largest that occurs."""
+    return np.arange(int(codes.max(initial=0)) + 1) / -STEPS
 
 
 class Trie:
@@ -164,14 +171,13 @@ class Trie:
         distinct, first = np.unique(context, return_index=True)
         universe = int(word.max(initial=0)) + 1
         place = np.repeat(np.arange(len(distinct)), np.diff(np.append(first, len(context)))).astype(np.uint64)
-        codes, book = quantised(np.log10(probability)) if len(probability) else (np.zeros(0, np.uint8), np.zeros(0))
-        back_codes, back_book = quantised(np.log10(backoff)) if len(backoff) else (np.zeros(0, np.uint8), np.zeros(0))
+        codes, back_codes = quantised(probability), quantised(backoff)
         return cls(
             EliasFano.of(distinct, int(distinct.max(initial=0)) + 1),
             EliasFano.of(np.append(first, len(context)), len(context) + 1),
             EliasFano.of(place * np.uint64(universe) + word, max(1, len(distinct)) * universe),
             universe,
-            {"codes": codes, "book": book, "back_codes": back_codes, "back_book": back_book},
+            {"codes": codes, "book": codebook(codes), "back_codes": back_codes},
         )
 
     def write(self, path: str) -> None:
@@ -182,7 +188,7 @@ class Trie:
 
     def _parts(self) -> list[np.ndarray]:
         levels = [getattr(ef, name) for ef in (self.contexts, self.pointers, self.words) for name in EliasFano.PARTS]
-        return [*levels, self.codes, self.book, self.back_codes, self.back_book]
+        return [*levels, self.codes, self.book, self.back_codes]
 
     def mapped(self, path: str) -> Trie:
         """This trie over the file's pages."""
@@ -192,7 +198,7 @@ class Trie:
             at += part.nbytes + -part.nbytes % 8
         n = len(EliasFano.PARTS)
         levels = [EliasFano(**dict(zip(EliasFano.PARTS, parts[i * n : (i + 1) * n], strict=True))) for i in range(3)]
-        return Trie(*levels, self.universe, dict(zip(("codes", "book", "back_codes", "back_book"), parts[3 * n :], strict=True)))
+        return Trie(*levels, self.universe, dict(zip(("codes", "book", "back_codes"), parts[3 * n :], strict=True)))
 
     def find_contexts(self, contexts: np.ndarray) -> np.ndarray:
         """Places of contexts; -1 where there is none."""
@@ -206,7 +212,7 @@ class Trie:
 
     def find(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Codes of the words after the contexts at the places; ABSENT where there is none."""
-        out = np.full(len(place), ABSENT, np.uint8)
+        out = np.full(len(place), ABSENT, np.uint16)
         ask = np.flatnonzero((place >= 0) & (word < self.universe))
         if len(ask):
             at, same = self.words.successor(place[ask].astype(np.uint64) * np.uint64(self.universe) + word[ask])
@@ -259,7 +265,7 @@ def _block_rows(docs: DataFrame, shards: int) -> DataFrame:
             n = memo[1][mine]
             return len(n).to_bytes(8, "little") + B.to_planes(n, 4)
 
-        for out in B.blocks(by_bytes(batches), words_of, shards, extra=counts):
+        for out in B.blocks(by_bytes(batches), words_of, shards, BLOCK_BYTES, counts):
             rows = []
             for block, shard, data in zip(*(c.to_pylist() for c in out.columns), strict=True):
                 if shard < 0:
@@ -295,7 +301,7 @@ def _sum_words(shards: int):
 
 
 class Pairs:
-    """A block's tokens as numbers, and its distinct pairs of known tokens."""
+    """A block's tokens as places in its dictionary, and its distinct pairs of known tokens."""
 
     def __init__(self, block: B.Block, shares: list[tuple[int, bytes]], texts: int) -> None:
         """shares: what _sum_words answered. texts: of training in all."""
@@ -309,19 +315,27 @@ class Pairs:
         self.starts = np.cumsum(self.lengths) - self.lengths
         ends = self.starts + block.lengths
         total = int(self.lengths.sum())
-        word = np.full(total, size, np.int64)
+        word = np.full(total, size, np.int32)
         inner = np.ones(total, bool)
         inner[ends] = False
         word[inner] = block.tokens
-        context = np.empty(total, np.int64)
+        del inner
+        context = np.empty(total, np.int32)
         context[1:] = word[:-1]
         context[self.starts] = size + 1
         self.word, self.context, self.number, self.count = word, context, number, count
         self.known = (count[word] > 0) & (count[context] > 0)
-        code, self.at = np.unique(context[self.known] * (size + 2) + word[self.known], return_inverse=True)
+        code = context[self.known].astype(np.int64) * (size + 2) + word[self.known]
+        order = np.argsort(code)
+        code = code[order]
+        new = np.append(np.ones(min(1, len(code)), bool), code[1:] != code[:-1])
+        self.at = np.empty(len(code), np.int32)
+        self.at[order] = np.cumsum(new, dtype=np.int32) - 1
+        del order
+        code = code[new]
+        self.first, self.second = (code // (size + 2)).astype(np.int32), (code % (size + 2)).astype(np.int32)
         learn = np.repeat(_learning(block), self.lengths)[self.known]
-        self.times = np.bincount(self.at[learn], minlength=len(code))
-        self.first, self.second = code // (size + 2), code % (size + 2)
+        self.times = np.bincount(self.at[learn], minlength=len(code)).astype(np.uint32)
 
     def dealt(self, shards: int, most: int) -> tuple[np.ndarray, np.ndarray]:
         """An order of the distinct pairs by shard, context and word, and each pair's shard in that order."""
@@ -329,20 +343,22 @@ class Pairs:
         context, word = self.number[self.first], self.number[self.second]
         hot = self.count[self.first] > most
         hashed = mix(mix(context) + np.where(hot, mix(word + np.uint64(1)), np.uint64(0)))
-        shard = ((hashed >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
+        shard = ((hashed >> np.uint64(17)) % np.uint64(shards)).astype(np.int32)
+        del hashed, hot
         order = np.lexsort((word, context, shard))
         return order, shard[order]
 
 
-def _pairs(table: pa.Table, texts: int) -> Pairs:
+def _pairs(table: pa.Table, texts: int) -> tuple[B.Block, Pairs]:
     rows = list(zip(table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True))
     block = next(B.Block.of(d) for k, _, d in rows if k == 0)
-    return Pairs(block, [(s, d) for k, s, d in rows if k == 1], texts)
+    return block, Pairs(block, [(s, d) for k, s, d in rows if k == 1], texts)
 
 
 def _send_pairs(texts: int, shards: int, most: int):
     def run(table: pa.Table) -> pa.Table:
-        block, pairs = table.column("block")[0].as_py(), _pairs(table, texts)
+        """A row for each shard, and one of pseudo-shard ASKS for each hot context (a)."""
+        block, (_, pairs) = table.column("block")[0].as_py(), _pairs(table, texts)
         order, shard = pairs.dealt(shards, most)
         edges, rows = np.searchsorted(shard, np.arange(shards + 1)).tolist(), []
         for s in range(shards):
@@ -352,37 +368,65 @@ def _send_pairs(texts: int, shards: int, most: int):
                 new = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
                 contexts = pairs.number[first[new]]
                 rows.append((block, s, _numbers(np.diff(contexts, prepend=np.uint64(0)), np.diff(np.append(new, len(mine))), pairs.count[first[new]], pairs.number[pairs.second[mine]], pairs.times[mine]), None, None, None))
+        rows += [(block, ASKS, None, int(pairs.number[v]), None, None) for v in np.flatnonzero(pairs.count > most).tolist()]
         return _rows(rows)
 
     return run
 
 
-def build_trie(context: np.ndarray, word: np.ndarray, times: np.ndarray, total: np.ndarray) -> Trie:
-    """The trie of pairs seen in training. total: c(v) of each row's context. Rows of one pair are summed."""
+def merged(context: np.ndarray, word: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct pair seen in training, in order, and its summed count."""
     wide = int(word.max(initial=0)) + 1
     one_key = int(context.max(initial=0)) * wide < 1 << 63
     order = np.argsort(context * np.uint64(wide) + word) if one_key else np.lexsort((word, context))
-    context, word, times, total = context[order], word[order], times[order], total[order]
-    new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1]))) if len(context) else np.zeros(0, np.int64)
-    times = np.add.reduceat(times.astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
-    seen = times > 0
-    context, word, times, total = context[new][seen], word[new][seen], times[seen], total[new][seen].astype(float)
-    n1, n2 = int((times == 1).sum()), int((times == 2).sum())
-    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+    if not len(order):
+        return order, np.zeros(0, np.int64)
+    c, w = context[order], word[order]
+    new = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1])))
+    del c, w
+    times = np.add.reduceat(times[order].astype(np.int64), new)
+    return order[new][times > 0], times[times > 0]
+
+
+def discount(n1: int, n2: int) -> float:
+    return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+
+def build_trie(context: np.ndarray, word: np.ndarray, times: np.ndarray, total: np.ndarray, d: float | None = None) -> Trie:
+    """The trie of pairs seen in training. total: c(v) of each row's context. d: the discount (None: of these pairs). Rows of one pair are summed."""
+    chosen, times = merged(context, word, times)
+    context, word, total = context[chosen], word[chosen], total[chosen].astype(float)
+    d = discount(int((times == 1).sum()), int((times == 2).sum())) if d is None else d
     first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
     types = np.diff(np.append(first, len(context)))
     return Trie.of(context, word, (times - d) / total, d * types / total[first])
 
 
-def _answer_pairs(most: int):
+def _sent(table: pa.Table) -> list[list[np.ndarray]]:
+    """Of each block's row: contexts, their numbers of pairs, their counts, and the pairs' words and training counts."""
+    out = []
+    for data in table.column("data").to_pylist():
+        gaps, lengths, total, word, times = _read_numbers(data)
+        out.append([np.cumsum(gaps, dtype=np.uint64), lengths.astype(np.int32), total, word, times.astype(np.uint32)])
+    return out
+
+
+def _wide(shares: list[list[np.ndarray]], k: int) -> np.ndarray:
+    return np.concatenate([np.repeat(s[k], s[1]) if k < 3 else s[k] for s in shares])
+
+
+def _count_pairs(table: pa.Table) -> pa.Table:
+    """How many of a shard's pairs were seen once (a) and twice (b)."""
+    shares = _sent(table)
+    times = merged(_wide(shares, 0), _wide(shares, 3), _wide(shares, 4))[1]
+    return _rows([(-1, table.column("shard")[0].as_py(), None, int((times == 1).sum()), int((times == 2).sum()), None)])
+
+
+def _answer_pairs(most: int, d: float):
     def run(table: pa.Table) -> pa.Table:
-        """Codes of each block's pairs and back-off codes of its contexts; for block -1 a row for each hot context (a) with this shard's part of its back-off (x)."""
-        shard, shares = table.column("shard")[0].as_py(), []
-        for data in table.column("data").to_pylist():
-            gaps, lengths, total, word, times = _read_numbers(data)
-            shares.append((np.cumsum(gaps, dtype=np.uint64), lengths.astype(np.int64), total, word, times))
-        wide = lambda k: np.concatenate([np.repeat(s[k], s[1]) for s in shares])
-        trie = build_trie(wide(0), np.concatenate([s[3] for s in shares]), np.concatenate([s[4] for s in shares]), wide(2))
+        """Codes of each block's pairs and back-off codes of its contexts; for block -1 a row for each hot context (a) with how many words follow it here (b)."""
+        shard, shares = table.column("shard")[0].as_py(), _sent(table)
+        trie = build_trie(_wide(shares, 0), _wide(shares, 3), _wide(shares, 4), _wide(shares, 2), d)
         handle, path = tempfile.mkstemp(suffix=".trie")
         os.close(handle)
         try:
@@ -392,12 +436,14 @@ def _answer_pairs(most: int):
             for block, (contexts, lengths, total, word, _) in zip(table.column("block").to_pylist(), shares, strict=True):
                 place = trie.find_contexts(contexts)
                 codes = trie.find(np.repeat(place, lengths), word)
-                back = np.where(place >= 0, trie.back_codes[place] if len(trie.back_codes) else 0, ABSENT).astype(np.uint8)
-                for i in np.flatnonzero((total > most) & (place >= 0)).tolist():
-                    hot[int(contexts[i])] = float(10 ** trie.back_book[back[i]])
-                head = np.array([len(codes), len(back), len(trie.book), len(trie.back_book)], "<i8").tobytes()
-                rows.append((block, shard, B.squeeze(head + codes.tobytes() + back.tobytes() + trie.book.tobytes() + trie.back_book.tobytes()), None, None, None))
-            rows += [(-1, shard, None, v, None, x) for v, x in hot.items()]
+                back = np.full(len(place), ABSENT, np.uint16)
+                back[place >= 0] = trie.back_codes[place[place >= 0]]
+                mine = np.flatnonzero((total > most) & (place >= 0))
+                types = trie.pointers.access(place[mine] + 1) - trie.pointers.access(place[mine])
+                hot.update(zip(contexts[mine].tolist(), types.tolist(), strict=True))
+                head = np.array([len(codes), len(back)], "<i8").tobytes()
+                rows.append((block, shard, B.squeeze(head + B.to_planes(codes, 2) + B.to_planes(back, 2)), None, None, None))
+            rows += [(-1, shard, None, v, n, None) for v, n in hot.items()]
             return _rows(rows)
         finally:
             os.unlink(path)
@@ -406,46 +452,47 @@ def _answer_pairs(most: int):
 
 
 def _read_codes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of the pairs (0: absent) and back-off weights of the contexts (nan: absent)."""
+    """Codes of the pairs and back-off codes of the contexts."""
     data = B.expand(data)
-    n, m, k, l = np.frombuffer(data, "<i8", 4).tolist()
-    codes, back = np.frombuffer(data, np.uint8, n, 32), np.frombuffer(data, np.uint8, m, 32 + n)
-    books = np.frombuffer(data[32 + n + m :], "<f8", k + l)
-    book, back_book = np.zeros(256), np.full(256, np.nan)
-    book[:k], back_book[:l] = 10 ** books[:k], 10 ** books[k:]
-    return book[codes], back_book[back]
+    n, m = np.frombuffer(data, "<i8", 2).tolist()
+    return B.from_planes(data[16 : 16 + 2 * n], 2), B.from_planes(data[16 + 2 * n : 16 + 2 * (n + m)], 2)
+
 
+def _values() -> np.ndarray:
+    """What each code stands for; ABSENT: nothing."""
+    return np.append(10.0 ** (np.arange(ABSENT) / -STEPS), 0.0)
 
-def _finish(texts: int, tokens: int, types: int, shards: int, most: int, hot: dict[int, float]):
+
+def _finish(texts: int, tokens: int, types: int, shards: int, most: int, d: float):
     def run(table: pa.Table) -> pa.Table:
-        block = next(B.Block.of(d) for k, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist(), strict=True) if k == 0)
-        pairs = _pairs(table, texts)
-        base = (pairs.count + ADDED) / (tokens + ADDED * (types + 1))
-        q, weight = np.zeros(len(pairs.first)), np.ones(len(pairs.number))
-        order, shard = pairs.dealt(shards, most)
-        got = sorted((s, d) for k, s, d in zip(table.column("kind").to_pylist(), table.column("shard").to_pylist(), table.column("data").to_pylist(), strict=True) if k == 2)
+        block, pairs = _pairs(table, texts)
+        q, weight = np.full(len(pairs.first), ABSENT, np.uint16), np.zeros(len(pairs.number), np.uint16)
+        order, _ = pairs.dealt(shards, most)
+        columns = [table.column(c).to_pylist() for c in ("kind", "shard", "data", "a", "b")]
         at = 0
-        for _, data in got:
-            p, back = _read_codes(data)
-            mine = order[at : at + len(p)]
-            at += len(p)
-            q[mine] = p
+        for _, data in sorted((s, x) for k, s, x, _, _ in zip(*columns, strict=True) if k == 2):
+            codes, back = _read_codes(data)
+            mine = order[at : at + len(codes)]
+            at += len(codes)
+            q[mine] = codes
             first = pairs.first[mine]
             contexts = first[np.append(True, first[1:] != first[:-1])]
-            weight[contexts] = np.where(np.isnan(back), weight[contexts], back)
+            weight[contexts] = np.where(back == ABSENT, weight[contexts], back)
+        del order
+        hot = {a: b for k, _, _, a, b in zip(*columns, strict=True) if k == 3}
         for v in np.flatnonzero(pairs.count > most).tolist():
-            weight[v] = hot.get(int(pairs.number[v]), 1.0)
-        p = base[pairs.word]
-        value = np.log10(p)
+            follow = hot.get(int(pairs.number[v]), 0)
+            weight[v] = quantised(np.array([d * follow / float(pairs.count[v])]))[0] if follow else 0
+        value_of, base = _values(), (pairs.count + ADDED) / (tokens + ADDED * (types + 1))
+        value = np.log10(base)[pairs.word]
         base_score = np.add.reduceat(value, pairs.starts)
-        known = np.flatnonzero(pairs.known)
-        value[known] = np.log10(q[pairs.at] + weight[pairs.context[known]] * p[known])
+        value[pairs.known] = np.log10(value_of[q[pairs.at]] + value_of[weight[pairs.context[pairs.known]]] * base[pairs.word[pairs.known]])
         return pa.table(
             {
                 "doc_id": pa.array(block.ids, pa.int64()),
                 "held_out": pa.array(~_learning(block)),
                 "n_tokens": pa.array(pairs.lengths.astype(np.int64)),
-                "n_known": pa.array(np.add.reduceat((pairs.count[pairs.word] > 0).astype(np.int64), pairs.starts)),
+                "n_known": pa.array(np.add.reduceat(pairs.count[pairs.word] > 0, pairs.starts, dtype=np.int64)),
                 "train_tokens": pa.array([tokens] * len(block.ids), pa.int64()),
                 "base_score": pa.array(base_score),
                 "score": pa.array(np.add.reduceat(value, pairs.starts)),
@@ -470,10 +517,15 @@ def score_documents(docs: DataFrame, shard_pairs: int = SHARD_PAIRS, word_shards
     known = rows.where("shard = -1").withColumn("kind", F.lit(0)).unionByName(words.where("block >= 0").withColumn("kind", F.lit(1)))
     shards = pair_shards or max(spark.sparkContext.defaultParallelism, -(-size // shard_pairs))
     sent = known.groupBy("block").applyInArrow(_send_pairs(texts, shards, shard_pairs), SCHEMA)
-    answered = saved(sent.groupBy("shard").applyInArrow(_answer_pairs(shard_pairs), SCHEMA), "lm-pairs")
-    hot = {r[0]: r[1] for r in answered.where("block = -1").groupBy("a").agg(F.sum("x")).collect()}  # size / shard_pairs rows at most
-    every = known.unionByName(answered.where("block >= 0").withColumn("kind", F.lit(2)))
-    return every.groupBy("block").applyInArrow(_finish(texts, tokens, types, shards, shard_pairs, hot), RESULT)
+    sent = saved_by(sent.repartition(shards, "shard"), "lm-sent", "shard", shards)
+    pairs = sent.where(F.col("shard") != ASKS)
+    once, twice = pairs.groupBy("shard").applyInArrow(_count_pairs, SCHEMA).agg(F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    d = discount(once, twice)
+    answered = saved(pairs.groupBy("shard").applyInArrow(_answer_pairs(shard_pairs, d), SCHEMA), "lm-pairs")
+    followers = answered.where("block = -1").groupBy("a").agg(F.sum("b").alias("b"))
+    hot = sent.where(F.col("shard") == ASKS).select("block", "a").join(followers, "a").select("block", F.lit(ASKS).alias("shard"), F.lit(None).cast("binary").alias("data"), "a", "b", F.lit(None).cast("double").alias("x"))
+    every = known.unionByName(answered.where("block >= 0").withColumn("kind", F.lit(2))).unionByName(hot.withColumn("kind", F.lit(3)))
+    return every.groupBy("block").applyInArrow(_finish(texts, tokens, types, shards, shard_pairs, d), RESULT)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
