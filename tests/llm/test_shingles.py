@@ -5,7 +5,7 @@ import corpus_pipeline
 import numpy as np
 from tests.llm import cases
 
-from tuplewright.llm import shingles
+from tuplewright.llm import shingles, simhash
 
 
 def brute_set(text):
@@ -75,3 +75,22 @@ def test_filters_exclude_no_similar_pair():
 def test_empty(spark, tmp_path):
     docs = spark.read.parquet(f"{cases.stored(spark, tmp_path, [])}/documents.parquet")
     assert shingles.kept(docs).count() == 0
+
+
+def test_tiles_and_common_shingles_lose_no_link(spark, monkeypatch):
+    rows = given_rows(260)
+    monkeypatch.setattr(shingles, "TILE", 7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id, r.component_id) for r in shingles.near_duplicates(docs).collect())
+    assert got == sorted((i, p) for (i, _), p in zip(rows, brute_parts(rows)[0], strict=True))
+
+
+def test_a_second_text_of_an_id_is_judged_by_itself(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "iota kappa lambda mu nu xi omicron pi rho", "one two three four five six seven")
+    schema = "doc_id long, text string, _id int, _text_hash string, root int, component_id int, cls int"
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, b), (1, c), (None, a)]
+    docs = spark.createDataFrame([(*r, 1, "x", 2, 3, 4) for r in rows], schema)
+    for kept in (shingles.kept, simhash.kept):
+        got = kept(docs)
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (7, b), (1, c), (None, a)], key=str)

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 4 << 20
+BROADCAST_ROWS = 1_000_000
+HOT_KEYS = 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -73,6 +75,30 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that none of df's columns has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, to be broadcast if it has no more rows than that; beyond it Spark joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """rows joined to the one row that table has for each key. copies: the table's column of how many rows have the key.
+
+    Keys of more than a ``HOT_KEYS``-th of all rows (so fewer than ``HOT_KEYS`` of them) come by broadcast, and their
+    rows stay where they are; the others are joined by shuffle, where no key is large.
+    """
+    bound = total // HOT_KEYS
+    hot, cold = F.broadcast(table.where(F.col(copies) > bound).drop(copies)), table.where(F.col(copies) <= bound).drop(copies)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def doc_crc(column: str = "doc_id"):
     """crc32 of the id as text (null: 0)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0))

@@ -20,6 +20,7 @@ How it is distributed.
 * A bucket yields a spanning forest of its links (fewer rows than members), never its pairs.
 * Components: large-star and small-star rounds on the forest, each saved, by minimum and join; no
   adjacency list is gathered.
+* Rows get their class's component by a join in which classes of many copies are broadcast (``join_hot``).
 
 Nulls and edge cases: a null text is the empty text; texts without words have fingerprint zero and link
 like any other; fewer than three words are one shingle; a null doc_id never names a component unless
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewright.llm.common import by_bytes, documents, saved, texts
+from tuplewright.llm.common import bounded, by_bytes, documents, free_name, join_hot, saved, texts
 
 RADIUS = 3
 SHINGLE = 3
@@ -52,24 +53,34 @@ def fingerprint(text: str, k: int = SHINGLE) -> int:
         return 0
     if len(words) < k:
         return xxh64_intdigest(b" ".join(words), 42)
-    n, counts = len(words) - k + 1, np.zeros(64, np.int64)
-    for a in range(0, n, CHUNK):
+    hashes = []
+    for a in range(0, len(words) - k + 1, CHUNK):
         part = words[a : a + CHUNK + k - 1]
-        hashes = [xxh64_intdigest(b" ".join(s), 42) for s in zip(*(part[i:] for i in range(k)), strict=False)]
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+        hashes.append(np.array([xxh64_intdigest(b" ".join(s), 42) for s in zip(*(part[i:] for i in range(k)), strict=False)], "<u8"))
+    return folded_bits(np.concatenate(hashes))
+
+
+def folded_bits(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[a : a + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp: the fingerprint's 64 bits as a signed long."""
+    """doc_id, text_hash and fp: the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             fps = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "text_hash", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_hash("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+
+def text_hash(column: str):
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
 def covering_masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -186,15 +197,22 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
 
 
+def named(rows: DataFrame, classes: DataFrame, parts: DataFrame, key: str) -> DataFrame:
+    """rows with root (the class that stands for the component) and component_id. classes: key, rep (least id), copies. parts: node, root."""
+    least = parts.join(classes, parts.node == classes[key]).groupBy("root").agg(F.min("rep").alias("component"))
+    joined = parts.join(least, "root").select(F.col("node").alias(key), "root", "component")
+    component = classes.join(joined, key, "left").select(key, "copies", F.coalesce("root", key).alias("root"), F.coalesce("component", "rep").alias("component_id"))
+    component = saved(component, "components")
+    total = component.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    return join_hot(rows, component, key, "copies", total)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, pairwise: int = PAIRWISE) -> DataFrame:
-    """The operator: doc_id, fp, component_id for each row."""
+    """The operator: doc_id, text_hash, fp, root, component_id for each row."""
     marked = saved(fingerprints(docs), "fingerprints")
-    classes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    roots = saved(components(links(classes, radius, pairwise)), "components")
-    of_root = roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("rep").alias("component"))
-    joined = roots.join(of_root, "root").select(F.col("node").alias("fp"), "component")
-    component = classes.join(joined, "fp", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(component, "fp").select("doc_id", "fp", "component_id")
+    classes = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    parts = saved(components(links(classes, radius, pairwise)), "parts")
+    return named(marked, classes, parts, "fp")
 
 
 def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -203,16 +221,20 @@ def kept(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def firsts(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """kept, for groups of doc_id and component_id found in docs."""
-    marked = saved(groups, "groups")
-    gone = marked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    again = marked.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
+    """kept, for groups (doc_id, text_hash, root) found in docs. A row goes by its id and text: another text under its id is judged by its own group."""
+    marked = saved(groups.where("doc_id is not null").select("doc_id", "text_hash", "root"), "groups")
+    first = saved(marked.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("copies")), "firsts")
+    total = first.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    other = join_hot(marked, first.where("copies > 1"), "root", "copies", total).where(F.struct("doc_id", "text_hash") != F.col("first"))
+    names = [free_name(docs, n) for n in ("_id", "_text_hash")]
+    of = lambda df: saved(df.select("doc_id", "text_hash").distinct().toDF(*names), "gone")
+    same = (F.col("doc_id").cast("long") == F.col(names[0])) & (text_hash("text") == F.col(names[1]))
+    out = docs.join(bounded(of(other)), same, "left_anti")
+    again = of(marked.groupBy("doc_id", "text_hash").count().where("count > 1"))
     if again.isEmpty():
         return out
-    again = saved(again, "repeated")
-    once = out.join(again, F.col("doc_id") == F.col("_id"), "left_anti")
-    return once.unionByName(out.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    again = bounded(again)
+    return out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
