@@ -60,3 +60,57 @@ def test_counts_come_from_all_folds():
     model = toxicity.train(rows, 0.3)
     assert toxicity.word_hashes("onlyhere")[0] in model.words
     assert model.ratios(toxicity.word_hashes("onlyhere"))[0] > 0.5 and model.fit[1:].any()
+
+
+def plain_models(by_class):
+    """log p_1 - log p_0 of a word after another, from the formulas in dictionaries."""
+    from collections import Counter, defaultdict
+
+    vocabulary = {w for docs in by_class for d in docs for w in d}
+    models = []
+    for docs in by_class:
+        before, pairs = defaultdict(set), defaultdict(set)
+        for d in docs:
+            for i in range(1, len(d)):
+                before[d[i]].add(d[i - 1])
+                pairs[d[i - 1], d[i]].add(d[i - 2] if i > 1 else None)
+        k1, k2 = Counter({w: len(x) for w, x in before.items()}), Counter({p: len(x) for p, x in pairs.items()})
+        n = Counter(k1.values())
+        d1 = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        off = lambda k, d: min(k, d if k > 1 else 1)
+        total = sum(k1.values())
+        lowest = sum(off(k, d1) for k in k1.values()) / total / (len(vocabulary) + 1)
+        context, taken = Counter(), Counter()
+        for (v, _), k in k2.items():
+            context[v] += k
+            taken[v] += off(k, toxicity.PAIR_DISCOUNT)
+
+        def p(v, w, k1=k1, k2=k2, d1=d1, total=total, lowest=lowest, context=context, taken=taken, off=off):
+            one = (k1[w] - off(k1[w], d1)) / total + lowest if w in vocabulary else lowest
+            if v is None or v not in vocabulary or not context[v]:
+                return one
+            return (k2[v, w] - off(k2[v, w], toxicity.PAIR_DISCOUNT)) / context[v] + taken[v] / context[v] * one
+
+        models.append(p)
+    return lambda v, w: np.log(models[1](v, w)) - np.log(models[0](v, w))
+
+
+def test_ratios_against_plain_kneser_ney():
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwx"
+    by_class = tuple([rng.choices(letters, weights=w, k=rng.randint(0, 90)) for _ in range(120)] for w in (range(24), [abs(i - 15) for i in range(24)]))
+    hashed = tuple([toxicity.word_hashes(" ".join(d)) for d in docs] for docs in by_class)
+    model, ratio = toxicity.ClassModels(hashed), plain_models(by_class)
+    assert len(model.pairs) > 10
+    for _ in range(50):
+        text = rng.choices(letters + "yz", k=20)
+        want = [ratio(text[i - 1] if i else None, text[i]) for i in range(20)]
+        assert np.allclose(model.ratios(toxicity.word_hashes(" ".join(text))), want, atol=1e-4)
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(corpus(60, 5))] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(corpus(60, 5))] * 2, "doc_id long, toxic int")
+    once = toxicity.fitted(docs.distinct(), labels.distinct())
+    again = toxicity.fitted(docs, labels)
+    assert (once.words == again.words).all() and np.allclose(once.fit, again.fit) and np.allclose(once.unigram, again.unigram)

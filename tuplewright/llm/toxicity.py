@@ -10,7 +10,8 @@ k_c(v, w) those before the pair; B is the share that was taken off. Copies of a
 The lowest level is shared by the classes: each of the V words of both, and any other, is equally likely,
 so that what is too rare to tell is as likely in either. A count of one is taken off whole; above it D1
 is n1 / (n1 + 2 n2), and D2 is ``PAIR_DISCOUNT`` contexts: a pair speaks for itself only when it is
-common in one class, else its words do.
+common in one class, else its words do. (D2 from n1 and n2 of the pairs lets chance pairs outweigh words: README has
+both measured.)
 
 A text's evidence is the length-normalised difference of its log-likelihoods: over the whole text, and
 over its strongest stretch of each of ``WINDOWS`` words (so that an insult in a long text isn't thinned
@@ -25,8 +26,8 @@ and a log ratio for each word and for each pair that passed the discount.
 Words are runs of letters of the lower-cased text, hashed by XXH64.
 
 Nulls and edge cases: a null text is the empty text and gets the score of no evidence; a null label or id is
-not learnt from; labels repeated with another value each count; a null doc_id is scored; repeated rows
-get equal scores; no labels at all: score 0; other columns are ignored.
+not learnt from; labels repeated with another value each count; repeated rows are learnt from once; a null doc_id is
+scored; repeated rows get equal scores; no labels at all: score 0; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,37 +84,44 @@ class ClassModels:
         size = len(self.words)
         codes, contexts = [], []  # per class: distinct bigrams as v * size + w, and the distinct words before each
         for docs in by_class:
-            ids = [np.searchsorted(self.words, d) for d in docs if len(d) > 1]
-            two = np.concatenate([np.zeros(0, np.int64), *(i[:-1] * size + i[1:] for i in ids)])
-            before = np.concatenate([np.zeros(0, np.int64), *(np.append(-1, i[:-2]) for i in ids)])
+            ids = [np.searchsorted(self.words, d).astype(np.int32) for d in docs if len(d) > 1]
+            two = np.concatenate([np.zeros(0, np.int64), *(i[:-1] * np.int64(size) + i[1:] for i in ids)])
+            before = np.concatenate([np.zeros(0, np.int32), *(np.append(np.int32(-1), i[:-2]) for i in ids)])
+            del ids
             order = np.lexsort((before, two))
             two, before = two[order], before[order]
-            new = np.ones(len(two), bool)
-            new[1:] = (two[1:] != two[:-1]) | (before[1:] != before[:-1])
+            del order
+            new = np.append(np.ones(min(1, len(two)), bool), (two[1:] != two[:-1]) | (before[1:] != before[:-1]))
+            del before
             code, count = np.unique(two[new], return_counts=True)
+            del two, new
             codes.append(code)
-            contexts.append(count)
+            contexts.append(count.astype(np.int32))
         cont = [np.bincount(c % max(size, 1), minlength=size) for c in codes]
         shared = 1 / (size + 1)
         either = np.unique(np.concatenate(codes))
-        uni, taken, back, p, seen = [], [], [], [], np.zeros(len(either))
+        group, word = (either // max(size, 1)).astype(np.int32), (either % max(size, 1)).astype(np.int32)
+        seen = []
+        for c in (0, 1):
+            seen.append(np.zeros(len(either), np.int32))
+            seen[c][np.searchsorted(either, codes[c])] = contexts[c]
+        del codes, contexts, either
+        keep = np.maximum(*seen) > PAIR_DISCOUNT  # the others have the value of the lower level
+        uni, taken, back, p = [], [], [], []
         for c in (0, 1):
             share, off = kneser_ney(cont[c], np.zeros(size, np.int64), 1, discount(cont[c]))
             uni.append(share + off[0] * shared)
             taken.append(off[0])
-            n = np.zeros(len(either), np.int64)
-            n[np.searchsorted(either, codes[c])] = contexts[c]
-            share, off = kneser_ney(n, either // max(size, 1), size, PAIR_DISCOUNT)
+            share, off = kneser_ney(seen[c], group, size, PAIR_DISCOUNT)
             back.append(off)
-            p.append(share + off[either // max(size, 1)] * uni[c][either % max(size, 1)])
-            seen = np.maximum(seen, n)
+            p.append(share[keep] + off[group[keep]] * uni[c][word[keep]])
+            del share
         self.unknown = np.float32(np.log(taken[1] / taken[0]))
         self.unigram = np.log(uni[1] / uni[0]).astype(np.float32)
         self.back = np.log(np.maximum(back[1], 1e-9) / np.maximum(back[0], 1e-9)).astype(np.float32)
-        keep = seen > PAIR_DISCOUNT  # the others have the value of the lower level
-        keys = pairs_of(np.stack([self.words[either[keep] // max(size, 1)], self.words[either[keep] % max(size, 1)]]))[0]
+        keys = pairs_of(np.stack([self.words[group[keep]], self.words[word[keep]]]))[0]
         order = np.argsort(keys)
-        self.pairs, self.pair_ratio = keys[order], np.log(p[1] / p[0])[keep][order].astype(np.float32)
+        self.pairs, self.pair_ratio = keys[order], np.log(p[1] / p[0])[order].astype(np.float32)
         self.fit = np.zeros(2 + len(WINDOWS))
 
     def ratios(self, words: np.ndarray) -> np.ndarray:
@@ -156,12 +165,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return beta
 
 
-def train(rows: list[tuple[int, int, str]], share: float) -> ClassModels:
-    """rows: (fold 0..2, label, text). share: of label 1 among all labelled rows, to which the fit's intercept is set.
+def train(rows: list[tuple[int, int, str | np.ndarray]], share: float) -> ClassModels:
+    """rows: (fold 0..2, label, text or its word hashes). share: of label 1 among all labelled rows, to which the fit's intercept is set.
 
     Counts come from folds 0 and 1, the fit from fold 2; then counts from all folds score with that fit.
     """
-    hashed = [(f, y, word_hashes(t)) for f, y, t in rows]
+    hashed = [(f, y, word_hashes(t) if isinstance(t, str) else t) for f, y, t in rows]
     pick = lambda keep: tuple([w for f, y, w in hashed if keep(f) and y == c] for c in (0, 1))
     part = ClassModels(pick(lambda f: f < 2))
     held = [(y, part.features(w)) for f, y, w in hashed if f == 2]
@@ -185,13 +194,23 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ClassMod
     counts = {r[0]: r[1] for r in mine.groupBy("toxic").count().collect()}
     if not counts:
         return train([], 0.0)
-    chosen = [mine.where(F.col("toxic") == c).orderBy("h", "_id").limit(sample) for c in (0, 1)]
-    keys = F.broadcast(chosen[0].unionByName(chosen[1]).select("_id", "toxic", "h"))  # 2 * sample rows at most
+    chosen = [mine.where(F.col("toxic") == c).select("_id", "toxic", "h").distinct().orderBy("h", "_id").limit(sample) for c in (0, 1)]
+    keys = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     fold = F.pmod(F.shiftright("h", 7), F.lit(3)).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(keys, "_id").select(fold.alias("f"), "toxic", "text", "_id")
-    rows = sorted(rows.collect(), key=lambda r: (r["_id"], r["toxic"], r["text"]))
-    return train([(r[0], r[1], r[2]) for r in rows], counts.get(1, 0) / sum(counts.values()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(keys, "_id").select("_id", "toxic", fold.alias("f"), "text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in by_bytes(batches):
+            packed = [pack(t.encode()) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array(packed, pa.binary())], ["_id", "toxic", "f", "text_hash", "packed"])
+
+    found = rows.select("*", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "_id long, toxic int, f int, text_hash long, packed binary").toArrow()
+    found = found.sort_by([(c, "ascending") for c in ("_id", "toxic", "text_hash")])
+    expand = zstandard.ZstdDecompressor().decompress
+    words = [word_hashes(expand(x).decode()) for x in found.column("packed").to_pylist()]
+    return train(list(zip(found.column("f").to_pylist(), found.column("toxic").to_pylist(), words, strict=True)), counts.get(1, 0) / sum(counts.values()))
 
 
 def scored(docs: DataFrame, model: ClassModels, extra: list[str] | None = None) -> DataFrame:
