@@ -111,3 +111,12 @@ def test_empty_tables(spark, tmp_path):
     folder = cases.stored(spark, tmp_path, [])
     for f in (media.op2_media, packing.op3_packing, quality.op9_host_rules):
         assert f(spark, folder).count() == 0
+
+
+def test_hosts_with_clashing_columns_and_no_name(spark):
+    good = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, "# " * 30 if i % 3 else good, None if i % 2 else "s", 7) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _host int")
+    ruled = {r.doc_id: r for r in quality.verdicts(docs).collect()}
+    left = {r.doc_id: r._host for r in quality.kept(docs).collect()}
+    assert len(ruled) == 60 and set(left) == {i for i, r in ruled.items() if r.kept} and set(left.values()) <= {7}

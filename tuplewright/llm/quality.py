@@ -10,8 +10,8 @@ serves fails, so that sound documents of an ordinary host stay.
 
 Plan: one map over the texts (Arrow batches) yields a narrow row per document, saved once. Host sums
 are a partial aggregate, so a host with a third of all rows sends one row per task. The prior comes
-from a second aggregate: one row of two numbers, read by the driver. Verdicts come back by an equi-join
-on host, whose large partitions AQE splits.
+from a second aggregate: one row of two numbers, read by the driver. Verdicts come back by a join on host in
+which hosts of many documents are broadcast and their documents stay where they are (``join_hot``).
 
 Nulls and edge cases: a null or empty text has zero words and fails the base rule; a null source is a
 host of its own; a null doc_id is kept; repeated rows each count; an empty table gives no rows; other
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewright.llm.common import by_bytes, documents, saved, texts
+from tuplewright.llm.common import bounded, by_bytes, documents, free_name, join_hot, saved, texts
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -104,8 +104,10 @@ def host_rates(ruled: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, host: str = "source", rate: float = HOST_RATE) -> DataFrame:
     """The operator: per document its measures, base_failed, host, host_rate and kept."""
     ruled = with_rules(saved(measures(docs, host), "measures"))
-    bad = host_rates(ruled).select(F.col("host").alias("_host"), F.col("rate").alias("host_rate"))
-    joined = ruled.join(bad, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
+    key = F.coalesce(F.concat(F.lit("="), "host"), F.lit("")).alias("key")  # a null host is one of its own
+    rates = saved(host_rates(ruled).select(key, "docs", F.col("rate").alias("host_rate")), "rates")
+    total = rates.agg(F.coalesce(F.sum("docs"), F.lit(0))).first()[0]
+    joined = join_hot(ruled.select("*", key), rates, "key", "docs", total).drop("key")
     return joined.withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= rate))
 
 
@@ -126,10 +128,9 @@ def kept(docs: DataFrame, host: str = "source", rate: float = HOST_RATE) -> Data
             yield batch.filter(pa.array([not base_fails(m[0], m[4]) for m in found], pa.bool_()))
 
     rates = host_rates(with_rules(saved(measures(docs, host), "measures")))
-    bad = saved(rates.where(F.col("rate") > rate).select(F.col("host").alias("_host")), "hosts")
-    if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
-        bad = F.broadcast(bad)
-    return docs.mapInArrow(run, docs.schema).join(bad, F.col(host).cast("string").eqNullSafe(F.col("_host")), "left_anti")
+    name = free_name(docs, "_host")
+    bad = bounded(saved(rates.where(F.col("rate") > rate).select(F.col("host").alias(name)), "hosts"), BROADCAST_HOSTS)
+    return docs.mapInArrow(run, docs.schema).join(bad, F.col(host).cast("string").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
