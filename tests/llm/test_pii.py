@@ -108,3 +108,61 @@ def test_query_bears_the_cases(spark, tmp_path):
 
 def test_empty(spark, tmp_path):
     assert pii.op6_pii(spark, cases.stored(spark, tmp_path, [])).count() == 0
+
+
+def test_dates_in_other_forms(spark):
+    first = datetime.date(1700, 1, 1)
+
+    def new(day, walk=False):
+        while True:
+            day = first + datetime.timedelta(number((day - first).days, "date", 27, 5411))
+            if not walk or day.day > 12:
+                return day
+
+    day = datetime.date(2024, 3, 5)
+    far = new(datetime.date(2024, 1, 13), True)
+    short = lambda d, f: f.format(y=d.year, m=d.month, d=d.day)
+    given = {
+        "2024-03-05T10:00:00": f"{new(day)}T10:00:00",
+        "2024-3-5": short(new(day), "{y}-{m}-{d}"),
+        "3/5/2024": short(new(day), "{m}/{d}/{y}"),
+        "5.3.2024": short(new(day), "{d}.{m}.{y}"),
+        "13/01/2024": far.strftime("%d/%m/%Y"),
+        "13/1/2024": short(far, "{d}/{m}/{y}"),
+        "13/13/2024": "13/13/2024",
+        "31.2.2024": "31.2.2024",
+    }
+    df = spark.createDataFrame([(i, f"on {t}, yes") for i, t in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, KEY).collect()}
+    assert [got[i] for i in range(len(given))] == [f"on {t}, yes" for t in given.values()]
+
+
+def test_query_replaces_values_by_the_sessions_key(spark, tmp_path):
+    texts = {1: "write to ab.42@mail8.example.com or 123-45-6789 on 2024-02-29", 2: "4041894974608795 and 4041894974608795", 3: "call +1 (279) 555-0216"}
+    folder = cases.stored(spark, tmp_path, [(i, t, None, None, 0, 0, "", "", 0) for i, t in texts.items()])
+    before = spark.conf.get(pii.KEY_SETTING, None)
+    try:
+        spark.conf.set(pii.KEY_SETTING, KEY)
+        got = {r.doc_id: r for r in pii.op6_pii(spark, folder).collect()}
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    day = datetime.date(1700, 1, 1) + datetime.timedelta(number((datetime.date(2024, 2, 29) - datetime.date(1700, 1, 1)).days, "date", 27, 5411))
+    n = number(((123 - 1) * 99 + 44) * 9999 + 6788, "ssn", 898, 99 * 9999)
+    area = n // (99 * 9999)
+    ssn = f"{area + (2 if area >= 665 else 1):03}-{n // 9999 % 99 + 1:02}-{n % 9999 + 1:04}"
+    assert got[1].text == f"write to {chars('ab.42', 'email')}@mail8.example.com or {ssn} on {day}"
+    body = chars("404189497460879", "card")
+    card = next(body + d for d in "0123456789" if luhn(body + d))
+    assert got[2].text == f"{card} and {card}" and got[2].n_card == 2
+    assert got[3].text == "call +1" + chars(" (279) 555-0216", "phone")
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 64 and pii.session_key(spark) == drawn and drawn != KEY
+    if before:
+        spark.conf.set(pii.KEY_SETTING, before)
+
+
+def test_clashing_columns_are_kept(spark):
+    df = spark.createDataFrame([(1, "a@b.example.com", 5, 6)], "doc_id long, text string, pii int, _new int")
+    out = pii.pseudonymise(df, KEY)
+    (row,) = out.collect()
+    assert out.columns == ["doc_id", "text", "pii", "_new", "pii_"] and (row.pii, row._new, row.pii_.email) == (5, 6, 1)

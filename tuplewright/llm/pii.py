@@ -14,30 +14,37 @@ card   13 to 19 digits, also in groups; Luhn;       all digits but the last, whi
 ip     four numbers of 0 to 255                     the 32-bit address
 phone  +country or (area), 7 to 14 more digits      the digits after the country code
 ssn    ddd-dd-dddd, no void area, group or serial   within the valid numbers
-date   y-m-d, m/d/y, d.m.y of the years 1700-2099   within the 400 years' days
+date   y-m-d, m/d/y, d/m/y, d.m.y, years 1700-2099  within the 400 years' days; what can be d/m/y only stays so
 =====  ===========================================  ==============================================
 
 A value that fails its validation is left as it is. The parts of a text between the values stay
 byte for byte.
 
+A date may open a timestamp and may have one digit for day or month; its pseudonym is then written without padding.
+The key is the setting ``spark.tuplewright.pii.key``. A session without one draws a random key for itself, so its
+pseudonyms can't be inverted, and don't link to those of other sessions.
+
 Plan: one projection, no shuffle; texts without digit or @ are passed on after one plain scan, and the
 network runs on found values only. Pieces and values come from ``split`` and ``regexp_extract_all`` by
 the same pattern, which has no empty match, and are zipped together again.
 
 Nulls and edge cases: a null text stays null with zero counts; other columns, null or not, are kept;
-repeated rows get equal results; a text of any length is taken whole; an empty table gives no rows.
+repeated rows get equal results; a text of any length is taken whole; an empty table gives no rows. A column of docs
+named ``pii`` is kept; the counts' name is then longer (``pii_``).
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewright.llm.common import documents
+from tuplewright.llm.common import documents, free_name
 
 ROUNDS = 8
 KEY_SETTING = "spark.tuplewright.pii.key"
-DEFAULT_KEY = "set spark.tuplewright.pii.key"
+WALK = 64
 KINDS = ("email", "card", "ip", "phone", "ssn", "date")
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -45,7 +52,7 @@ FORMATS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "ip": rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\w)",
     "ssn": r"(?<![\w-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![\w-])",
-    "date": r"(?<![\w./-])(?:(?:1[789]|20)[0-9]{2}-[01][0-9]-[0-3][0-9]|[01][0-9]/[0-3][0-9]/(?:1[789]|20)[0-9]{2}|[0-3][0-9]\.[01][0-9]\.(?:1[789]|20)[0-9]{2})(?![\w/-])",
+    "date": r"(?<![\w./-])(?:(?:1[789]|20)[0-9]{2}-[01]?[0-9]-[0-3]?[0-9]|[0-3]?[0-9]/[0-3]?[0-9]/(?:1[789]|20)[0-9]{2}|[0-3]?[0-9]\.[01]?[0-9]\.(?:1[789]|20)[0-9]{2})(?:(?![\w/-])|(?=T[0-9]{2}))",
     "phone": r"(?:(?<![\w+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})|(?<!\w)\([0-9]{3}\))(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)",
 }
 #: a run of digit groups, in which cards are looked for; it ends before a value of another kind
@@ -178,14 +185,24 @@ def _ssn(value: Column, key: Column) -> Column:
 
 
 def _date(value: Column, key: Column) -> Column:
-    """400 years have 146097 = 27 * 5411 days."""
+    """400 years have 146097 = 27 * 5411 days. A day that can't be a month is permuted again until it can't be one (cycle walking)."""
     first = F.lit("1700-01-01").cast("date")
+    moved = lambda day: F.date_add(first, permute_number(F.datediff(day, first), key, "date", 27, 5411).cast("int"))
+
+    def walked(day: Column) -> Column:
+        start = F.struct(moved(day).alias("d"))
+        step = lambda s, _: F.when(F.dayofmonth(s["d"]) > 12, s).otherwise(F.struct(moved(s["d"]).alias("d")))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, step)["d"]
 
-    def in_format(f: str) -> Column:
-        day = F.try_to_date(value, f)
-        return F.when(day.isNotNull(), _let(permute_number(F.datediff(day, first), key, "date", 27, 5411), lambda n: F.date_format(F.date_add(first, n.cast("int")), f)))
+    def in_format(f: str, move=moved) -> Column:
+        short = f.replace("MM", "M").replace("dd", "d")
+        day = F.try_to_date(value, short)
+        padded = F.length(value) == len(f)
+        return F.when(day.isNotNull(), _let(move(day), lambda d: F.when(padded, F.date_format(d, f)).otherwise(F.date_format(d, short))))
 
-    return F.when(value.contains("-"), in_format("yyyy-MM-dd")).when(value.contains("/"), in_format("MM/dd/yyyy")).otherwise(in_format("dd.MM.yyyy"))
+    month_first = F.regexp_extract(value, "^[0-9]+", 0).cast("int") <= 12
+    slashes = F.when(month_first, in_format("MM/dd/yyyy")).otherwise(in_format("dd/MM/yyyy", walked))
+    return F.when(value.contains("-"), in_format("yyyy-MM-dd")).when(value.contains("/"), slashes).otherwise(in_format("dd.MM.yyyy"))
 
 
 def _phone(value: Column, key: Column) -> Column:
@@ -226,9 +243,18 @@ def find(text: Column, key: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), looked_up)
 
 
+def session_key(spark: SparkSession) -> str:
+    """The session's key; a random one, kept for the session, where none is set."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
 def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text") -> DataFrame:
     """The operator: docs with the column's values replaced, and ``pii`` = struct of a count for each kind."""
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, DEFAULT_KEY)
+    key = key or session_key(docs.sparkSession)
     text = F.col(column).cast("string")
 
     def replaced(found: Column) -> Column:
@@ -238,8 +264,9 @@ def pseudonymise(docs: DataFrame, key: str | None = None, column: str = "text")
         return F.struct(joined.alias("text"), counts.alias("pii"))
 
     none = F.struct(text.alias("text"), F.struct(*(F.lit(0).cast("long").alias(k) for k in KINDS)).alias("pii"))
-    out = docs.withColumn("_new", F.when(text.rlike("[0-9@]"), _let(find(text, F.lit(key)), replaced)).otherwise(none))
-    return out.withColumns({column: F.col("_new.text"), "pii": F.col("_new.pii")}).drop("_new")
+    new, counts = free_name(docs, "_new"), free_name(docs, "pii")
+    out = docs.withColumn(new, F.when(text.rlike("[0-9@]"), _let(find(text, F.lit(key)), replaced)).otherwise(none))
+    return out.withColumns({column: F.col(f"{new}.text"), counts: F.col(f"{new}.pii")}).drop(new)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
