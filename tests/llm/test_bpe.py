@@ -56,3 +56,17 @@ def test_splitters_agree_on_every_character():
         chars = [chr(c) for c in range(a, a + 256) if not 0xD800 <= c < 0xE000]
         for text in (f"{c}x1_ {c}{c} {c}" for c in chars):
             assert split(text) == find(text), hex(ord(text[0]))
+
+
+def test_long_words_and_a_foreign_decoding(spark):
+    rng = random.Random(9)
+    enc = reference()
+    ranks = bpe.ranks_of(PATH)
+    for word in [b"x", b"ab" * 700, "é日".encode() * 400, *("".join(rng.choices("abcdeé", k=rng.randint(2, 40))).encode() for _ in range(500))]:
+        assert bpe.merge_by_heap(word, ranks) == enc._encode_single_piece(word)
+    began = time.time()
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1 << 20)).encode()
+    assert b"".join(bpe.vocabulary(PATH)[i] for i in bpe.merge_by_heap(word, ranks)) == word and time.time() - began < 60
+    df = spark.createDataFrame([(0, bytearray(b"abc"), None), (0, bytearray(b"abc"), [5, 6])], "shard int, word binary, long_ids array<int>")
+    rows = sorted(bpe.encoded_words(df, PATH).collect(), key=lambda r: r.plain is not None)
+    assert rows[0].plain is None and bytes(rows[1].plain) == bpe.vocabulary(PATH)[5] + bpe.vocabulary(PATH)[6]

@@ -5,11 +5,13 @@ A word's bytes are characters U+0000 to U+00FF; a fold over at most its length m
 of least rank until none has a rank, holding the boundaries between pieces and the ranks of their pairs,
 of which a merge changes two. Ranks come from a literal map of the vocabulary: ``BUCKETS`` small maps in a
 literal array, addressed by the key's hash, since a lookup in one large map literal is a scan.
-Decoding takes the binary pieces of ids from a literal array and concatenates them.
+Decoding takes the binary pieces of ids from a literal array and concatenates them, for each distinct word as well.
+A word of more than ``LONG`` bytes, for which the fold's square would be long, is merged by a heap of its pairs in
+Python instead, to the same ids in n log n steps.
 
 Plan. A word is encoded once for the whole corpus, not once a text. Documents become blocks with a
 dictionary each (blocks.py); the dictionaries' words meet by shard, are made distinct and folded; the ids
-return to the blocks and the documents read theirs off. Moved are dictionaries and blocks' numbers, never
+return to the blocks, with the decoded bytes where these aren't the word's own, and the documents read theirs off. Moved are dictionaries and blocks' numbers, never
 rows of words: about the size of the compressed input in all. No table of all words is ever broadcast.
 
 Bounds: a block's bytes and a shard's words (see blocks.py); a hot text or word has no effect on them.
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +39,7 @@ from tuplewright.llm import blocks as B
 from tuplewright.llm.common import by_bytes, documents, saved, saved_by
 
 BUCKETS = 1 << 15
+LONG = 1024
 NO_RANK = 2**31 - 1
 SHIFT = 2**32
 ABSENT = NO_RANK * SHIFT
@@ -135,6 +139,41 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
     return words.withColumn("ids", encode_word(F.col("word"), rank_map(vocabulary(path))))
 
 
+@lru_cache(maxsize=2)
+def ranks_of(path: str) -> dict[bytes, int]:
+    return {piece: rank for rank, piece in enumerate(vocabulary(path)) if piece}
+
+
+def merge_by_heap(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: a heap of (rank, offset, end) of neighbouring pieces, in which outdated pairs are passed over."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the piece that starts at each offset; 0: merged away
+
+    def pair(a: int) -> tuple[int, int, int] | None:
+        b = end[a]
+        rank = ranks.get(word[a : end[b]]) if b < n else None
+        return None if rank is None else (rank, a, end[b])
+
+    heap = [p for p in map(pair, range(n)) if p]
+    heapq.heapify(heap)
+    while heap:
+        _, a, c = heapq.heappop(heap)
+        b = end[a]
+        if not b or b >= n or end[b] != c:
+            continue
+        end[a], end[b] = c, 0
+        if c < n:
+            before[c] = a
+        for start in (before[a], a):
+            if start >= 0 and (p := pair(start)):
+                heapq.heappush(heap, p)
+    out, a = [], 0
+    while a < n:
+        out.append(ranks[word[a : end[a]]])
+        a = end[a]
+    return out
+
+
 def splitter(pattern: str):
     """A function from a text to its matches.
 
@@ -164,20 +203,35 @@ def _block_rows(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, B.SCHEMA)
 
 
-def _distinct(table: pa.Table) -> pa.Table:
-    words: set[bytes] = set()
-    for data in table.column("data").to_pylist():
-        words.update(B.parted(B.expand(data)))
-    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()] * len(words), pa.int32()), "word": pa.array(list(words), pa.binary())})
+def _distinct(path: str):
+    def run(table: pa.Table) -> pa.Table:
+        """A shard's distinct words, and the ids of the long ones."""
+        words: set[bytes] = set()
+        for data in table.column("data").to_pylist():
+            words.update(B.parted(B.expand(data)))
+        ids = [merge_by_heap(w, ranks_of(path)) if len(w) > LONG else None for w in words]
+        shard = pa.array([table.column("shard")[0].as_py()] * len(words), pa.int32())
+        return pa.table({"shard": shard, "word": pa.array(list(words), pa.binary()), "long_ids": pa.array(ids, pa.list_(pa.int32()))})
+
+    return run
+
+
+def encoded_words(distinct: DataFrame, path: str) -> DataFrame:
+    """shard, word, ids as decimal numbers with commas, and plain: what the ids decode to, null if that is the word."""
+    pieces = vocabulary(path)
+    ids = F.coalesce("long_ids", encode_word(F.when(F.col("long_ids").isNull(), F.col("word")), rank_map(pieces)))
+    decoded = distinct.select("shard", "word", ids.alias("ids")).select("shard", "word", "ids", _let(piece_array(pieces), lambda p: decode_ids(F.col("ids"), p)).alias("plain"))
+    return decoded.select("shard", "word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.when(~F.col("plain").eqNullSafe(F.col("word")), F.coalesce("plain", F.lit(b""))).alias("plain"))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of words and their ids to compressed lists of both, some for each shard."""
+    """Rows of words and their ids to compressed lists of both, some for each shard. A decoded value follows its ids after a colon."""
     for batch in batches:
         shards = batch.column(0).to_numpy()
         for shard in np.unique(shards).tolist():
             part = batch.filter(pa.array(shards == shard))
-            data = B.squeeze(B.joined([*part.column(1).to_pylist(), *(x.encode() for x in part.column(2).to_pylist())]))
+            found = [i if p is None else i + ":" + p.hex() for i, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            data = B.squeeze(B.joined([*part.column(1).to_pylist(), *(x.encode() for x in found)]))
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([data], pa.binary())], ["shard", "data"])
 
 
@@ -199,31 +253,32 @@ def encoded_documents(docs: DataFrame, path: str, pattern: str, finish, schema:
         shards = max(2 * spark.sparkContext.defaultParallelism, docs.select("doc_id").rdd.getNumPartitions())
     rows = saved_by(_block_rows(docs, pattern, shards), "bpe-blocks", "block", shards)
     shares = rows.where("shard >= 0")
-    distinct = shares.select("shard", "data").groupBy("shard").applyInArrow(_distinct, "shard int, word binary")
-    encoded = saved(encode_words(distinct, path).select("shard", "word", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")), "bpe-words")
+    distinct = shares.select("shard", "data").groupBy("shard").applyInArrow(_distinct(path), "shard int, word binary, long_ids array<int>")
+    encoded = saved(encoded_words(distinct, path), "bpe-words")
     gathered = encoded.mapInArrow(_gathered, "shard int, data binary")
     found = shares.groupBy("shard").cogroup(gathered.groupBy("shard")).applyInArrow(_look_up, B.SCHEMA)
     names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
 
-    def read_off(docs: pa.Table, found: pa.Table) -> pa.Table:
-        pieces = {str(i): p for i, p in enumerate(vocabulary(path))}
-        shares = [(s, B.expand(d).decode().split("\n")) for s, d in zip(found.column("shard").to_pylist(), found.column("data").to_pylist(), strict=True)]
-        out = []
-        for data in docs.column("data").to_pylist():
-            block = B.Block.of(data)
-            ids = B.answers(block, shares)
-            plain = np.array([b"".join(map(pieces.__getitem__, x.split(","))) for x in ids], object)
-            ids, at = np.array(ids, object), 0
-            for doc, n in zip(block.ids, block.lengths.tolist(), strict=True):
-                mine = block.tokens[at : at + n]
-                at += n
-                out.append(finish(doc, ids[mine].tolist(), plain[mine].tolist()))
+    def read_off(own: pa.Table, found: pa.Table) -> pa.Table:
+        """own: a block and its shares of words; found: the shares' ids."""
+        parts = list(zip(own.column("shard").to_pylist(), own.column("data").to_pylist(), strict=True))
+        block = next(B.Block.of(d) for s, d in parts if s < 0)
+        words = B.answers(block, [(s, B.parted(B.expand(d)) or [b""]) for s, d in parts if s >= 0])
+        ids = B.answers(block, [(s, B.expand(d).decode().split("\n")) for s, d in zip(found.column("shard").to_pylist(), found.column("data").to_pylist(), strict=True)])
+        for i in (i for i, x in enumerate(ids) if ":" in x):
+            ids[i], plain = ids[i].split(":")
+            words[i] = bytes.fromhex(plain)
+        plain, ids, at, out = np.array([*words, None], object)[:-1], np.array(ids, object), 0, []
+        for doc, n in zip(block.ids, block.lengths.tolist(), strict=True):
+            mine = block.tokens[at : at + n]
+            at += n
+            out.append(finish(doc, ids[mine].tolist(), plain[mine].tolist()))
         return pa.table({name: [r[k] for r in out] for k, name in enumerate(names)}, schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
-    return rows.where("shard = -1").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(read_off, schema)
+    return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(read_off, schema)
 
 
 def _digests(doc: int | None, ids: list[str], plain: list[bytes]) -> tuple:
