@@ -99,3 +99,36 @@ def test_lambdas_and_threads_in_points_to(spark):
     for extra in (C.THREADS, C.FINALIZERS, C.REFLECTION):
         program = parse(A.DECLS + A.HIERARCHY + A.LOOKUP + A.points_to(A.policy("micro"), False, False) + extra)
         strata(program, program.relations)
+
+
+def test_shipped_dead_code(spark):
+    given = {"instruction": [("a1", "a"), ("a2", "a"), ("b1", "b"), ("b2", "b"), ("b3", "b"), ("b4", "b")], "follows": [("a1", "a2"), ("b1", "b2"), ("b2", "b3"), ("b1", "b4"), ("b3", "b4")], "uses_type": [("a1", "T")], "phantom": [("T",)], "invokes": [("b2", "a")]}
+    assert run(spark, C.DEAD_CODE, given, "DeadInstruction", "DeadMethod") == [[("a1",), ("a2",), ("b2",), ("b3",)], [("a",)]]
+
+
+def test_nested_loops(spark):
+    edge = [(1, 2), (2, 3), (3, 4), (4, 3), (4, 5), (5, 2), (5, 6), (6, 6)]
+    dominates = [(a, b) for a in range(1, 7) for b in range(a, 7)]
+    given = {"dominates": dominates, "edge": edge, "adds": [("i", 4, 2)], "assigns": [("i", 4), ("i", 1)]}
+    loop, induction = run(spark, C.LOOPS, given, "Loop", "Induction")
+    assert loop == [(2, 2), (2, 3), (2, 4), (2, 5), (3, 3), (3, 4), (6, 6)] and induction == [("i", 2, 2), ("i", 3, 2)]
+
+
+def test_threads_finalizers_and_reflection_run(spark):
+    out = {n: [] for n in A.NORMAL}
+    out["is_class"] = [("java.lang.Object",), ("java.lang.Thread",), ("M",), ("W",), ("java.lang.Class",)]
+    out["extends"] = [("W", "java.lang.Thread"), ("java.lang.Thread", "java.lang.Object")]
+    out["main_class"] = [("M",)]
+    out["method"] = [("main", "main", "()", "M"), ("start", "start", "void()", "java.lang.Thread"), ("W.run", "run", "void()", "W"), ("W.finalize", "finalize", "void()", "W"), ("forName", "forName", "(S)", "java.lang.Class"), ("newInstance", "newInstance", "()", "java.lang.Class")]
+    out["modifier"] = [("main", "static"), ("forName", "static"), ("start", "abstract"), ("newInstance", "abstract")]
+    out["alloc"], out["heap"] = [("a", "W1", "main"), ("s", "text", "main")], [("W1", "W"), ("text", "java.lang.String")]
+    out["this"] = [("W.run", "W.run/this"), ("W.finalize", "W.finalize/this")]
+    out["virtual_call"] = [("i1", "a", "main", "start"), ("i3", "c", "main", "newInstance")]
+    out["static_call"] = [("i2", "main", "forName")]
+    out["actual"] = [("i2", 0, "s")]
+    out["assigned"] = [("i2", "c"), ("i3", "o")]
+    facts = example.normal(spark, out) | {"string_value": spark.createDataFrame([("text", "W")], "h string, text string")}
+    r = A.analyse(spark, facts, "micro", "VarPointsTo", "Reachable", extra=C.THREADS + C.FINALIZERS + C.REFLECTION)
+    values = {(x, h) for _, h, _, x in rows(r["VarPointsTo"])}
+    assert {("W.run/this", "W1"), ("W.finalize/this", "W1"), ("c", "<class W>"), ("o", "i3/new W")} <= values
+    assert {("W.run",), ("W.finalize",)} <= set(rows(r["Reachable"]))

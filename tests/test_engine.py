@@ -182,3 +182,63 @@ def test_mutual_recursion_of_three(spark):
             want[1 - k].add(b)
     assert {x for (x,) in rows(r["even"])} == want[0] and {x for (x,) in rows(r["odd"])} == want[1]
     assert {x for (x,) in rows(r["both"])} == want[0] & want[1]
+
+
+def test_lists_and_nil(spark):
+    text = """
+    .type L = [head: number, tail: L]
+    .decl item(k: symbol, n: number, x: number)
+    .decl size(k: symbol, n: number)
+    .decl list(k: symbol, n: number, l: L)
+    .decl whole(k: symbol, l: L)
+    .decl sum(l: L, s: number)
+    .decl total(k: symbol, s: number)
+    .decl short(k: symbol)
+    .decl same(a: symbol, b: symbol)
+    list(k, 0, nil) :- item(k, _, _).
+    list(k, n, [x, l]) :- list(k, m, l), n = m + 1, item(k, n, x).
+    size(k, n) :- item(k, _, _), n = max m : { item(k, m, _) }.
+    whole(k, l) :- size(k, n), list(k, n, l).
+    sum(nil, 0).
+    sum(l, x + s) :- list(_, _, l), l = [x, t], sum(t, s).
+    total(k, s) :- whole(k, l), sum(l, s).
+    short(k) :- whole(k, [_, nil]).
+    same(a, b) :- whole(a, l), whole(b, l), a != b.
+    """
+    items = spark.createDataFrame([("a", 1, 5), ("a", 2, -7), ("b", 1, 30), ("c", 1, 5), ("c", 2, -7)], "k string, n long, x long")
+    r = evaluate(spark, text, {"item": items}, "total", "short", "same", "list")
+    assert rows(r["total"]) == [("a", -2), ("b", 30), ("c", -2)] and rows(r["short"]) == [("b",)]
+    assert rows(r["same"]) == [("a", "c"), ("c", "a")] and r["list"].count() == 8
+
+
+def test_nil_of_flat_records_reaches_a_fixpoint(spark):
+    text = """
+    .type P = [a: symbol, b: symbol]
+    .decl edge(x: symbol, y: symbol)
+    .decl p(x: symbol, c: P)
+    .decl bare(x: symbol)
+    .decl full(x: symbol, a: symbol)
+    .decl other(x: symbol)
+    p(x, nil) :- edge(x, _).
+    p(y, c) :- p(x, c), edge(x, y).
+    p(y, [x, y]) :- edge(x, y), x != y.
+    bare(x) :- p(x, c), c = nil.
+    full(x, a) :- p(x, [a, _]).
+    other(x) :- edge(_, x), !p(x, nil).
+    """
+    r = evaluate(spark, text, {"edge": edges(spark, [("a", "b"), ("b", "a"), ("c", "c")])}, "bare", "full", "other", "p")
+    assert rows(r["bare"]) == [("a",), ("b",), ("c",)] and rows(r["other"]) == []
+    assert rows(r["full"]) == [("a", "a"), ("a", "b"), ("b", "a"), ("b", "b")] and r["p"].count() == 7
+
+
+def test_ranges_and_ord_as_a_number(spark):
+    text = """
+    .decl w(x: symbol)
+    .decl at(x: symbol, n: number)
+    .decl bucket(x: symbol, n: number)
+    at(x, n) :- w(x), n = range(1, strlen(x)).
+    bucket(x, (ord(x) * 3) % 11) :- w(x).
+    """
+    r = evaluate(spark, text, {"w": spark.createDataFrame([("abc",), ("a",)], "x string")}, "at", "bucket")
+    assert rows(r["at"]) == [("abc", 1), ("abc", 2)]
+    assert len(rows(r["bucket"])) == 2 and all(0 <= n < 11 for _, n in rows(r["bucket"]))

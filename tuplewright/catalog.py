@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tuplewright.operators.idioms", "tuplewright.operators.recursive")
+MODULES = ("tuplewright.operators.idioms", "tuplewright.operators.recursive", "tuplewright.operators.programs")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,7 +25,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closure of trade between nations, by the rule engine."""
+    """The closure of the parts' forest, by the rule engine."""
     from tuplewright.operators import recursive
 
-    return recursive.tc_linear(spark, sf_dir)
+    return recursive.ancestors_linear(spark, sf_dir)

@@ -2,7 +2,8 @@
 
 Conventions: ``match`` is a whole-string match; ``contains`` has the needle first; ``substr`` counts from
 0; ``/`` and ``%`` truncate towards zero and give null (no row) for a zero divisor; ``ord`` orders symbols
-as their text does. Strings are measured in characters.
+as their text does, and in arithmetic it is a number of the symbol (a hash of 31 bits). ``x = range(a, b)`` gives each
+number from a up to b, b left out. Strings are measured in characters.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ def ord_(symbol: Column) -> Column:
     return symbol
 
 
+def number_of(symbol: Column) -> Column:
+    return F.pmod(F.xxhash64(symbol.cast("string")), F.lit(1 << 31))
+
+
 def div(a: Column, b: Column) -> Column:
     a, b = a.cast("long"), b.cast("long")
     return F.when(b != 0, F.call_function("div", a, F.when(b != 0, b)))
@@ -77,6 +82,27 @@ FUNCTORS: dict[str, tuple[Callable[..., Column], str]] = {
 }
 
 
+#: the values that arithmetic by name gives; none for another operator
+_ARITHMETIC: dict[str, Callable[[Column, Column], Column]] = {
+    "+": lambda a, b: a.cast("long") + b.cast("long"),
+    "-": lambda a, b: a.cast("long") - b.cast("long"),
+    "*": lambda a, b: a.cast("long") * b.cast("long"),
+    "/": div,
+    "%": mod,
+}
+
+
+def calculate(operator: Column, a: Column, b: Column) -> Column:
+    """What the operator that a column names makes of two numbers."""
+    out = F
+    for sign, value in _ARITHMETIC.items():
+        out = out.when(operator == sign, value(a, b))
+    return out
+
+
+FUNCTORS["@calculate"] = (calculate, "number")
+
+
 def register(name: str, function: Callable[..., Column], result: str = "symbol") -> None:
     """Makes a function of columns callable in rules as ``@name(...)``; for a Python UDF pass its wrapped form."""
     FUNCTORS[f"@{name}"] = (function, result)

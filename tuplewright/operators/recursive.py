@@ -1,7 +1,8 @@
-"""Recursion, and the analyses as relations of the driver's tables.
+"""Recursion over whole tables of the driver, by doubling and by the engine's rules.
 
-``closure`` doubles paths: logarithmically many rounds in the longest path, each written to the shared
-folder. ``components`` and the rule programs are semi-naive fixpoints of the engine.
+``closure`` doubles paths: logarithmically many rounds in the longest path, of which each joins only what the
+last one found, written to the shared folder. The rule programs are semi-naive fixpoints of the engine.
+The analyses' own programs are registered in programs.py.
 """
 
 from __future__ import annotations
@@ -37,30 +38,23 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """The transitive closure of edges (a, b): each round joins the paths so far with themselves, until none is new."""
-    paths = saved(edges.select("a", "b").distinct())
-    n = paths.count()
-    while True:
-        longer = paths.select("a", F.col("b").alias("k")).join(paths.select(F.col("a").alias("k"), "b"), "k").select("a", "b")
-        paths = saved(paths.unionByName(longer).distinct())
-        now = paths.count()
-        if now == n:
-            return paths
-        n = now
+    """The transitive closure of edges (a, b), further columns added up along a path: each round joins what the last found with all."""
+    sums = [c for c in edges.columns if c not in ("a", "b")]
+    delta = saved(edges.distinct())
+    paths = delta
 
+    def step(left: DataFrame, right: DataFrame) -> DataFrame:
+        l, r = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)) for side, df in (("l", left), ("r", right)))
+        both = l.join(r, F.col("l_b") == F.col("r_a"))
+        return both.select(F.col("l_a").alias("a"), F.col("r_b").alias("b"), *((F.col(f"l_{c}") + F.col(f"r_{c}")).alias(c) for c in sums))
 
-def trade(spark, d) -> DataFrame:
-    """From a customer's nation to the supplier's, where a whole order line of the largest quantity was returned at the highest discount."""
-    i = table(spark, d, "lineitem").where("l_quantity = 50 and l_returnflag = 'R' and l_discount = 0.1")
-    j = i.join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return j.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).distinct()
+    while True:
+        delta = saved(step(delta, paths).unionByName(step(paths, delta)).distinct().join(paths, paths.columns, "left_anti"))
+        if delta.isEmpty():
+            return paths
+        paths = paths.unionByName(delta)
 
 
-TRADE = (
-    "edge as (select distinct c_nationkey as a, s_nationkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey "
-    "join supplier on l_suppkey = s_suppkey where l_quantity = 50 and l_returnflag = 'R' and l_discount = 0.1)"
-)
-PATHS = f"with recursive {TRADE}, path as (select a, b from edge union select path.a, edge.b from path join edge on path.b = edge.a) "
 FOREST = "sub as (select p_partkey as c, p_partkey // 2 as p from part where p_partkey > 0)"
 
 
@@ -68,86 +62,72 @@ def forest(spark, d) -> DataFrame:
     return table(spark, d, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("c"), F.expr("p_partkey div 2").alias("p"))
 
 
+PATHS = f"with recursive {FOREST}, path as (select c as a, p as b from sub union select path.a, sub.p from path join sub on path.b = sub.c) "
+
+
+def edges(spark, d) -> DataFrame:
+    return forest(spark, d).select(F.col("c").alias("a"), F.col("p").alias("b"))
+
+
 @query(PATHS + "select a, b from path")
-def tc_doubling(spark, d):
-    return closure(trade(spark, d))
+def ancestors_doubling(spark, d):
+    return closure(edges(spark, d))
 
 
 @query(PATHS + "select a, b from path")
-def tc_linear(spark, d):
+def ancestors_linear(spark, d):
     rules = ".decl edge(a: number, b: number) .decl path(a: number, b: number) path(x, y) :- edge(x, y). path(x, z) :- path(x, y), edge(y, z)."
-    return evaluate(spark, rules, {"edge": trade(spark, d)}, "path")["path"]
+    return evaluate(spark, rules, {"edge": edges(spark, d)}, "path")["path"]
 
 
 @query(PATHS + "select a, b from path")
-def tc_nonlinear(spark, d):
+def ancestors_nonlinear(spark, d):
     rules = ".decl edge(a: number, b: number) .decl path(a: number, b: number) path(x, y) :- edge(x, y). path(x, z) :- path(x, y), path(y, z)."
-    return evaluate(spark, rules, {"edge": trade(spark, d)}, "path")["path"]
+    return evaluate(spark, rules, {"edge": edges(spark, d)}, "path")["path"]
 
 
-@query(f"with recursive {TRADE}, path as (select a, b, 1 as n from edge union select path.a, edge.b, n + 1 from path join edge on path.b = edge.a where n < 3) select distinct a, b, n from path")
-def tc_bounded_depth(spark, d):
+@query(f"with recursive {FOREST}, path as (select c as a, p as b, 1 as n from sub union select path.a, sub.p, n + 1 from path join sub on path.b = sub.c where n < 3) select a, b, n from path")
+def ancestors_bounded(spark, d):
     rules = ".decl edge(a: number, b: number) .decl path(a: number, b: number, n: number) path(x, y, 1) :- edge(x, y). path(x, z, n + 1) :- path(x, y, n), edge(y, z), n < 3."
-    return evaluate(spark, rules, {"edge": trade(spark, d)}, "path")["path"]
+    return evaluate(spark, rules, {"edge": edges(spark, d)}, "path")["path"]
 
 
-_SCC = PATHS + ", node as (select a as x from edge union select b from edge), same as (select x as a, x as b from node union select p.a, p.b from path p join path q on p.a = q.b and p.b = q.a) "
+#: parts refer to their parent in the forest, and a parent to a child that is smaller
+_REFERS = f"{FOREST}, refers as (select c as a, p as b from sub where p > 0 union select p, c from sub join part x on x.p_partkey = c join part y on y.p_partkey = p where y.p_size > x.p_size)"
+_SCC = f"with recursive {_REFERS}, path as (select a, b from refers union select path.a, refers.b from path join refers on path.b = refers.a), node as (select a as x from refers union select b from refers), same as (select x as a, x as b from node union select p.a, p.b from path p join path q on p.a = q.b and p.b = q.a) "
 
 
 def _components(spark, d, *wanted):
-    text = lambda c: F.lpad(F.col(c).cast("string"), 3, "0")
-    return A.run(spark, A.COMPONENTS, {"refers": trade(spark, d).select(text("a").alias("a"), text("b").alias("b"))}, *wanted)
+    size = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size").distinct()
+    up = forest(spark, d).where("p > 0")
+    of = lambda c: size.select(F.col("k").alias(c), F.col("p_size").alias(f"{c}_size"))
+    down = up.join(of("c"), "c").join(of("p"), "p").where("p_size > c_size")
+    text = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    refers = up.select(text("c").alias("a"), text("p").alias("b")).unionByName(down.select(text("p").alias("a"), text("c").alias("b")))
+    return A.run(spark, A.COMPONENTS, {"refers": refers}, *wanted)
 
 
-@query(_SCC + "select lpad(cast(a as varchar), 3, '0') as a, lpad(cast(min(b) as varchar), 3, '0') as rep from same group by a")
-def scc_min_rep(spark, d):
+@query(_SCC + "select lpad(cast(a as varchar), 12, '0') as a, lpad(cast(min(b) as varchar), 12, '0') as rep from same group by a")
+def component_min_rep(spark, d):
     return _components(spark, d, "SCC")["SCC"]
 
 
-@query(_SCC + "select lpad(cast(r as varchar), 3, '0') as rep, count(*) as n from (select a, min(b) as r from same group by a) group by r")
-def scc_counts(spark, d):
+@query(_SCC + "select lpad(cast(r as varchar), 12, '0') as rep, count(*) as n from (select a, min(b) as r from same group by a) group by r")
+def component_counts(spark, d):
     return _components(spark, d, "SCCSize")["SCCSize"]
 
 
 @query(f"with recursive {FOREST}, up as (select c, p, 1 as n from sub union select up.c, sub.p, n + 1 from up join sub on up.p = sub.c) select c, p, n from up")
 def counter_recursion(spark, d):
-    """Ancestors with their distance: the pairs double in reach each round, distances add."""
-    up = saved(forest(spark, d).withColumn("n", F.lit(1)))
-    known = up.count()
-    while True:
-        longer = up.join(up.select(F.col("c").alias("p"), F.col("p").alias("q"), F.col("n").alias("m")), "p").select("c", F.col("q").alias("p"), (F.col("n") + F.col("m")).alias("n"))
-        up = saved(up.unionByName(longer).distinct())
-        if (now := up.count()) == known:
-            return up
-        known = now
-
-
-@query(
-    f"with recursive {TRADE}, start as (select min(a) as s from edge), node as (select a as x from edge union select b from edge), "
-    "reach as (select s as x from start union select b from reach join edge on x = a), "
-    "avoid as (select n.x as a, s as b from node n, start where n.x <> s union select avoid.a, edge.b from avoid join edge on avoid.b = edge.a where avoid.a <> edge.b) "
-    "select r.x as a, q.x as b from reach r, reach q where not exists (select 1 from avoid v where v.a = r.x and v.b = q.x)"
-)
-def complement_dominators(spark, d):
-    rules = """
-    .decl edge(a: number, b: number) .decl node(x: number) .decl start(x: number) .decl reach(x: number)
-    .decl avoid(a: number, b: number) .decl dominates(a: number, b: number)
-    node(x), node(y) :- edge(x, y).
-    start(s) :- s = min x : { edge(x, _) }.
-    reach(s) :- start(s).
-    reach(y) :- reach(x), edge(x, y).
-    avoid(a, s) :- node(a), start(s), a != s.
-    avoid(a, c) :- avoid(a, b), edge(b, c), a != c.
-    dominates(a, b) :- reach(a), reach(b), !avoid(a, b).
-    """
-    return evaluate(spark, rules, {"edge": trade(spark, d)}, "dominates")["dominates"]
+    """Ancestors with their distance: reach doubles each round, distances add."""
+    return closure(edges(spark, d).withColumn("n", F.lit(1))).select(F.col("a").alias("c"), F.col("b").alias("p"), "n")
 
 
 @query(
     f"with recursive {FOREST}, own as (select distinct p_partkey as t, p_size % 4 as name from part), look as (select name, t, t as m from own "
     "union select look.name, sub.c, look.m from look join sub on sub.p = look.t where not exists (select 1 from own where own.t = sub.c and own.name = look.name)) select name, t, m from look"
 )
-def method_lookup(spark, d):
+def nearest_declared(spark, d):
     """Parts are types in a forest; each declares one of four methods and inherits the others from the nearest ancestor that has them."""
     own = table(spark, d, "part").select(F.col("p_partkey").alias("t"), (F.col("p_size") % 4).alias("name")).distinct()
     up = counter_recursion(spark, d).unionByName(own.select(F.col("t").alias("c"), F.col("t").alias("p"), F.lit(0).alias("n")))
@@ -156,19 +136,19 @@ def method_lookup(spark, d):
 
 
 @query(f"with recursive {FOREST}, a as (select c, p from sub union select a.c, sub.p from a join sub on a.p = sub.c) select c, p from a union select p_partkey, p_partkey from part")
-def subtype_closure(spark, d):
+def forest_closure(spark, d):
     part = table(spark, d, "part").select(F.col("p_partkey").alias("a"))
-    return closure(forest(spark, d).select(F.col("c").alias("a"), F.col("p").alias("b"))).unionByName(part.withColumn("b", F.col("a"))).select(F.col("a").alias("c"), F.col("b").alias("p")).distinct()
+    return closure(edges(spark, d)).unionByName(part.withColumn("b", F.col("a"))).select(F.col("a").alias("c"), F.col("b").alias("p")).distinct()
 
 
 @query(
-    f"with recursive {FOREST}, alloc as (select distinct l_partkey as v, l_suppkey as h from lineitem where l_quantity = 50), "
+    f"with recursive {FOREST}, alloc as (select distinct l_partkey as v, l_suppkey as h from lineitem), "
     "vpt as (select v, h from alloc union select sub.p, vpt.h from vpt join sub on vpt.v = sub.c) select v, h from vpt"
 )
-def points_to_copies(spark, d):
+def climbing_values(spark, d):
     """Each part is assigned to its parent in the forest; suppliers are the objects: values climb by the closure of assignments."""
-    alloc = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("h")).distinct()
-    up = closure(forest(spark, d).select(F.col("c").alias("a"), F.col("p").alias("b")))
+    alloc = table(spark, d, "lineitem").select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("h")).distinct()
+    up = closure(edges(spark, d))
     return alloc.unionByName(alloc.join(up, alloc.v == up.a).select(F.col("b").alias("v"), "h")).distinct()
 
 
@@ -176,7 +156,7 @@ def points_to_copies(spark, d):
     "with recursive t as (select distinct user_id as u, event_id as e, ts from events where event_type = 'error'), nxt as (select event_id as a, lead(event_id) over (partition by user_id order by ts, event_id) as b, event_type as k from events), "
     "taint as (select e from t union select n.b from taint join nxt n on n.a = taint.e join nxt m on m.a = n.b where m.k <> 'signup') select e from taint where e is not null"
 )
-def taint_sanitized(spark, d):
+def runs_after_error(spark, d):
     """Errors taint what the user does next until a signup cleans: a window finds the last source or sanitizer before each event."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     mark = F.when(F.col("event_type").isin("error", "signup"), F.col("event_type"))
@@ -188,7 +168,7 @@ def taint_sanitized(spark, d):
     "with recursive item as (select distinct l_orderkey as o, l_linenumber as n, l_returnflag as f from lineitem), one as (select o, n, min(f) as f from item group by o, n), "
     "dead as (select o, n from one where f = 'R' union select one.o, one.n from dead join one on one.o = dead.o and one.n = dead.n + 1 where one.f <> 'A') select o, n from dead"
 )
-def dead_code(spark, d):
+def runs_after_return(spark, d):
     """A returned line is dead, and so is the line after a dead one unless it was accepted: runs by windows."""
     one = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("f"))
     order = Window.partitionBy("o").orderBy("n")
@@ -199,7 +179,7 @@ def dead_code(spark, d):
 
 
 @query("with r as (select p_partkey as a, p_type as t from part), c as (select t, count(*) as n from r group by t) select t as package, n as size, case when n * n > (select count(*) from part) then 'own' else 'rest' end as partition_ from c")
-def partition_heuristic(spark, d):
+def own_or_rest(spark, d):
     part = table(spark, d, "part")
     total = part.agg(F.count("*").alias("total"))
     sizes = part.groupBy(F.col("p_type").alias("package")).agg(F.count("*").alias("size"))
@@ -207,7 +187,7 @@ def partition_heuristic(spark, d):
 
 
 @query("with h as (select distinct l_suppkey as m, l_partkey as h, p_type as t from lineitem join part on l_partkey = p_partkey), c as (select m, t, count(*) as n, min(h) as rep from h group by m, t) select h.m as m, h.h as h, case when n > 50 then rep else h.h end as merged from h join c on h.m = c.m and h.t = c.t")
-def heap_merge_threshold(spark, d):
+def merge_above_threshold(spark, d):
     """More than fifty allocations of a type in one method share the least as their representative."""
     h = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("m"), F.col("l_partkey").alias("h"), F.col("p_type").alias("t")).distinct()
     c = h.groupBy("m", "t").agg(F.count("*").alias("n"), F.min("h").alias("rep"))
@@ -215,20 +195,20 @@ def heap_merge_threshold(spark, d):
 
 
 @query("with c as (select l_orderkey as site, p_brand as target from lineitem join part on l_partkey = p_partkey) select site, count(distinct target) as n from c group by site having count(distinct target) > 1")
-def polymorphic_sites(spark, d):
+def sites_of_many(spark, d):
     c = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("site"), F.col("p_brand").alias("target")).distinct()
     return c.groupBy("site").agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query("with e as (select distinct l_orderkey as o, l_partkey as p from lineitem), k as (select distinct o_orderkey as o, o_orderpriority as t from orders) select distinct e.o as site from e join k on e.o = k.o join part on p = p_partkey where not (t = '1-URGENT' or p_type = 'ECONOMY')")
-def may_fail_casts(spark, d):
+def mismatched_pairs(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("site"), "l_partkey").distinct()
     k = table(spark, d, "orders").select(F.col("o_orderkey").alias("site"), F.col("o_orderpriority").alias("t"))
     return e.join(k, "site").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("not (t = '1-URGENT' or p_type = 'ECONOMY')").select("site").distinct()
 
 
 @query("select 'orders' as metric, count(*) as n from orders union all select 'parts never ordered', count(*) from part where p_partkey not in (select l_partkey from lineitem) union all select 'customers without order', count(*) from customer where c_custkey not in (select o_custkey from orders) union all select 'returned percent', 100 * (select count(*) from lineitem where l_returnflag = 'R') // (select count(*) from lineitem)")
-def metrics_table(spark, d):
+def counts_table(spark, d):
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("metric"), "n")
     o, i, c, p = (table(spark, d, t) for t in ("orders", "lineitem", "customer", "part"))
     out = count("orders", o).unionByName(count("parts never ordered", p.join(i, p.p_partkey == i.l_partkey, "left_anti")))
@@ -238,7 +218,7 @@ def metrics_table(spark, d):
 
 
 @query("select 'order line without order' as id, count(*) as n from lineitem where l_orderkey not in (select o_orderkey from orders) union all select 'order without customer', count(*) from orders where o_custkey not in (select c_custkey from customer) union all select 'two regions', count(*) from (select n_nationkey from nation group by n_nationkey having count(distinct n_regionkey) > 1)")
-def sanity_counts(spark, d):
+def violations_table(spark, d):
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("id"), "n")
     o, i, c, n = (table(spark, d, t) for t in ("orders", "lineitem", "customer", "nation"))
     out = count("order line without order", i.join(o, i.l_orderkey == o.o_orderkey, "left_anti"))

@@ -432,21 +432,22 @@ avoids(m, a, c) :- avoids(m, a, b), BlockSuccessor(m, b, c), a != c.
 Dominates(m, a, b) :- reaches(m, a), reaches(m, b), !avoids(m, a, b).
 """
 
-CONSTANTS = """
+#: fixed value: how deep an expression is folded
+FOLD_DEPTH = 5
+
+#: a variable is constant if every value that its definitions give is one number
+CONSTANTS = f"""
 .decl const(v: symbol, n: number)
 .decl copy(to: symbol, from: symbol)
 .decl binary(to: symbol, op: symbol, a: symbol, b: symbol)
 .decl Value(v: symbol, n: number, depth: number)
+.decl spread(v: symbol, low: number, high: number)
 .decl Folded(v: symbol, n: number)
 Value(v, n, 0) :- const(v, n).
-Value(to, n, d + 1) :- copy(to, from), Value(from, n, d), d < 5.
-Value(to, x + y, d + 1) :- binary(to, "+", a, b), Value(a, x, d), Value(b, y, e), e <= d, d < 5.
-Value(to, x + y, e + 1) :- binary(to, "+", a, b), Value(a, x, d), Value(b, y, e), d < e, e < 5.
-Value(to, x - y, max(d, e) + 1) :- binary(to, "-", a, b), Value(a, x, d), Value(b, y, e), d < 5, e < 5.
-Value(to, x * y, max(d, e) + 1) :- binary(to, "*", a, b), Value(a, x, d), Value(b, y, e), d < 5, e < 5.
-Value(to, x / y, max(d, e) + 1) :- binary(to, "/", a, b), Value(a, x, d), Value(b, y, e), y != 0, d < 5, e < 5.
-Value(to, x % y, max(d, e) + 1) :- binary(to, "%", a, b), Value(a, x, d), Value(b, y, e), y != 0, d < 5, e < 5.
-Folded(v, n) :- Value(v, n, _), k = count : { Value(v, x, _), x != n }, k = 0.
+Value(to, n, d + 1) :- copy(to, from), Value(from, n, d), d < {FOLD_DEPTH}.
+Value(to, @calculate(op, x, y), max(d, e) + 1) :- binary(to, op, a, b), Value(a, x, d), Value(b, y, e), max(d, e) < {FOLD_DEPTH}.
+spread(v, l, h) :- Value(v, _, _), l = min n : {{ Value(v, n, _) }}, h = max n : {{ Value(v, n, _) }}.
+Folded(v, n) :- spread(v, n, n).
 """
 
 COMPONENTS = """

@@ -107,17 +107,24 @@ Representative(h, h) :- kept(h).
 Representative(h, h) :- allocation(h, t, m), !merges_in(m, t), !kept(h), t != "java.lang.StringBuffer", t != "java.lang.StringBuilder".
 """
 
-#: text constants that name a member: whole, or a part of seven to ninety characters at a boundary of case or sign
-STRING_MATCHING = """
+#: fixed values: the least and the greatest length of a part of a text constant that may name a member
+part_lengths = (7, 90)
+
+#: text constants that name a member: whole, or by what stands before or behind a boundary of case or sign
+STRING_MATCHING = f"""
 .decl text(s: symbol)
 .decl member(m: symbol, name: symbol)
-.decl at(n: number)
+.decl pair(s: symbol, n: number, two: symbol)
+.decl starts_word(s: symbol, n: number)
+.decl ends_word(s: symbol, n: number)
 .decl part(s: symbol, p: symbol)
 .decl Matches(s: symbol, m: symbol, how: symbol)
-at(7).
-at(n + 1) :- at(n), n < 90.
-part(s, p) :- text(s), at(n), n < strlen(s), p = substr(s, 0, n), match("[a-z0-9][A-Z_.$]|[_.$].", substr(s, n - 1, 2)).
-part(s, p) :- text(s), at(n), n < strlen(s), k = strlen(s) - n, p = substr(s, k, n), match("[a-z0-9][A-Z]|[_.$].", substr(s, k - 1, 2)).
+pair(s, n, substr(s, n - 1, 2)) :- text(s), n = range(1, strlen(s)).
+starts_word(s, n) :- pair(s, n, two), match("[a-z0-9][A-Z]|[_.$].", two).
+ends_word(s, n) :- starts_word(s, n).
+ends_word(s, n) :- pair(s, n, two), match("[a-z0-9][_.$]", two).
+part(s, substr(s, 0, n)) :- ends_word(s, n), n >= {part_lengths[0]}, n <= {part_lengths[1]}.
+part(s, substr(s, n, k)) :- starts_word(s, n), k = strlen(s) - n, k >= {part_lengths[0]}, k <= {part_lengths[1]}.
 Matches(s, m, "whole") :- text(s), member(m, s).
 Matches(s, m, "part") :- part(s, p), member(m, p).
 """
@@ -241,19 +248,24 @@ ShapeError(o) :- reshape(o, a, b), Product(a, p), Product(b, q), open_at(b, _),
 ShapeError(o) :- reshape(o, _, b), n = count : { open_at(b, _) }, n > 1.
 """
 
-#: loops by back edges, and variables that change by a constant in one
+#: natural loops: of an edge to a node that dominates its source, all nodes with a path to the source that avoids the
+#: header; and variables that change by a constant in one
 LOOPS = """
 .decl dominates(a: number, b: number)
 .decl edge(a: number, b: number)
 .decl adds(v: symbol, block: number, by: number)
 .decl assigns(v: symbol, block: number)
-.decl BackEdge(a: number, head: number)
+.decl latch(header: number, source: number)
+.decl beside(header: number, a: number, b: number)
+.decl avoiding(header: number, a: number, b: number)
 .decl Loop(head: number, b: number)
 .decl Induction(v: symbol, head: number, by: number)
-BackEdge(a, h) :- edge(a, h), dominates(h, a).
-Loop(h, h) :- BackEdge(_, h).
-Loop(h, a) :- BackEdge(a, h).
-Loop(h, a) :- Loop(h, b), b != h, edge(a, b).
+latch(h, s) :- dominates(h, s), edge(s, h).
+beside(h, a, b) :- latch(h, _), edge(a, b), a != h, b != h.
+avoiding(h, s, s) :- latch(h, s), s != h.
+avoiding(h, a, s) :- beside(h, a, b), avoiding(h, b, s).
+Loop(h, h) :- latch(h, _).
+Loop(h, a) :- latch(h, s), avoiding(h, a, s).
 Induction(v, h, n) :- adds(v, b, n), Loop(h, b), k = count : { assigns(v, c), Loop(h, c) }, k = 1.
 """
 

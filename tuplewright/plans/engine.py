@@ -8,7 +8,9 @@
 * Recursion is semi-naive: each round joins what the last round found with everything found so far, once
   for each recursive atom. A round writes its new tuples to the shared folder as one small table and goes
   on from there, so lineage stays short and a lost executor costs a round's work at most.
-* Relations are sets of non-null tuples. ``choice-domain`` keeps for each key the least tuple of the
+* Relations are sets of non-null tuples. A record is a struct, its ``nil`` the struct of nulls; a record type that
+  contains itself (a list, a tree) is text instead: each field's length and value in turn, ``nil`` the empty text. So
+  records and ``nil`` join, differ and repeat like any value. ``choice-domain`` keeps for each key the least tuple of the
   first round that has any.
 * Only what the requested relations need is evaluated.
 """
@@ -152,42 +154,131 @@ class Compiler:
         self.spark, self.program = spark, program
 
     # -- types
-    def data_type(self, name: str) -> T.DataType:
+    def resolved(self, name: str | None) -> str | None:
+        """A type without its aliases: a basic type or the list of a record's field types."""
         seen = set()
         while name in self.program.types and name not in seen:
             seen.add(name)
             name = self.program.types[name]
-        if name.startswith("["):
-            fields = name[1:-1].split(",") if name != "[]" else []
-            return T.StructType([T.StructField(f"_{i + 1}", self.data_type(f)) for i, f in enumerate(fields)])
-        return {"number": T.LongType(), "unsigned": T.LongType(), "float": T.DoubleType()}.get(name, T.StringType())
+        return name
+
+    def fields(self, name: str | None) -> list[str] | None:
+        """The field types of a record type; None for others."""
+        name = self.resolved(name)
+        return None if name is None or not name.startswith("[") else [f for f in name[1:-1].split(",") if f]
+
+    def below(self, name: str) -> set[str]:
+        """The record types that a record type's values can hold, as resolved names."""
+        out: set[str] = set()
+        work = list(self.fields(name) or [])
+        while work:
+            inner = self.resolved(work.pop())
+            if inner.startswith("[") and inner not in out:
+                out.add(inner)
+                work += self.fields(inner)
+        return out
+
+    def encoded(self, name: str | None) -> bool:
+        """Whether values of a record type are texts: it is a part of a type that contains itself."""
+        mine = self.resolved(name)
+        if self.fields(mine) is None:
+            return False
+        every = {self.resolved(t) for t in self.program.types} | {mine}
+        loops = {t for t in every if t.startswith("[") and t in self.below(t)}
+        return any(mine == t or mine in self.below(t) for t in loops)
+
+    def data_type(self, name: str) -> T.DataType:
+        fields = self.fields(name)
+        if fields is not None:
+            return T.StringType() if self.encoded(name) else T.StructType([T.StructField(f"_{i + 1}", self.data_type(f)) for i, f in enumerate(fields)])
+        return {"number": T.LongType(), "unsigned": T.LongType(), "float": T.DoubleType()}.get(self.resolved(name), T.StringType())
+
+    def nil(self, name: str | None) -> Column:
+        if self.fields(name) is None:
+            return F.lit(None)
+        if self.encoded(name):
+            return F.lit("")
+        return F.struct(*(F.lit(None).alias(f"_{i + 1}") for i in range(len(self.fields(name))))).cast(self.data_type(name))
+
+    def is_nil(self, value: Column, name: str | None) -> Column:
+        if not self.fields(name):
+            return value.isNull()
+        return value == "" if self.encoded(name) else value["_1"].isNull()
+
+    def record(self, args: list[Column], name: str | None) -> Column:
+        if not self.encoded(name):
+            return F.struct(*(a.alias(f"_{i + 1}") for i, a in enumerate(args)))
+        texts = [a.cast("string") for a in args]
+        return F.concat(*(F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts))
+
+    def parts(self, value: Column, name: str | None, n: int) -> list[Column]:
+        """A record's n fields."""
+        if not self.encoded(name):
+            return [value[f"_{i + 1}"] for i in range(n)]
+        out, rest = [], value
+        for kind in self.fields(name):
+            size = F.substring_index(rest, ":", 1)
+            start = F.length(size) + 2
+            out.append(F.substring(rest, start, size.cast("int")).cast(self.data_type(kind)))
+            rest = F.substring(rest, start + size.cast("int"), F.length(rest))
+        return out
+
+    def types_of(self, literals: Iterable, heads: Iterable[Atom] = ()) -> dict[str, str]:
+        """The declared types of a rule's variables, as far as its atoms tell."""
+        out: dict[str, str] = {}
+
+        def walk(x, kind: str | None) -> None:
+            if isinstance(x, Var) and kind is not None:
+                out.setdefault(x.name, kind)
+            elif isinstance(x, Call) and x.name == "[]":
+                for a, k in zip(x.args, self.fields(kind) or [], strict=False):
+                    walk(a, k)
+
+        atoms = [x for x in literals if isinstance(x, Atom)] + list(heads)
+        for x in atoms:
+            for a, (_, kind) in zip(x.args, self.program.relations[x.relation].columns, strict=False):
+                walk(a, kind)
+        for x in literals:
+            if isinstance(x, Compare) and x.op == "=":
+                for a, b in ((x.left, x.right), (x.right, x.left)):
+                    if isinstance(a, Var):
+                        walk(b, out.get(a.name))
+        return out
 
     def schema(self, relation: Relation) -> T.StructType:
         return T.StructType([T.StructField(n.lstrip("?"), self.data_type(t), True) for n, t in relation.columns])
 
     # -- terms
-    def term(self, x, bound: dict[str, Column]) -> Column:
+    def term(self, x, bound: dict[str, Column], kind: str | None = None) -> Column:
+        """A term's value. kind: the declared type of its place, which records and nil need."""
         if isinstance(x, Var):
             return bound[x.name]
         if isinstance(x, Const):
             return F.lit(x.value).cast("long") if isinstance(x.value, int) else F.lit(x.value)
+        if x.name == "nil":
+            return self.nil(kind)
+        if x.name == "[]":
+            kinds = self.fields(kind) or [None] * len(x.args)
+            if len(kinds) != len(x.args):
+                raise RuleError(f"a record of {kind} has {len(kinds)} fields")
+            return self.record([self.term(a, bound, k) for a, k in zip(x.args, kinds, strict=True)], kind)
         args = [self.term(a, bound) for a in x.args]
+        if x.name in ("+", "-", "*", "/", "%"):
+            # ord in arithmetic is a number of the symbol
+            args = [functors.number_of(c) if isinstance(a, Call) and a.name == "ord" else c for a, c in zip(x.args, args, strict=True)]
         if x.name in ("+", "-", "*"):
             a, b = (c.cast("long") for c in args)
             return a + b if x.name == "+" else a - b if x.name == "-" else a * b
         if x.name in ("/", "%"):
             return (functors.div if x.name == "/" else functors.mod)(*args)
-        if x.name == "[]":
-            return F.struct(*(a.alias(f"_{i + 1}") for i, a in enumerate(args)))
-        if x.name == "nil":
-            return F.lit(None)
         if x.name not in functors.FUNCTORS:
             raise RuleError(f"unknown functor {x.name}")
         return functors.FUNCTORS[x.name][0](*args)
 
-    def condition(self, x, bound: dict[str, Column]) -> Column:
+    def condition(self, x, bound: dict[str, Column], types: dict[str, str] | None = None) -> Column:
+        types = types or {}
         if isinstance(x, Call) and x.name == "not":
-            return ~self.condition(x.args[0], bound)
+            return ~self.condition(x.args[0], bound, types)
         if isinstance(x, Call) and x.name == "match":
             pattern = x.args[0]
             return functors.match(pattern.value if isinstance(pattern, Const) else self.term(pattern, bound), self.term(x.args[1], bound))
@@ -195,17 +286,19 @@ class Compiler:
             return functors.contains(self.term(x.args[0], bound), self.term(x.args[1], bound))
         if isinstance(x, Call):
             return self.term(x, bound)
+        kind = next((types[s.name] for s in (x.left, x.right) if isinstance(s, Var) and s.name in types), None)
         nil = [isinstance(s, Call) and s.name == "nil" for s in (x.left, x.right)]
         if any(nil):
-            is_nil = self.term(x.left if nil[1] else x.right, bound).isNull()
+            is_nil = self.is_nil(self.term(x.left if nil[1] else x.right, bound, kind), kind)
             return is_nil if x.op == "=" else ~is_nil
-        a, b = self.term(x.left, bound), self.term(x.right, bound)
+        a, b = self.term(x.left, bound, kind), self.term(x.right, bound, kind)
         return {"=": a == b, "!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[x.op]
 
     # -- bodies
-    def body(self, literals: tuple, tables: list[DataFrame | None], keep: set[str], first: int | None = None, seed: DataFrame | None = None) -> DataFrame:
+    def body(self, literals: tuple, tables: list[DataFrame | None], keep: set[str], first: int | None = None, seed: DataFrame | None = None, types: dict[str, str] | None = None) -> DataFrame:
         """The distinct-to-be bindings of the variables to keep. tables: for each literal that is an atom, its relation; first: the atom to start with."""
         todo = list(range(len(literals)))
+        types = self.types_of(literals) | (types or {})
         state: DataFrame | None = seed
         have: set[str] = set(seed.columns) if seed is not None else set()
 
@@ -220,18 +313,24 @@ class Compiler:
             state = (self.spark.range(1).select(value.alias(name)) if state is None else state.withColumn(name, value)).where(F.col(f"`{name}`").isNotNull())
             have.add(name)
 
-        def bind(pattern, value: Column) -> list[tuple[object, Column]]:
-            """Binds what of a pattern is free; gives the equalities that are left."""
+        def bind(pattern, value: Column, kind: str | None = None) -> list[tuple[object, Column, str | None]]:
+            """Binds what of a pattern is free; gives the equalities that are left, with their types."""
+            nonlocal state
             if isinstance(pattern, Var) and pattern.name not in have:
                 with_column(pattern.name, value)
                 return []
             if isinstance(pattern, Call) and pattern.name == "[]":
-                rest = []
-                for i, part in enumerate(pattern.args):
+                rest, kinds = [], self.fields(kind) or [None] * len(pattern.args)
+                if self.fields(kind):
+                    state = state.where(~self.is_nil(value, kind))
+                for part, x, k in zip(pattern.args, self.parts(value, kind, len(pattern.args)), kinds, strict=True):
                     if not (isinstance(part, Var) and part.name.startswith("_") and part.name not in keep and not any(part.name in all_variables(literals[j]) for j in todo)):
-                        rest += bind(part, value[f"_{i + 1}"])
+                        rest += bind(part, x, k)
                 return rest
-            return [(pattern, value)]
+            return [(pattern, value, kind)]
+
+        def holds(pattern, value: Column, kind: str | None) -> Column:
+            return self.condition(Compare("=", pattern, Var("_v")), bound() | {"_v": value}, types | ({"_v": kind} if kind else {}))
 
         def settle() -> None:
             """Applies all comparisons and aggregates that can be."""
@@ -251,14 +350,14 @@ class Compiler:
                         if not outer <= have:
                             continue
                         todo.remove(i)
-                        state = self.aggregate(aggregate, state, sorted(outer), "_agg")
+                        state = self.aggregate(aggregate, state, sorted(outer), "_agg", types)
                         have.add("_agg")
                         other = sides[1] if sides[0] is aggregate else sides[0]
                         rest = bind(other, F.col("_agg")) if x.op == "=" else [(other, F.col("_agg"))]
                         if rest and x.op != "=" and sides[0] is not aggregate:
-                            state = state.where(self.condition(Compare(x.op, other, Var("_agg")), bound()))
+                            state = state.where(self.condition(Compare(x.op, other, Var("_agg")), bound(), types))
                         elif rest:
-                            state = state.where(self.condition(Compare(x.op, Var("_agg"), other), bound()))
+                            state = state.where(self.condition(Compare(x.op, Var("_agg"), other), bound(), types))
                         state, _ = state.drop("_agg"), have.discard("_agg")
                         again = True
                         continue
@@ -267,23 +366,34 @@ class Compiler:
                         todo.remove(i)
                         if state is None:
                             state = self.spark.range(1).select(F.lit(1).alias("_one"))
-                        state = state.where(self.condition(x, bound()))
+                        state = state.where(self.condition(x, bound(), types))
                         again = True
                     elif isinstance(x, Compare) and x.op == "=":
+                        ranges = [(a, b) for a, b in ((x.left, x.right), (x.right, x.left)) if isinstance(a, Var) and isinstance(b, Call) and b.name == "range"]
+                        if ranges and variables(ranges[0][1]) <= have:
+                            todo.remove(i)
+                            low, high = (self.term(t, bound()).cast("long") for t in ranges[0][1].args)
+                            with_column(ranges[0][0].name, F.explode(F.when(low < high, F.sequence(low, high - 1))))
+                            again = True
+                            continue
+                        if ranges:
+                            continue
                         for a, b in ((x.left, x.right), (x.right, x.left)):
                             pattern = isinstance(a, Var) and a.name not in have or isinstance(a, Call) and a.name == "[]"
                             if pattern and variables(b) <= have and i in todo:
                                 todo.remove(i)
-                                for p, value in bind(a, self.term(b, bound())):
+                                kind = next((types[s.name] for s in (a, b) if isinstance(s, Var) and s.name in types), None)
+                                for p, value, k in bind(a, self.term(b, bound(), kind), kind):
                                     if variables(p) <= have:
-                                        state = state.where(self.term(p, bound()) == value)
+                                        state = state.where(holds(p, value, k))
                                     else:
                                         raise RuleError(f"can't solve {p}")
                                 again = True
 
-        def atom_view(x: Atom, df: DataFrame) -> tuple[DataFrame, list[tuple[object, str]]]:
-            """The relation with variables for columns; and what must equal which extra column."""
+        def atom_view(x: Atom, df: DataFrame) -> tuple[DataFrame, list[tuple[object, str, str]]]:
+            """The relation with variables for columns; and what must equal which extra column, of which type."""
             columns, names, later, seen = df.columns if x.args else [], [], [], {}
+            kinds = [k for _, k in self.program.relations[x.relation].columns]
             for k, (a, c) in enumerate(zip(x.args, columns, strict=True)):
                 if isinstance(a, Const):
                     df = df.where(F.col(f"`{c}`") == self.term(a, {}))
@@ -293,7 +403,7 @@ class Compiler:
                     seen[a.name] = c
                 else:
                     names.append((c, f"_x{k}"))
-                    later.append((a, f"_x{k}"))
+                    later.append((a, f"_x{k}", kinds[k]))
             wanted = needed(index) | have
             names += [(c, v) for v, c in seen.items() if v in wanted]
             return df.select(*(F.col(f"`{c}`").alias(v) for c, v in names)) if names else df.select(F.lit(1).alias("_any")).limit(1), later
@@ -309,7 +419,7 @@ class Compiler:
                 solved = Atom(x.relation, tuple(a if isinstance(a, Const | Var) else self._named(a, k) for k, a in enumerate(x.args)))
                 for k, a in enumerate(x.args):
                     if not isinstance(a, Const | Var):
-                        with_column(f"_n{k}", self.term(a, bound()))
+                        with_column(f"_n{k}", self.term(a, bound(), self.program.relations[x.relation].columns[k][1]))
                 view, _ = atom_view(solved, tables[index])
                 on = [c for c in view.columns if c in have]
                 if state is None:
@@ -343,13 +453,14 @@ class Compiler:
             else:
                 state = state.crossJoin(view)  # the rule itself asks for a product
             have.update(c for c in new if c != "_any")
-            for a, c in later:
+            for a, c, kind in later:
                 # an argument that is an expression or a record: match it against the column
-                left = bind(a, F.col(c)) if isinstance(a, Call) and a.name == "[]" else [(a, F.col(c))]
-                for p, value in left:
+                left = bind(a, F.col(c), kind) if isinstance(a, Call) and a.name == "[]" else [(a, F.col(c), kind)]
+                for p, value, k in left:
                     if variables(p) <= have:
-                        state = state.where(self.condition(Compare("=", p, Var("_v")), bound() | {"_v": value}))
+                        state = state.where(holds(p, value, k))
                     else:
+                        types.setdefault(c, kind)
                         literals = (*literals, Compare("=", p, Var(c)))
                         tables = [*tables, None]
                         todo.append(len(literals) - 1)
@@ -370,13 +481,13 @@ class Compiler:
     def _named(_, k: int) -> Var:
         return Var(f"_n{k}")
 
-    def aggregate(self, x: Aggregate, state: DataFrame | None, outer: list[str], name: str) -> DataFrame:
+    def aggregate(self, x: Aggregate, state: DataFrame | None, outer: list[str], name: str, types: dict[str, str] | None = None) -> DataFrame:
         """state with the aggregate's value for each binding of the outer variables."""
         seed = state.select(*outer).distinct() if outer else None
         blank = {v for b in x.body if isinstance(b, Atom) and b.negated for v in variables(b) if v.startswith("_")}
         inner = set().union(*map(all_variables, x.body)) - blank | (all_variables(x.value) if x.value is not None else set())
         tables = [self.relation(b.relation) if isinstance(b, Atom) else None for b in x.body]
-        rows = self.body(x.body, tables, inner, seed=seed).distinct()
+        rows = self.body(x.body, tables, inner, seed=seed, types=types).distinct()
         value = self.term(x.value, {v: F.col(f"`{v}`") for v in rows.columns}) if x.value is not None else F.lit(1)
         make = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "mean": F.mean}[x.kind]
         sums = rows.groupBy(*outer).agg(make(value).alias(name))
@@ -430,14 +541,15 @@ class Engine(Compiler):
             else:
                 tables.append(self.relation(x.relation))
         keep = set().union(*(variables(h) for h in rule.heads))
-        return self.body(rule.body, tables, keep, first)
+        return self.body(rule.body, tables, keep, first, types=self.types_of(rule.body, rule.heads))
 
     def _head(self, head: Atom, body: DataFrame) -> DataFrame:
         schema = self.schema(self.program.relations[head.relation])
         if len(head.args) != len(schema):
             raise RuleError(f"{head.relation} has {len(schema)} columns")
         bound = {v: F.col(f"`{v}`") for v in body.columns}
-        row = [self.term(a, bound).cast(f.dataType).alias(f.name) for a, f in zip(head.args, schema.fields, strict=True)]
+        kinds = [k for _, k in self.program.relations[head.relation].columns]
+        row = [self.term(a, bound, k).cast(f.dataType).alias(f.name) for a, f, k in zip(head.args, schema.fields, kinds, strict=True)]
         out = body.select(*row) if row else body.select(F.lit(1).alias("_one")).limit(1)
         for f, a in zip(schema.fields, head.args, strict=True):
             if isinstance(a, Call) and a.name != "nil":
