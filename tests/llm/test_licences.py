@@ -47,3 +47,21 @@ def test_own_list_and_empty(spark, tmp_path):
     docs = spark.createDataFrame([(1, "MY TERMS", "x")], "doc_id long, text string, licence string")
     assert [r.licence for r in licences.scan(docs, own).collect()] == ["A"]
     assert licences.op8_licences(spark, cases.stored(spark, tmp_path, [])).count() == 0
+
+
+def test_longer_licences_by_their_digests(spark):
+    """A text is known by its digest alone; where the system has the published texts, these too."""
+    import os
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3.0": "GPL-3", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1"}
+    found = {k: f"/usr/share/common-licenses/{f}" for k, f in files.items() if os.path.exists(f"/usr/share/common-licenses/{f}")}
+    rows = []
+    for i, (name, path) in enumerate(found.items()):
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        assert hashlib.sha256(brute(text).encode()).hexdigest() == licences.DIGESTS[name]
+        rows += [(2 * i, text.upper().replace("\n", " \r\n")), (2 * i + 1, text + " and more")]
+    assert all(re.fullmatch("[0-9a-f]{64}", d) for d in licences.DIGESTS.values()) and not set(licences.DIGESTS) & set(licences.KNOWN)
+    if rows:
+        got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {i: name for k, name in enumerate(found) for i, name in ((2 * k, name), (2 * k + 1, None))}

@@ -7,7 +7,9 @@ equivalent spellings become one; everything but letters and digits becomes singl
 have one digest only if they are the same words, whatever their case, punctuation, layout, years or
 holders. Whole texts only: a licence inside a longer text is not this operator's match.
 
-Plan: one projection and an equi-join of digests. The built-in list is a dozen rows and is broadcast; a
+Known are the texts of short licences and the digests of the longer ones (``DIGESTS``).
+
+Plan: one projection and an equi-join of digests. The built-in list is two dozen rows and is broadcast; a
 caller's list is counted and broadcast only up to ``BROADCAST_ROWS``, beyond it Spark joins by shuffle.
 
 Nulls and edge cases: a null text counts as empty, whose form is the empty string, which no licence has; a
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewright.llm.common import documents
+from tuplewright.llm.common import bounded, documents
 
 BROADCAST_ROWS = 10_000
 
@@ -112,6 +114,24 @@ Permission is granted to anyone to use this software for any purpose, including
 }
 
 
+# fixed values: the digests of the canonical forms of longer public licences, whole texts as their stewards publish them
+DIGESTS = {
+    "Apache-2.0": "04c0200ac913382ffdb30ce8bd4ec57d7ecf6d04ed721c6327bb20a185a3dde0",
+    "Artistic-1.0-Perl": "0ce87c1a2f9de8bd07685d372028374149e71fffb4eab93598a4cdc00ed86780",
+    "CC0-1.0": "2106cd4f7c9f6d4a9e5f54c911e4ff372736db5467794e4b89bcea996afde21c",
+    "GFDL-1.2": "e396324b384c02674e370310bc6d5ef7993c34dbbd6389b0abb509a030044de9",
+    "GFDL-1.3": "eb288aa9ed0e1ffcf7aea7f1d383f212ec56781a96232d0754e5e7582b990c21",
+    "GPL-1.0": "8006d6938e45108c7c95d49b6d84aa0a345eedc8566395dd2bc121b8e6ba4ae9",
+    "GPL-2.0": "5ca608bb2eb79eb10b1a80b55bb0a99df497ce228143b9d233b5df274e85643a",
+    "GPL-3.0": "cabccb86e314285bd22384eff6a86b75c37bea20224092b87b3ae4e63a2c437d",
+    "LGPL-2.0": "ec44c766883b869bef6a328cf51aafbe256ee10744ba67af3472eda9d0446def",
+    "LGPL-2.1": "5ef8b7ba71d31fa31954beed6b9d500255758be9aaae1903502fe0f4c080e8d9",
+    "LGPL-3.0": "828c3944cde1fc14c68737c9be14d8d0f4f13ab980f8a72364a0e64f72965525",
+    "MPL-1.1": "509a1897231e372560289dcfd5bd17feeb10e60a812325f2987e72e90d5fba2b",
+    "MPL-2.0": "fc6db10715dd3f8d6886221817f28e3572f579a7a350ecd43e7cdc6607bf6ba7",
+}
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a string column."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), _COPYRIGHT, ""), _MARKS, "")
@@ -131,12 +151,19 @@ def known_licences(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN.items()), "licence string, text string")
 
 
+def digests(known: DataFrame) -> DataFrame:
+    """digest and licence of each text that has words."""
+    return known.where(canonical(F.col("text")) != "").select(digest(F.col("text")).alias("digest"), "licence")
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The operator: doc_id, digest and licence (null: not known) of every row."""
-    known = known_licences(docs.sparkSession) if known is None else known
-    table = known.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("licence").alias("licence"))
-    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
+    spark = docs.sparkSession
+    if known is None:
+        table = digests(known_licences(spark)).unionByName(spark.createDataFrame(list(DIGESTS.items()), "licence string, digest string"))
+    else:
+        table = digests(known)
+    table = bounded(table.groupBy("digest").agg(F.min("licence").alias("licence")), BROADCAST_ROWS)
     return docs.select(F.col("doc_id").cast("long"), digest(F.col("text").cast("string")).alias("digest")).join(table, "digest", "left").select("doc_id", "digest", "licence")
 
 
@@ -155,8 +182,9 @@ def _sql() -> str:
     for old, new in SPELLINGS.items():
         form = f"regexp_replace({form}, {quoted(rf'\b{old}(s?)\b')}, {quoted(rf'{new}\1')}, 'g')"
     known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in KNOWN.items())
+    longer = ", ".join(f"({quoted(k)}, {quoted(x)})" for k, x in DIGESTS.items())
     return (
-        f"with k as (select sha256({form}) as digest, min(licence) as licence from (values {known}) v(licence, t) group by 1), "
+        f"with k as (select digest, min(licence) as licence from (select sha256({form}) as digest, licence from (values {known}) v(licence, t) union all select digest, licence from (values {longer}) w(licence, digest)) group by 1), "
         f"d as (select doc_id, sha256({form}) as digest from (select doc_id, coalesce(text, '') as t from documents)) select doc_id, d.digest as digest, licence from d left join k on d.digest = k.digest"
     )
 
