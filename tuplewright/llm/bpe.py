@@ -72,19 +72,18 @@ def encode_word(word: Column, rank_maps: Column) -> Column:
 
     The fold's state are the boundaries b between pieces (byte offsets, both ends among them) and for each
     inner one the entry rank * 2**32 + offset of the pair that it parts; the least entry is the leftmost
-    pair of least rank. A merge drops its boundary and renews the entries of the two beside it.
+    pair of least rank. A merge drops its boundary and entry and renews the entries of the two beside it.
     """
-    return _let(rank_maps, lambda ranks: _encoded(word, ranks))
+    return _let(rank_maps, lambda ranks: _let(F.decode(word, "ISO-8859-1"), lambda text: _encoded(text, ranks)))
 
 
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _encoded(word: Column, ranks: Column) -> Column:
+def _encoded(text: Column, ranks: Column) -> Column:
     rank = lambda piece: F.coalesce(F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int")), piece), F.lit(NO_RANK))
     none = F.array().cast("array<int>")
-    text = F.decode(word, "ISO-8859-1")
     piece = lambda a, b: F.substring(text, a + 1, b - a)
     entry = lambda a, at, b: rank(piece(a, b)).cast("long") * SHIFT + at
 
@@ -92,19 +91,17 @@ def _encoded(word: Column, ranks: Column) -> Column:
         at = (least % SHIFT).cast("int")
 
         def beside(p: Column) -> Column:
-            """p: the boundary's place in b, from 1."""
-            b = s["b"]
+            """p: the boundary's place in b, from 1; its entry's place in e is one less."""
+            b, e = s["b"], s["e"]
             left, right = F.get(b, p - 2), F.get(b, p)
-            new_left = F.when(p > 2, entry(F.get(b, p - 3), left, right)).otherwise(ABSENT)
-            new_right = F.when(p + 1 < F.size(b), entry(left, right, F.get(b, p + 1))).otherwise(ABSENT)
-
-            def renewed(x: Column) -> Column:
-                offset = lambda e: e % SHIFT
-                put = lambda e: F.when(e == least, F.lit(ABSENT)).when(offset(e) == x["l"], x["nl"]).when(offset(e) == x["r"], x["nr"]).otherwise(e)
-                return F.transform(s["e"], put)
-
-            around = F.struct(left.alias("l"), right.alias("r"), new_left.alias("nl"), new_right.alias("nr"))
-            return F.struct(F.array_remove(b, at).alias("b"), _let(around, renewed).alias("e"))
+            some = lambda there, x: F.when(there, F.array(x)).otherwise(F.array().cast("array<bigint>"))
+            renewed = F.concat(
+                F.slice(e, F.lit(1), F.greatest(p - 3, F.lit(0))),
+                some(p > 2, entry(F.get(b, p - 3), left, right)),
+                some(p + 1 < F.size(b), entry(left, right, F.get(b, p + 1))),
+                F.slice(e, p + 1, F.greatest(F.size(e) - p, F.lit(0))),
+            )
+            return F.struct(F.array_remove(b, at).alias("b"), renewed.alias("e"))
 
         return _let(F.array_position(s["b"], at).cast("int"), beside)
 
@@ -118,7 +115,7 @@ def _encoded(word: Column, ranks: Column) -> Column:
         return _let(F.aggregate(F.sequence(F.lit(2), n), start, step)["b"], pieces)
 
     # a word that is a piece itself needs no fold
-    n = F.octet_length(word)
+    n = F.length(text)
     whole = _let(rank(text), lambda r: F.when((r < NO_RANK) | (n == 1), F.array(r)).otherwise(fold(n)))
     return F.when(n == 0, none).otherwise(whole)
 
@@ -130,8 +127,8 @@ def piece_array(pieces: list[bytes]) -> Column:
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
     """The bytes of an array of ids; null with an id that isn't in the vocabulary."""
-    parts = F.transform(ids, lambda i: F.get(pieces, i))
-    return F.when(F.forall(parts, lambda p: p.isNotNull()), F.encode(F.array_join(parts, ""), "ISO-8859-1"))
+    joined = lambda parts: F.when(F.forall(parts, lambda p: p.isNotNull()), F.encode(F.array_join(parts, ""), "ISO-8859-1"))
+    return _let(F.transform(ids, lambda i: F.get(pieces, i)), joined)
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
