@@ -222,3 +222,102 @@ def merged_allocations_of_orders(spark, d):
     facts = {"allocation": i.select(named("h", "o", "n").alias("h"), F.col("brand").alias("t"), (F.col("o") % 25).cast("string").alias("m"))}
     facts |= {n: spark.createDataFrame([], "h string") for n in ("text_constant", "kept")}
     return Engine(spark, C.HEAP_MERGING, facts).run("Representative")["Representative"]
+
+
+REQUESTS = """
+.comp Policy { .decl request(site: number, at: number) .decl response(site: number, at: number, got: number) }
+.comp Parent : Policy { .decl up(c: number, p: number)  response(s, x, p) :- request(s, x), up(x, p). }
+.init policy = Parent
+.decl up(c: number, p: number)
+.decl seed(x: number)
+.decl Climbs(s: number, x: number)
+policy.up(c, p) :- up(c, p).
+policy.request(x, x) :- seed(x).
+Climbs(s, x) :- policy.response(s, _, x).
+policy.request(s, x) :- Climbs(s, x).
+"""
+
+
+@query(f"{ABOVE} select a.c as s, a.p as x from above a join p on a.c = p.k where p.size > 40")
+def requests_and_responses(spark, d):
+    """A rule set asks a component and is asked back: only for parts of size above 40 are the parts above them found."""
+    p = parts(spark, d)
+    facts = {"up": p.where("up is not null").select("k", "up"), "seed": p.where("size > 40").select("k")}
+    return evaluate(spark, REQUESTS, facts, "Climbs")["Climbs"]
+
+
+REWRITES = """
+.type Sum = [left: number, rest: Sum]
+.decl line(o: number, n: number, q: number)
+.decl built(o: number, n: number, t: Sum)
+.decl length(o: number, n: number)
+.decl Equals(o: number, t: Sum)
+.decl Total(o: number, q: number)
+built(o, 0, nil) :- line(o, 1, _).
+built(o, n, [q, t]) :- built(o, m, t), n = m + 1, line(o, n, q).
+length(o, n) :- built(o, _, _), n = max m : { built(o, m, _) }.
+Equals(o, t) :- length(o, n), built(o, n, t).
+Equals(o, [a + b, t]) :- Equals(o, [a, [b, t]]).
+Total(o, q) :- Equals(o, [q, nil]).
+"""
+
+
+@query(f"with recursive {LINES}, c as (select o, n, cast(q as bigint) as v from i where n = 1 union all select i.o, i.n, c.v + cast(i.q as bigint) from c join i on i.o = c.o and i.n = c.n + 1) select o, v as q from c where not exists (select 1 from c e where e.o = c.o and e.n = c.n + 1)")
+def rewritten_sums(spark, d):
+    """Terms and what they equal by a rewriting rule, until one number is left: an order's quantities as a nested sum."""
+    return evaluate(spark, REWRITES, {"line": lines(spark, d).select("o", "n", F.col("q").cast("long"))}, "Total")["Total"]
+
+
+@query(f"with {LINES} select x, min(o * 10 + n) as first, max(o * 10 + n) as last, count(*) as n from i group by x")
+def first_last_predecessors(spark, d):
+    """Of all lines that lead to a part, the first and the last ordinal."""
+    rules = """
+    .decl leads(at: number, x: number)
+    .decl Ordinals(x: number, first: number, last: number, n: number)
+    Ordinals(x, f, l, n) :- leads(_, x), f = min a : { leads(a, x) }, l = max a : { leads(a, x) }, n = count : { leads(_, x) }.
+    """
+    return evaluate(spark, rules, {"leads": lines(spark, d).select((F.col("o") * 10 + F.col("n")).alias("at"), "x")}, "Ordinals")["Ordinals"]
+
+
+@query(
+    f"with {PARTS} select k, cast(k as varchar) as text, k & size as both_, k | size as either_, xor(k, cast(size as bigint)) as one, greatest(k, size) as most, least(k, size) as least from p"
+)
+def scalar_functors(spark, d):
+    """to_string, bitwise operators, and max and min of two numbers, by rules."""
+    rules = """
+    .decl part(k: number, size: number)
+    .decl Out(k: number, text: symbol, both_: number, either_: number, one: number, most: number, least: number)
+    Out(k, to_string(k), band(k, s), bor(k, s), bxor(k, s), max(k, s), min(k, s)) :- part(k, s).
+    """
+    return evaluate(spark, rules, {"part": parts(spark, d).select("k", F.col("size").cast("long"))}, "Out")["Out"]
+
+
+@query("select distinct a.n_nationkey as k, b.n_name as nation from nation a, nation b where regexp_full_match(b.n_name, '.*[' || a.n_nationkey || ']')")
+def patterns_from_a_relation(spark, d):
+    """match with a pattern that is a column: names that end with a digit of a nation's key."""
+    rules = """
+    .decl key(k: number)
+    .decl nation(n: symbol)
+    .decl Ends(k: number, nation: symbol)
+    Ends(k, n) :- key(k), nation(n), match(cat(".*[", cat(to_string(k), "]")), n).
+    """
+    nation = table(spark, d, "nation")
+    return evaluate(spark, rules, {"key": nation.select("n_nationkey"), "nation": nation.select("n_name")}, "Ends")["Ends"]
+
+
+@query(f"with {PARTS}, m as (select brand, avg(size) as mean, sum(size) as total from p group by brand) select brand, mean, total, (select count(*) from p) as parts, mean > 25 as big from m")
+def means_by_rules(spark, d):
+    """mean, sum and count over tuples, a relation of no columns, and one rule with two heads."""
+    rules = """
+    .decl part(k: number, brand: symbol, size: number)
+    .decl any()
+    .decl Mean(brand: symbol, mean: float, total: number, parts: number)
+    .decl Big(brand: symbol)
+    .decl Listed(brand: symbol)
+    any() :- part(_, _, _).
+    Mean(b, m, t, n) :- any(), part(_, b, _), m = mean s : { part(_, b, s) }, t = sum s : { part(_, b, s), s > 0 }, n = count : { part(_, _, _) }.
+    Big(b), Listed(b) :- Mean(b, m, _, _), m > 25.
+    """
+    sizes = parts(spark, d).select("k", "brand", F.col("size").cast("long"))
+    r = Engine(spark, rules, {"part": sizes}).run("Mean", "Big", "Listed")
+    return r["Mean"].join(r["Big"].withColumn("big", F.lit(True)), "brand", "left").withColumn("big", F.coalesce("big", F.lit(False)))
