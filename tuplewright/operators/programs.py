@@ -6,13 +6,18 @@ and allocation sites whose type is the brand. An order is a method, its lines th
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplewright.operators.idioms import table
 from tuplewright.plans import analyses as A
 from tuplewright.plans import clients as C
-from tuplewright.plans.engine import Engine, evaluate
+from tuplewright.plans.engine import Engine, evaluate, shared_dir
+from tuplewright.plans.language import parse
+from tuplewright.sources import facts as S
+from tuplewright.sources import sinks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -321,3 +326,33 @@ def means_by_rules(spark, d):
     sizes = parts(spark, d).select("k", "brand", F.col("size").cast("long"))
     r = Engine(spark, rules, {"part": sizes}).run("Mean", "Big", "Listed")
     return r["Mean"].join(r["Big"].withColumn("big", F.lit(True)), "brand", "left").withColumn("big", F.coalesce("big", F.lit(False)))
+
+
+FILES = """
+.decl part(k: number, brand: symbol, size: number)
+.input part(IO=file, filename="parts.txt", delimiter="|")
+.decl gone(k: number)
+.input gone
+.decl Brand(brand: symbol, n: number, most: number)
+.output Brand(filename="brands.txt", delimiter=";", headers=true)
+Brand(b, n, m) :- part(_, b, _), n = count : { part(k, b, _), !gone(k) }, m = max s : { part(_, b, s) }.
+"""
+
+
+@query(f"with {PARTS} select brand, count(*) as n, max(size) as most from p group by brand")
+def relations_through_files(spark, d):
+    """Facts from a delimited file, a missing file as an empty relation, an output file, and that read back as an input."""
+    folder = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    parts(spark, d).select("k", "brand", "size").write.csv(f"{folder}/parts.txt", sep="|")
+    program = parse(FILES)
+    sinks.write_outputs(Engine(spark, program, S.read_inputs(spark, program, folder)).run("Brand"), program, folder)
+    again = parse('.decl Brand(brand: symbol, n: number, most: number) .input Brand(filename="brands.txt", delimiter=";", headers=true)')
+    return S.read_inputs(spark, again, folder)["Brand"]
+
+
+@query("select 'part' as relation, count(distinct p_partkey) as tuples from part union all select 'line', count(*) from (select distinct l_orderkey, l_linenumber from lineitem)")
+def relation_sizes(spark, d):
+    """What .printsize tells of relations."""
+    p, i = parts(spark, d).select("k"), lines(spark, d).select("o", "n")
+    r = evaluate(spark, ".decl part(k: number) .decl line(o: number, n: number)", {"part": p, "line": i}, "part", "line")
+    return sinks.sizes(spark, r.relations)

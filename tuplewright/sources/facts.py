@@ -248,6 +248,26 @@ def read(spark: SparkSession, folder: str, file: str, kind: str = "java") -> Dat
     return df.na.fill("").distinct()
 
 
+def read_inputs(spark: SparkSession, program, folder: str) -> dict[str, DataFrame]:
+    """The relations that a program's ``.input`` directives name, by their declared types.
+
+    Options: filename (default: the relation's name and ``.facts``), delimiter (default: a tab), headers ("true": a first
+    line of names is passed over). A missing file is an empty relation.
+    """
+    from tuplewright.plans.engine import Compiler
+
+    out, compiler = {}, Compiler(spark, program)
+    for name, options in program.inputs.items():
+        schema, path = compiler.schema(program.relations[name]), f"{folder}/{options.get('filename', f'{name}.facts')}"
+        if not _exists(spark, path):
+            out[name] = spark.createDataFrame([], schema)
+            continue
+        header = options.get("headers", "false") == "true"
+        df = spark.read.csv(path, sep=options.get("delimiter", "\t"), schema=schema, quote="", header=header, enforceSchema=True, mode="FAILFAST", nullValue="\0", emptyValue="")
+        out[name] = df.na.fill("").distinct()
+    return out
+
+
 def read_all(spark: SparkSession, folder: str, kind: str = "java", extra: str | None = None, only: list[str] | None = None) -> dict[str, DataFrame]:
     """Relations by name, with the facts of the same files in another folder added."""
     out = {}

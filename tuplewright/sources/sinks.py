@@ -18,6 +18,14 @@ def export(relations: dict[str, DataFrame], folder: str, format: str = "parquet"
             df.write.mode("overwrite").format(format).save(f"{folder}/{name}")
 
 
+def write_outputs(result, program, folder: str) -> None:
+    """The relations that a program's ``.output`` directives name, as text. Options: filename (default: the relation's
+    name and ``.csv``), delimiter (default: a tab), headers ("true": names in the first line of each part)."""
+    for name, options in program.outputs.items():
+        header = options.get("headers", "false") == "true"
+        result[name].write.mode("overwrite").csv(f"{folder}/{options.get('filename', f'{name}.csv')}", sep=options.get("delimiter", "\t"), quote="", escape="", header=header, emptyValue="")
+
+
 def sizes(spark: SparkSession, relations: dict[str, DataFrame]) -> DataFrame:
     """relation and its number of tuples, one aggregate for each."""
     out = None
