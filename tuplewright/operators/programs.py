@@ -35,7 +35,7 @@ def query(sql: str):
 def parts(spark, d) -> DataFrame:
     """One row for each part: k, its parent up (null at a root), size and brand."""
     p = table(spark, d, "part").groupBy(F.col("p_partkey").alias("k")).agg(F.min("p_size").alias("size"), F.min("p_brand").alias("brand"))
-    return p.join(p.select(F.col("k").alias("up")), F.expr("k div 2") == F.col("up"), "left")
+    return p.join(p.select(F.col("k").alias("up")), (F.expr("k div 2") == F.col("up")) & (F.col("k") > 0), "left")
 
 
 def lines(spark, d) -> DataFrame:
@@ -57,7 +57,7 @@ def hierarchy(spark, d) -> dict[str, DataFrame]:
     }
 
 
-PARTS = "p as (select p_partkey as k, min(p_size) as size, min(p_brand) as brand from part group by 1), up as (select x.k as c, y.k as p from p x join p y on x.k // 2 = y.k) "
+PARTS = "p as (select p_partkey as k, min(p_size) as size, min(p_brand) as brand from part group by 1), up as (select x.k as c, y.k as p from p x join p y on x.k // 2 = y.k and x.k > 0) "
 ABOVE = f"with recursive {PARTS}, above as (select c, p from up union select above.c, up.p from above join up on above.p = up.c)"
 WIDER = ", ".join(f"('{a}', '{b}')" for a, b in A.WIDENS)
 PRIMITIVE = ", ".join(f"('{p}')" for p in ("boolean", "byte", "char", "short", "int", "long", "float", "double"))

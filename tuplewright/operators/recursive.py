@@ -93,13 +93,13 @@ def ancestors_bounded(spark, d):
 
 
 #: parts refer to their parent in the forest, and a parent to a child that is smaller
-_REFERS = f"{FOREST}, refers as (select c as a, p as b from sub where p > 0 union select p, c from sub join part x on x.p_partkey = c join part y on y.p_partkey = p where y.p_size > x.p_size)"
+_REFERS = f"{FOREST}, refers as (select c as a, p as b from sub union select p, c from sub join part x on x.p_partkey = c join part y on y.p_partkey = p where y.p_size > x.p_size)"
 _SCC = f"with recursive {_REFERS}, path as (select a, b from refers union select path.a, refers.b from path join refers on path.b = refers.a), node as (select a as x from refers union select b from refers), same as (select x as a, x as b from node union select p.a, p.b from path p join path q on p.a = q.b and p.b = q.a) "
 
 
 def _components(spark, d, *wanted):
     size = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size").distinct()
-    up = forest(spark, d).where("p > 0")
+    up = forest(spark, d)
     of = lambda c: size.select(F.col("k").alias(c), F.col("p_size").alias(f"{c}_size"))
     down = up.join(of("c"), "c").join(of("p"), "p").where("p_size > c_size")
     text = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
