@@ -7,8 +7,8 @@ numbers of its words there, compressed. Only the dictionaries are exchanged: eac
 each block that has it, to the shard that its hash names, in one compressed piece a shard; answers come
 back the same way and are set beside the block's documents.
 
-Sizes: a block is bounded by its bytes (a longer document is a block of its own), a shard's share by
-``SHARD_WORDS`` words on average, whatever the input; a frequent word costs no more than a rare one.
+Sizes: a block is bounded by its bytes (a longer document is a block of its own); the caller chooses the
+number of shards, each of which sends every block a row; a frequent word costs no more than a rare one.
 
 Rows are (block, shard, data): shard -1 has the documents, 0 and on the words of that shard in order.
 A block's number is its task's partition and its place there, so a task that runs again makes the same
@@ -29,7 +29,6 @@ from pyspark import TaskContext
 from tuplewright.llm.common import texts
 
 BLOCK_BYTES = 20 << 20
-SHARD_WORDS = 400_000
 SCHEMA = "block long, shard int, data binary"
 
 _NAMES = ["block", "shard", "data"]
