@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tuplewright.operators.idioms import table
 from tuplewright.plans import analyses as A
 from tuplewright.plans import clients as C
+from tuplewright.plans import extensions as X
 from tuplewright.plans.engine import Engine, evaluate, shared_dir
 from tuplewright.plans.language import parse
 from tuplewright.sources import facts as S
@@ -99,7 +100,17 @@ def folded_order_sums(spark, d):
     return A.run(spark, A.CONSTANTS, facts, "Folded")["Folded"]
 
 
-@query(
+def flow_facts(spark, d) -> dict[str, DataFrame]:
+    i = lines(spark, d).withColumn("m", F.col("o").cast("string"))
+    back = i.where("f = 'A' and n > 2").select("m", F.col("n").alias("i"), F.lit(1).cast("long").alias("to"))
+    return {
+        "instruction": i.select("m", F.col("n").alias("i")),
+        "jump": i.where("f = 'R'").select("m", F.col("n").alias("i"), (F.col("n") + 2).alias("to")).unionByName(back),
+        "ends": i.where("f = 'R' and q > 40").select("m", F.col("n").alias("i")),
+    }
+
+
+FLOW = (
     f"with recursive {LINES}, jump as (select o, n as i, n + 2 as t from i where f = 'R' union select o, n, 1 from i where f = 'A' and n > 2), stop as (select o, n from i where f = 'R' and q > 40), "
     "nxt as (select o, n, lead(n) over (partition by o order by n) as m from i), ok as (select jump.* from jump join i on i.o = jump.o and i.n = jump.t), "
     "suc as (select o, n as a, m as b from nxt where m is not null and not exists (select 1 from stop where stop.o = nxt.o and stop.n = nxt.n) union select o, i, t from ok), "
@@ -108,18 +119,60 @@ def folded_order_sums(spark, d):
     "edge as (select distinct suc.o, x.h as a, y.h as b from suc join lead_ l on l.o = suc.o and l.n = suc.b join blk x on x.o = suc.o and x.n = suc.a join blk y on y.o = suc.o and y.n = suc.b), "
     "start as (select o, min(h) as s from blk group by o), reach as (select o, s as b from start union select reach.o, edge.b from reach join edge on edge.o = reach.o and edge.a = reach.b), "
     "avoid as (select distinct blk.o, h as a, s as b from blk join start on start.o = blk.o where h <> s union select avoid.o, avoid.a, edge.b from avoid join edge on edge.o = avoid.o and edge.a = avoid.b where avoid.a <> edge.b) "
+)
+
+
+@query(
+    f"{FLOW}"
     "select cast(x.o as varchar) as m, x.b as a, y.b as b from reach x join reach y on x.o = y.o where not exists (select 1 from avoid v where v.o = x.o and v.a = x.b and v.b = y.b)"
 )
 def dominators_by_order(spark, d):
     """Dominates: a returned line skips the next one, or ends the order above a quantity of 40; an accepted one from the third on goes back to the first."""
-    i = lines(spark, d).withColumn("m", F.col("o").cast("string"))
-    back = i.where("f = 'A' and n > 2").select("m", F.col("n").alias("i"), F.lit(1).cast("long").alias("to"))
+    return A.run(spark, A.CONTROL_FLOW, flow_facts(spark, d), "Dominates")["Dominates"]
+
+
+@query(
+    f"{FLOW}, dom as (select x.o, x.b as a, y.b as b from reach x join reach y on x.o = y.o where not exists (select 1 from avoid v where v.o = x.o and v.a = x.b and v.b = y.b)), "
+    "fr as (select distinct e.o, d.a, e.b from edge e join dom d on d.o = e.o and d.b = e.a where not exists (select 1 from dom s where s.o = e.o and s.a = d.a and s.b = e.b and s.a <> s.b)), "
+    "def as (select distinct i.o, i.f as v, blk.h as b from i join blk on blk.o = i.o and blk.n = i.n join reach on reach.o = i.o and reach.b = blk.h), "
+    "phi as (select def.o, def.v, fr.b from def join fr on fr.o = def.o and fr.a = def.b union select phi.o, phi.v, fr.b from phi join fr on fr.o = phi.o and fr.a = phi.b) "
+    "select cast(o as varchar) as m, v, b from phi"
+)
+def phi_placement_by_order(spark, d):
+    """Phi: each line of an order's flow sets the variable of its flag; where definitions meet."""
+    assigns = lines(spark, d).select(F.col("o").cast("string").alias("m"), F.col("n").alias("i"), F.col("f").alias("v"))
+    return Engine(spark, X.SSA, flow_facts(spark, d) | {"assigns": assigns}).run("Phi")["Phi"]
+
+
+@query(
+    f"with recursive {PARTS}, own as (select k, 'n' || (size % 4) as name, size from p), mem as (select k as m, k as t from p union all select mem.m, up.c from mem join up on up.p = mem.t join own x on x.k = mem.m "
+    "where x.size <= 40 and not exists (select 1 from own y where y.k = up.c and y.name = x.name)) select 'm' || m as m, 'P' || t as t from mem"
+)
+def members_of_parts(spark, d):
+    """DeclaredOrInherited: a class has its own method and those above it that aren't private (of size above 40) or declared anew on the way."""
+    private = parts(spark, d).where("size > 40").select(named("m", "k").alias("m"), F.lit("private").alias("mod"))
+    return Engine(spark, A.DECLS + A.HIERARCHY + X.MEMBERS, hierarchy(spark, d) | {"modifier": private}).run("DeclaredOrInherited")["DeclaredOrInherited"]
+
+
+@query(f"{ABOVE}, t as (select k as s, k as v from p where size > 40 union select a.c, a.p from above a join p on a.c = p.k where p.size > 40) select 'source' || s as source, 'sink' || v as inv, 'use' as m from t")
+def leaks_of_parts(spark, d):
+    """Leak (information flow on points-to): what a source gives parts of size above 40 is copied to the parents, and each part is used."""
+    p = parts(spark, d)
+    main = F.lit("main")
+    taken = p.where("size > 40")
+    calls = taken.select(named("source", "k").alias("inv"), main.alias("m"), F.lit("make").alias("sig")).unionByName(p.select(named("sink", "k").alias("inv"), main.alias("m"), F.lit("use").alias("sig")))
     facts = {
-        "instruction": i.select("m", F.col("n").alias("i")),
-        "jump": i.where("f = 'R'").select("m", F.col("n").alias("i"), (F.col("n") + 2).alias("to")).unionByName(back),
-        "ends": i.where("f = 'R' and q > 40").select("m", F.col("n").alias("i")),
+        "is_class": spark.createDataFrame([("M",), ("T",)], "t string"),
+        "main_class": spark.createDataFrame([("M",)], "t string"),
+        "method": spark.createDataFrame([("main", "main", "()", "M"), ("make", "make", "()", "M"), ("use", "use", "(T)", "M")], "m string, name string, desc string, t string"),
+        "static_call": calls,
+        "assigned": taken.select(named("source", "k").alias("inv"), named("v", "k").alias("v")),
+        "actual": p.select(named("sink", "k").alias("inv"), F.lit(0).cast("long").alias("i"), named("v", "k").alias("v")),
+        "move": p.where("up is not null").select(named("v", "up").alias("to"), named("v", "k").alias("from")),
+        "source": spark.createDataFrame([("make", "T")], "m string, t string"),
+        "sink": spark.createDataFrame([("use", 0)], "m string, i long"),
     }
-    return A.run(spark, A.CONTROL_FLOW, facts, "Dominates")["Dominates"]
+    return A.analyse(spark, facts, "micro", "Leak", extra=X.information_flow(A.policy("micro")))["Leak"]
 
 
 @query(f"{ABOVE} select 'v' || k as v, 'source' || k as source from p where size > 40 union select 'v' || a.p, 'source' || a.c from above a join p on a.c = p.k where p.size > 40")
