@@ -23,7 +23,7 @@ from collections.abc import Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,8 @@ from tuplewright.plans.language import Aggregate, Atom, Call, Compare, Const, Pr
 
 COMPACT_AFTER = 8
 PARALLEL = 6
+#: a stratum's rules that are planned, and relations that are written, side by side
+WORKERS = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,25 +55,27 @@ class Stored:
         self.spark, self.schema = spark, schema
         self.base = f"{shared_dir(spark)}/relations/{name.replace('.', '_')}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        self.read: DataFrame | None = None
 
-    def write(self, df: DataFrame, counted: bool = True) -> tuple[DataFrame, int, str]:
-        """The rows as written, not yet part of the relation, their count (1 if it isn't asked for), and their place."""
+    def write(self, df: DataFrame) -> tuple[DataFrame, int, str]:
+        """The rows as written, not yet part of the relation, their count (by the job that writes them), and their place."""
         path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(self.schema).parquet(path)
-        return out, out.count() if counted else 1, path
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path), seen.get["n"], path
 
     def add(self, path: str) -> None:
+        self.read = None
         self.paths.append(path)
         if len(self.paths) > COMPACT_AFTER:
             path = f"{self.base}/all-{uuid.uuid4().hex[:8]}"
             self.all().write.parquet(path)
-            self.paths = [path]
+            self.paths, self.read = [path], None
 
     def all(self) -> DataFrame:
-        if not self.paths:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*self.paths)
+        if self.read is None:
+            self.read = self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
+        return self.read
 
 
 @dataclass
@@ -514,9 +518,35 @@ class Engine(Compiler):
         derived = {h.relation for r in self.program.rules for h in r.heads}
         #: relations that are facts alone are read where they are
         self.plain = {n: self.given(n).distinct() for n in self.program.relations if n in self.facts and n not in derived and self.program.relations[n].columns}
+        #: of those, the ones known to have no tuples
+        self.bare = {n for n in self.plain if self._rowless(self.facts[n])}
+        #: and the ones that are written without repeated rows, for rounds to read
+        self.settled: set[str] = set()
         #: called with (relation, its new tuples, round) as they are found
         self.on_delta = None
 
+    @staticmethod
+    def _rowless(df: DataFrame) -> bool:
+        """Whether the optimised plan alone, without a job, shows that there are no rows."""
+        most = df._jdf.queryExecution().optimizedPlan().maxRows()
+        return most.isDefined() and most.get() == 0
+
+    def _settle(self, names: set[str]) -> None:
+        """Writes facts that rounds will read again and again: else each round would compute and compare them anew."""
+        names = sorted(names & set(self.plain) - self.bare - self.settled)
+        with ThreadPoolExecutor(max_workers=WORKERS) as pool:
+            made = dict(zip(names, pool.map(lambda n: Stored(self.spark, n, self.schema(self.program.relations[n])).write(self.plain[n]), names), strict=True))
+        for name, (df, count, _) in made.items():
+            self.plain[name] = df
+            self.settled.add(name)
+            if not count:
+                self.bare.add(name)
+
+    def _idle(self, rule: Rule, delta: dict[str, DataFrame] | None, first: int | None) -> bool:
+        """Whether the rule can give nothing, as a relation that it joins has no tuples."""
+        asked = (x.relation for i, x in enumerate(rule.body) if isinstance(x, Atom) and not x.negated and i != first)
+        return any(r in self.bare or r in self.stored and not self.stored[r].paths for r in asked)
+
     def relation(self, name: str) -> DataFrame:
         if name in self.plain:
             return self.plain[name]
@@ -556,7 +586,7 @@ class Engine(Compiler):
                 out = out.where(F.col(f"`{f.name}`").isNotNull())
         return out
 
-    def _new(self, name: str, parts: list[DataFrame], counted: bool) -> tuple[DataFrame, int, str]:
+    def _new(self, name: str, parts: list[DataFrame]) -> tuple[DataFrame, int, str]:
         """The tuples of the parts that the relation lacks, written."""
         store, relation = self.stored[name], self.program.relations[name]
         out = parts[0]
@@ -568,15 +598,15 @@ class Engine(Compiler):
         if store.paths:
             if relation.columns:
                 out = out.join(store.all(), out.columns, "left_anti")
-            elif store.all().count():
-                out = out.limit(0)
+            else:
+                out = out.limit(0)  # a stored relation without columns has its one tuple
         if relation.choice:
             keys = [c.lstrip("?") for c in relation.choice]
             w = Window.partitionBy(*keys).orderBy(*[c for c in out.columns])
             out = out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
             if store.paths:
                 out = out.join(store.all().select(*keys), keys, "left_anti")
-        return store.write(out, counted)
+        return store.write(out)
 
     def _evaluate(self, group: list[str], delta: dict[str, DataFrame] | None = None) -> None:
         """Brings a stratum to its fixpoint. delta: new tuples of lower relations, when only what follows from them is to be added."""
@@ -588,34 +618,30 @@ class Engine(Compiler):
                 self.stored[name] = Stored(self.spark, name, schema)
         parts: dict[str, list[DataFrame]] = {r: [] for r in group}
 
-        def fire(rule: Rule, deltas: dict[str, DataFrame] | None, first: int | None) -> None:
+        def fire(rule: Rule, deltas: dict[str, DataFrame] | None, first: int | None) -> list[tuple[str, DataFrame]]:
             body = self._rule(rule, inside, deltas, first)
-            for head in rule.heads:
-                if head.relation in inside:
-                    parts[head.relation].append(self._head(head, body))
+            return [(h.relation, self._head(h, body)) for h in rule.heads if h.relation in inside]
 
         recursive = [[i for i, x in enumerate(r.body) if isinstance(x, Atom) and not x.negated and x.relation in inside] for r in rules]
         if delta is None:
             for name in group:
-                if (facts := self.given(name)) is not None:
-                    parts[name].append(facts.distinct())
-            for rule, inner in zip(rules, recursive, strict=True):
-                if not inner:
-                    fire(rule, None, None)
+                if name in self.facts and not self._rowless(self.facts[name]):
+                    parts[name].append(self.given(name).distinct())
+            firings = [(rule, None, None) for rule, inner in zip(rules, recursive, strict=True) if not inner]
         else:
-            for rule in rules:
-                for i, x in enumerate(rule.body):
-                    if isinstance(x, Atom) and not x.negated and x.relation in delta:
-                        fire(rule, delta, i)
+            firings = [(rule, dict(delta), i) for rule in rules for i, x in enumerate(rule.body) if isinstance(x, Atom) and not x.negated and x.relation in delta]
             for name in group:
                 if name in delta and name in self.facts:
                     parts[name].append(delta[name])
         number = 0
-        with ThreadPoolExecutor(max_workers=4) as pool:
+        with ThreadPoolExecutor(max_workers=WORKERS) as pool:
             while True:
+                for found in pool.map(lambda f: fire(*f), [f for f in firings if not self._idle(*f)]):
+                    for name, df in found:
+                        parts[name].append(df)
                 work = {r: p for r, p in parts.items() if p}
                 counted = any(recursive) or delta is not None
-                made = dict(zip(work, pool.map(lambda r: self._new(r, work[r], counted), work), strict=True))
+                made = dict(zip(work, pool.map(lambda r: self._new(r, work[r]), work), strict=True))
                 fresh = {r: df for r, (df, n, _) in made.items() if n}
                 for r, df in fresh.items():
                     self.stored[r].add(made[r][2])
@@ -631,10 +657,7 @@ class Engine(Compiler):
                 if number > self.most_rounds:
                     raise RuleError(f"no fixpoint of {group} after {self.most_rounds} rounds")
                 parts = {r: [] for r in group}
-                for rule, inner in zip(rules, recursive, strict=True):
-                    for i in inner:
-                        if rule.body[i].relation in fresh:
-                            fire(rule, fresh, i)
+                firings = [(rule, fresh, i) for rule, inner in zip(rules, recursive, strict=True) for i in inner if rule.body[i].relation in fresh]
 
     def run(self, *wanted: str) -> Result:
         """Evaluates what the wanted relations need (by default the outputs, or else everything)."""
@@ -642,6 +665,7 @@ class Engine(Compiler):
         groups = [g for g in strata(self.program, wanted) if not all(r in self.stored or r in self.plain for r in g)]
         needs = {r: {u for q in self.program.rules for h in q.heads if h.relation == r for x in q.body for u, _ in used(x)} for g in groups for r in g}
         done: dict[str, Future] = {}
+        self._settle({u for g in groups for r in g if needs[r] & set(g) for q in g for u in needs[q]})
 
         def evaluate_after(group: list[str], before: list[Future]) -> None:
             for f in before:
@@ -672,6 +696,8 @@ class Engine(Compiler):
         fact_only = name in self.plain
         if fact_only:
             self.plain[name] = self.plain[name].unionByName(rows).distinct()
+            self.bare.discard(name)
+            self.settled.discard(name)
         delta, changed = {name: rows}, {name}
         before = len(self.rounds)
         for group in strata(self.program, list(self.stored)):
