@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tuplewright.operators.idioms", "tuplewright.operators.recursive", "tuplewright.operators.programs")
+MODULES = ("tuplewright.operators.idioms", "tuplewright.operators.recursive", "tuplewright.operators.programs", "tuplewright.operators.client_programs")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -256,14 +256,12 @@ LOOPS = """
 .decl adds(v: symbol, block: number, by: number)
 .decl assigns(v: symbol, block: number)
 .decl latch(header: number, source: number)
-.decl beside(header: number, a: number, b: number)
 .decl avoiding(header: number, a: number, b: number)
 .decl Loop(head: number, b: number)
 .decl Induction(v: symbol, head: number, by: number)
 latch(h, s) :- dominates(h, s), edge(s, h).
-beside(h, a, b) :- latch(h, _), edge(a, b), a != h, b != h.
 avoiding(h, s, s) :- latch(h, s), s != h.
-avoiding(h, a, s) :- beside(h, a, b), avoiding(h, b, s).
+avoiding(h, a, s) :- avoiding(h, b, s), edge(a, b), a != h.
 Loop(h, h) :- latch(h, _).
 Loop(h, a) :- latch(h, s), avoiding(h, a, s).
 Induction(v, h, n) :- adds(v, b, n), Loop(h, b), k = count : { assigns(v, c), Loop(h, c) }, k = 1.
