@@ -88,13 +88,13 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, copies: str, total: int, keys: int = HOT_KEYS) -> DataFrame:
     """rows joined to the one row that table has for each key. copies: the table's column of how many rows have the key.
 
-    Keys of more than a ``HOT_KEYS``-th of all rows (so fewer than ``HOT_KEYS`` of them) come by broadcast, and their
+    Keys of more than a ``keys``-th of all rows (so fewer than that many) come by broadcast, and their
     rows stay where they are; the others are joined by shuffle, where no key is large.
     """
-    bound = total // HOT_KEYS
+    bound = total // keys
     hot, cold = F.broadcast(table.where(F.col(copies) > bound).drop(copies)), table.where(F.col(copies) <= bound).drop(copies)
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
