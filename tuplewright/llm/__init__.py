@@ -5,7 +5,7 @@
 
 from importlib import import_module
 
-MODULES = ("sharding", "media", "packing", "lm_scoring", "simhash", "pii", "toxicity", "licences", "quality", "bpe", "filter_audit", "alignment")
+MODULES = ("sharding", "media", "packing", "lm_scoring", "simhash", "pii", "toxicity", "licences", "quality", "bpe", "filter_audit", "hyperminhash", "alignment")
 
 
 def _gather(name: str) -> dict:
