@@ -1,9 +1,9 @@
 """Scalar functors of rule programs as Column expressions.
 
 Conventions: ``match`` is a whole-string match; ``contains`` has the needle first; ``substr`` counts from
-0; ``/`` and ``%`` truncate towards zero and give null (no row) for a zero divisor; ``ord`` orders symbols
-as their text does, and in arithmetic it is a number of the symbol (a hash of 31 bits). ``x = range(a, b)`` gives each
-number from a up to b, b left out. Strings are measured in characters.
+0; ``/`` and ``%`` truncate towards zero and give null (no row) for a zero divisor; ``ord`` is a symbol's number in the
+engine's table of ordinals (a join), and the text itself where only the order of symbols is asked for. ``x = range(a, b)``
+gives each number from a up to b, b left out. Strings are measured in characters.
 """
 
 from __future__ import annotations
@@ -51,10 +51,6 @@ def ord_(symbol: Column) -> Column:
     return symbol
 
 
-def number_of(symbol: Column) -> Column:
-    return F.pmod(F.xxhash64(symbol.cast("string")), F.lit(1 << 31))
-
-
 def div(a: Column, b: Column) -> Column:
     a, b = a.cast("long"), b.cast("long")
     return F.when(b != 0, F.call_function("div", a, F.when(b != 0, b)))

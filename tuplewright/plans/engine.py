@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import RLock as Lock
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,12 +73,28 @@ class Stored:
             self.all().write.parquet(path)
             self.paths, self.read = [path], None
 
+    def take(self, rows: DataFrame) -> None:
+        """Writes the relation anew without these rows."""
+        left, n, path = self.write(self.all().join(rows, rows.columns, "left_anti"))
+        self.paths, self.read = [path] if n else [], left if n else None
+
     def all(self) -> DataFrame:
         if self.read is None:
             self.read = self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
         return self.read
 
 
+def _symbols(x) -> set[str]:
+    """The texts that a term or literal names."""
+    if isinstance(x, Const):
+        return {x.value} if isinstance(x.value, str) else set()
+    if isinstance(x, Aggregate):
+        return set().union(*(_symbols(y) for y in (x.value, *x.body) if y is not None))
+    if isinstance(x, Compare):
+        return _symbols(x.left) | _symbols(x.right)
+    return set().union(*map(_symbols, x.args)) if isinstance(x, Call | Atom) and x.args else set()
+
+
 @dataclass
 class Round:
     stratum: tuple[str, ...]
@@ -151,6 +168,115 @@ def strata(program: Program, wanted: Iterable[str]) -> list[list[str]]:
     return out
 
 
+#: the relation of symbols and their ordinals, which rules with ord read
+ORDINALS = "$ord"
+
+
+class Ordinals:
+    """An injective table of symbols to numbers in the shared folder, added to as symbols appear.
+
+    A batch's symbols are sorted by ranges and numbered in their partitions (a partition's numbers start at a place of its
+    own, so no task sees all), above those of the batches before. So ordinals of symbols that came in one batch, such as all of the facts', follow the text.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.store = Stored(spark, "ordinals", T.StructType([T.StructField("s", T.StringType()), T.StructField("n", T.LongType())]))
+        self.next = 0
+
+    def add(self, symbols: DataFrame) -> None:
+        """symbols: one column."""
+        new = symbols.toDF("s").where("s is not null").distinct()
+        if self.store.paths:
+            new = new.join(self.store.all(), "s", "left_anti")
+        df, count, path = self.store.write(new.orderBy("s").select("s", (F.monotonically_increasing_id() + self.next).alias("n")))
+        if count:
+            self.store.add(path)
+            self.next = df.agg(F.max("n")).first()[0] + 1
+
+    def all(self) -> DataFrame:
+        return self.store.all()
+
+
+def leaves(df: DataFrame) -> DataFrame | None:
+    """All texts in df's columns, those in records too, as one column."""
+
+    def below(column: Column, kind: T.DataType) -> list[Column]:
+        if isinstance(kind, T.StructType):
+            return [c for f in kind.fields for c in below(column[f.name], f.dataType)]
+        return [column] if isinstance(kind, T.StringType) else []
+
+    found = [c for f in df.schema.fields for c in below(F.col(f"`{f.name}`"), f.dataType)]
+    return df.select(F.explode(F.array(*found)).alias("s")).distinct() if found else None
+
+
+class WithOrdinals:
+    """Rules in which ord(x) is a variable that the relation of ordinals binds."""
+
+    #: functors that make symbols which no fact may have
+    MAKERS = ("cat", "substr", "to_string")
+
+    def __init__(self, program: Program, typed) -> None:
+        self.program, self.typed, self.used, self.count = program, typed, False, 0
+        calls = [c for r in program.rules for x in (*r.heads, *r.body) for c in self.calls(x)]
+        #: whether rules can make symbols that are not in the facts
+        self.open = any(c in self.MAKERS or c.startswith("@") or c == "[]" for c in calls)
+        if "ord" in calls:
+            program.rules = [self.rule(r) for r in program.rules]
+        if self.used:
+            program.relations[ORDINALS] = Relation(ORDINALS, (("s", "symbol"), ("n", "number")))
+
+    def calls(self, x) -> list[str]:
+        if isinstance(x, Aggregate):
+            return [c for y in (x.value, *x.body) if y is not None for c in self.calls(y)]
+        if isinstance(x, Compare):
+            return self.calls(x.left) + self.calls(x.right)
+        if isinstance(x, Call | Atom):
+            return ([x.name] if isinstance(x, Call) else []) + [c for a in x.args for c in self.calls(a)]
+        return []
+
+    def rule(self, rule: Rule) -> Rule:
+        self.kinds = self.typed(rule.body, rule.heads)
+        more: list = []
+        body = tuple(self.literal(x, more) for x in rule.body)
+        heads = tuple(Atom(h.relation, tuple(self.term(a, more) for a in h.args), h.negated) for h in rule.heads)
+        return Rule(heads, (*body, *more))
+
+    def literal(self, x, more: list):
+        if isinstance(x, Atom):
+            return x if x.negated else Atom(x.relation, tuple(self.term(a, more) for a in x.args))
+        if isinstance(x, Compare):
+            sides = (x.left, x.right)
+            if all(isinstance(a, Call) and a.name == "ord" for a in sides) and (x.op in ("=", "!=") or not self.open):
+                return Compare(x.op, sides[0].args[0], sides[1].args[0])  # as ordinals follow the text
+            by_symbol = any(isinstance(a, Aggregate) and isinstance(b, Var) and self.kinds.get(b.name) not in (None, "number", "unsigned") for a, b in (sides, sides[::-1]))
+            if by_symbol:  # the least symbol itself is asked for
+                return x
+            return Compare(x.op, *(self.term(a, more) for a in sides))
+        if isinstance(x, Call):
+            return Call(x.name, tuple(self.term(a, more) for a in x.args))
+        return x
+
+    def term(self, x, more: list):
+        if isinstance(x, Aggregate):
+            inner: list = []
+            value = self.term(x.value, inner) if x.value is not None else None
+            body = tuple(self.literal(b, inner) for b in x.body)
+            return Aggregate(x.kind, value, (*body, *inner))
+        if isinstance(x, Call) and x.name == "ord":
+            self.used, self.count = True, self.count + 1
+            symbol, number = self.term(x.args[0], more), Var(f"?ord{self.count}")
+            if not isinstance(symbol, Var | Const):
+                name = Var(f"?sym{self.count}")
+                more.append(Compare("=", name, symbol))
+                symbol = name
+            more.append(Atom(ORDINALS, (symbol, number)))
+            return number
+        if isinstance(x, Call):
+            return Call(x.name, tuple(self.term(a, more) for a in x.args))
+        return x
+
+
 class Compiler:
     """Bodies to DataFrames whose columns are variables."""
 
@@ -267,9 +393,6 @@ class Compiler:
                 raise RuleError(f"a record of {kind} has {len(kinds)} fields")
             return self.record([self.term(a, bound, k) for a, k in zip(x.args, kinds, strict=True)], kind)
         args = [self.term(a, bound) for a in x.args]
-        if x.name in ("+", "-", "*", "/", "%"):
-            # ord in arithmetic is a number of the symbol
-            args = [functors.number_of(c) if isinstance(a, Call) and a.name == "ord" else c for a, c in zip(x.args, args, strict=True)]
         if x.name in ("+", "-", "*"):
             a, b = (c.cast("long") for c in args)
             return a + b if x.name == "+" else a - b if x.name == "-" else a * b
@@ -443,6 +566,9 @@ class Compiler:
                 index = max(atoms, key=lambda i: (len(variables(literals[i]) & have) > 0, sum(isinstance(a, Const) for a in literals[i].args), len(variables(literals[i]) & have), -i))
             x = literals[index]
             todo.remove(index)
+            if x.relation == ORDINALS:
+                tables = [*tables]
+                tables[index] = self.ordinals_for(x.args[0], state, have)
             view, later = atom_view(x, tables[index])
             on = [c for c in view.columns if c in have]
             new = [c for c in view.columns if c not in have]
@@ -505,6 +631,9 @@ class Compiler:
     def relation(self, name: str) -> DataFrame:
         raise NotImplementedError
 
+    def ordinals_for(self, symbol, state: DataFrame | None, have: set[str]) -> DataFrame:
+        raise NotImplementedError
+
 
 class Engine(Compiler):
     """Evaluates a program over given facts."""
@@ -513,6 +642,8 @@ class Engine(Compiler):
         super().__init__(spark, parse(program, defined) if isinstance(program, str) else program)
         self.facts = facts or {}
         self.most_rounds = most_rounds
+        typed = WithOrdinals(self.program, self.types_of)
+        self.open_symbols, self.ordinals, self.ordering = typed.open, None, Lock()
         self.stored: dict[str, Stored] = {}
         self.rounds: list[Round] = []
         derived = {h.relation for r in self.program.rules for h in r.heads}
@@ -522,6 +653,9 @@ class Engine(Compiler):
         self.bare = {n for n in self.plain if self._rowless(self.facts[n])}
         #: and the ones that are written without repeated rows, for rounds to read
         self.settled: set[str] = set()
+        if ORDINALS in self.program.relations:
+            self.plain[ORDINALS] = None
+            self.settled.add(ORDINALS)
         #: called with (relation, its new tuples, round) as they are found
         self.on_delta = None
 
@@ -548,10 +682,35 @@ class Engine(Compiler):
         return any(r in self.bare or r in self.stored and not self.stored[r].paths for r in asked)
 
     def relation(self, name: str) -> DataFrame:
+        if name == ORDINALS:
+            with self.ordering:
+                return self._ordinals().all()
         if name in self.plain:
             return self.plain[name]
         return self.stored[name].all()
 
+    def _ordinals(self) -> Ordinals:
+        """The ordinals, at first of all symbols in the facts and in the rules."""
+        if self.ordinals is None:
+            self.ordinals = Ordinals(self.spark)
+            constants = {c for r in self.program.rules for x in (*r.heads, *r.body) for c in _symbols(x)}
+            parts = [leaves(self.given(n)) for n in sorted(self.facts) if n in self.program.relations]
+            parts.append(self.spark.createDataFrame([(c,) for c in sorted(constants)], "s string"))
+            parts = [p for p in parts if p is not None]
+            every = parts[0]
+            for p in parts[1:]:
+                every = every.unionByName(p)
+            self.ordinals.add(every)
+        return self.ordinals
+
+    def ordinals_for(self, symbol, state: DataFrame | None, have: set[str]) -> DataFrame:
+        """The ordinals, with those of the symbols that a rule's bindings have if rules can make new ones."""
+        with self.ordering:
+            table = self._ordinals()
+            if self.open_symbols and isinstance(symbol, Var) and symbol.name in have:
+                table.add(state.select(F.col(f"`{symbol.name}`").cast("string")))
+            return table.all()
+
     def given(self, name: str) -> DataFrame | None:
         """The facts of a relation with its declared names and types."""
         if name not in self.facts:
@@ -661,7 +820,7 @@ class Engine(Compiler):
 
     def run(self, *wanted: str) -> Result:
         """Evaluates what the wanted relations need (by default the outputs, or else everything)."""
-        wanted = wanted or tuple(self.program.outputs) or tuple(self.program.relations)
+        wanted = wanted or tuple(self.program.outputs) or tuple(r for r in self.program.relations if r != ORDINALS)
         groups = [g for g in strata(self.program, wanted) if not all(r in self.stored or r in self.plain for r in g)]
         needs = {r: {u for q in self.program.rules for h in q.heads if h.relation == r for x in q.body for u, _ in used(x)} for g in groups for r in g}
         done: dict[str, Future] = {}
@@ -693,6 +852,8 @@ class Engine(Compiler):
         schema = self.schema(self.program.relations[name])
         rows = rows.select(*(F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, schema.fields, strict=True)))
         self.facts[name] = self.facts[name].unionByName(rows.toDF(*self.facts[name].columns)) if name in self.facts else rows
+        if self.ordinals is not None and (new := leaves(rows)) is not None:
+            self.ordinals.add(new)
         fact_only = name in self.plain
         if fact_only:
             self.plain[name] = self.plain[name].unionByName(rows).distinct()
@@ -722,6 +883,115 @@ class Engine(Compiler):
                 found[r] = found.get(r, 0) + n
         return found
 
+    def _uses(self, group: list[str]) -> set[tuple[str, bool]]:
+        return {u for r in self.program.rules if any(h.relation in group for h in r.heads) for x in r.body for u in used(x)}
+
+    def _gone(self, name: str, rows: DataFrame, among: DataFrame, less: DataFrame | None = None) -> DataFrame | None:
+        """The distinct rows that are in among and not in less, written; None if there are none."""
+        rows = rows.distinct().join(among, among.columns, "left_semi")
+        rows = rows if less is None else rows.join(less, less.columns, "left_anti")
+        df, n, _ = Stored(self.spark, f"{name}-gone", among.schema).write(rows)
+        return df if n else None
+
+    def _suspects(self, group: list[str], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Of a stratum's tuples all that have a derivation from a tuple that is gone, by rounds over the relations as they were."""
+        rules = [r for r in self.program.rules if any(h.relation in group for h in r.heads)]
+        out = {r: gone[r] for r in group if r in gone}
+        front = dict(gone)
+        while front:
+            parts: dict[str, list[DataFrame]] = {}
+            for rule in rules:
+                for i, x in enumerate(rule.body):
+                    if isinstance(x, Atom) and not x.negated and x.relation in front and not self._idle(rule, front, i):
+                        body = self._rule(rule, set(group), front, i)
+                        for h in rule.heads:
+                            if h.relation in group:
+                                parts.setdefault(h.relation, []).append(self._head(h, body))
+            front = {}
+            for name, found in parts.items():
+                every = found[0]
+                for p in found[1:]:
+                    every = every.unionByName(p)
+                new = self._gone(name, every, self.stored[name].all(), out.get(name))
+                if new is not None:
+                    front[name] = new
+                    out[name] = out[name].unionByName(new) if name in out else new
+        return out
+
+    def delete(self, name: str, rows: DataFrame) -> dict[str, int]:
+        """Takes facts away after a run, and what no longer follows; gives how many tuples each relation lost.
+
+        Delete and derive again: first, stratum by stratum, every tuple with a derivation from one that goes is suspect.
+        Suspects are taken out, and those that the rest still derives (or that are facts themselves) come back by
+        semi-naive rounds from the suspects alone. Strata that negate or aggregate a relation with suspects, those with
+        choices, and what depends on them are evaluated anew.
+        """
+        schema = self.schema(self.program.relations[name])
+        rows = rows.select(*(F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, schema.fields, strict=True)))
+        if name not in self.facts:
+            return {}
+        rows = self._gone(name, rows, self.given(name).distinct())
+        if rows is None:
+            return {}
+        order = [g for g in strata(self.program, list(self.stored)) if any(r in self.stored and r not in self.plain for r in g)]
+        gone, again = {name: rows}, set()
+        if name not in self.plain:
+            gone = {n: df for n in (name,) if (df := self._gone(n, rows, self.stored[n].all())) is not None}
+        for group in order:
+            uses = self._uses(group)
+            if any(r in again or whole and r in gone for r, whole in uses) or any(r in gone for r, _ in uses | {(g, True) for g in group}) and any(self.program.relations[r].choice for r in group):
+                again.update(group)
+            elif any(r in gone for r, _ in uses) or any(r in gone for r in group):
+                gone |= self._suspects(group, gone)
+        left = self.given(name).join(rows, rows.columns, "left_anti")
+        self.facts[name] = Stored(self.spark, f"{name}-left", schema).write(left)[0]
+        if name in self.plain:
+            self.plain[name] = self.facts[name].distinct()
+            self.settled.discard(name)
+            self.bare |= {name} if self.plain[name].isEmpty() else set()
+        lost: dict[str, int] = {name: rows.count()} if name in self.plain else {}
+        for group in order:
+            if again & set(group):
+                before = {r: self.stored.pop(r).all() for r in group}
+                self._evaluate(group)
+                lost |= {r: df.join(self.stored[r].all(), df.columns, "left_anti").count() for r, df in before.items() if df.columns}
+                continue
+            suspects = {r: gone[r] for r in group if r in gone}
+            for r, df in suspects.items():
+                self.stored[r].take(df)
+            self._derive_again(group, suspects)
+            for r, df in suspects.items():
+                lost[r] = df.join(self.stored[r].all(), df.columns, "left_anti").count()
+        return {r: n for r, n in lost.items() if n}
+
+    def _derive_again(self, group: list[str], suspects: dict[str, DataFrame]) -> None:
+        """Puts the suspects back that follow from what is left of the stratum, or are facts."""
+        back: dict[str, list[DataFrame]] = {r: [] for r in suspects}
+        for rule in self.program.rules:
+            for h in rule.heads:
+                if h.relation in suspects and not self._idle(rule, None, None):
+                    wanted = suspects[h.relation]
+                    plain = [(a.name, c) for a, c in zip(h.args, wanted.columns, strict=True) if isinstance(a, Var)]
+                    seed = wanted.select(*(F.col(f"`{c}`").alias(v) for v, c in dict(plain).items())).distinct() if plain and rule.body else None
+                    tables = [self.relation(x.relation) if isinstance(x, Atom) else None for x in rule.body]
+                    body = self.body(rule.body, tables, variables(h), seed=seed, types=self.types_of(rule.body, rule.heads))
+                    back[h.relation].append(self._head(h, body))
+        delta: dict[str, DataFrame] = {}
+        for r, wanted in suspects.items():
+            if r in self.facts:
+                back[r].append(self.given(r))
+            if back[r]:
+                every = back[r][0]
+                for p in back[r][1:]:
+                    every = every.unionByName(p)
+                df = self._gone(r, every, wanted)
+                if df is not None:
+                    delta[r] = df
+        for r, df in delta.items():
+            self.stored[r].add(self.stored[r].write(df)[2])
+        if delta and any(r in delta for r, _ in self._uses(group)):
+            self._evaluate(group, delta)
+
 
 def evaluate(spark: SparkSession, text: str, facts: dict[str, DataFrame], *wanted: str, defined: set[str] | None = None) -> Result:
     return Engine(spark, text, facts, defined).run(*wanted)
