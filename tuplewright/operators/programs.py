@@ -409,3 +409,47 @@ def relation_sizes(spark, d):
     p, i = parts(spark, d).select("k"), lines(spark, d).select("o", "n")
     r = evaluate(spark, ".decl part(k: number) .decl line(o: number, n: number)", {"part": p, "line": i}, "part", "line")
     return sinks.sizes(spark, r.relations)
+
+
+@query("select c_mktsegment as s, min(c_name) as least, count(distinct c_name) as n from customer group by c_mktsegment")
+def least_by_ordinal(spark, d):
+    """Each segment's customer of least ordinal, found by a join on the number, and how many ordinals its customers have."""
+    rules = """
+    .decl of(c: symbol, s: symbol)
+    .decl Ordinal(c: symbol, n: number)
+    .decl Least(s: symbol, n: number)
+    .decl Numbers(s: symbol, n: number)
+    .decl Named(s: symbol, least: symbol, n: number)
+    Ordinal(c, ord(c)) :- of(c, _).
+    Least(s, n) :- of(_, s), n = min ord(c) : { of(c, s) }.
+    Numbers(s, n) :- of(c, s), Ordinal(c, n).
+    Named(s, c, k) :- Least(s, n), Ordinal(c, n), k = count : { Numbers(s, _) }.
+    """
+    of = table(spark, d, "customer").select("c_name", "c_mktsegment")
+    return evaluate(spark, rules, {"of": of}, "Named")["Named"]
+
+
+@query(
+    f"with recursive {LINES}, e as (select a.o, a.n as x, b.n as y from i a join i b on a.o = b.o and b.n = a.n + 1 where b.f <> 'R'), "
+    "p as (select o, x, y from e union select p.o, p.x, e.y from p join e on e.o = p.o and e.x = p.y) "
+    "select o, x, y, (select count(*) from p q where q.o = p.o and q.x = p.x) as n from p"
+)
+def closure_after_deletions(spark, d):
+    """Which lines of an order lead to which, after the ways to returned lines are taken away from a finished run."""
+    rules = """
+    .decl way(o: number, x: number, y: number)
+    .decl path(o: number, x: number, y: number)
+    .decl reach(o: number, x: number, n: number)
+    .decl Path(o: number, x: number, y: number, n: number)
+    path(o, x, y) :- way(o, x, y).
+    path(o, x, z) :- path(o, x, y), way(o, y, z).
+    reach(o, x, n) :- path(o, x, _), n = count : { path(o, x, _) }.
+    Path(o, x, y, n) :- path(o, x, y), reach(o, x, n).
+    """
+    of = lines(spark, d)
+    after = of.select("o", (F.col("n") - 1).alias("n"), F.col("n").alias("y"), F.col("f").alias("g"))
+    ways = of.select("o", "n").join(after, ["o", "n"])
+    engine = Engine(spark, rules, {"way": ways.select("o", "n", "y")})
+    engine.run("Path")
+    engine.delete("way", ways.where("g = 'R'").select("o", "n", "y"))
+    return engine.relation("Path")
