@@ -15,6 +15,7 @@ from tuplewright.operators.idioms import table
 from tuplewright.plans import analyses as A
 from tuplewright.plans import clients as C
 from tuplewright.plans import extensions as X
+from tuplewright.plans import ssa
 from tuplewright.plans.engine import Engine, evaluate, shared_dir
 from tuplewright.plans.language import parse
 from tuplewright.sources import facts as S
@@ -453,3 +454,23 @@ def closure_after_deletions(spark, d):
     engine.run("Path")
     engine.delete("way", ways.where("g = 'R'").select("o", "n", "y"))
     return engine.relation("Path")
+
+
+@query(
+    f"{FLOW}, dom as (select x.o, x.b as a, y.b as b from reach x join reach y on x.o = y.o where not exists (select 1 from avoid v where v.o = x.o and v.a = x.b and v.b = y.b)), "
+    "deep as (select o, b, count(*) as depth from dom group by o, b), "
+    "fr as (select distinct e.o, d.a, e.b from edge e join dom d on d.o = e.o and d.b = e.a where not exists (select 1 from dom s where s.o = e.o and s.a = d.a and s.b = e.b and s.a <> s.b)), "
+    "def as (select distinct i.o, i.f as v, blk.h as b, i.n as pl from i join blk on blk.o = i.o and blk.n = i.n join reach on reach.o = i.o and reach.b = blk.h), "
+    "phi as (select def.o, def.v, fr.b from def join fr on fr.o = def.o and fr.a = def.b union select phi.o, phi.v, fr.b from phi join fr on fr.o = phi.o and fr.a = phi.b), "
+    "defs as (select o, v, b, pl, v || '_' || pl as name from def union all select o, v, b, -1, v || '_phi_' || b from phi), "
+    "used as (select i.o, i.n, blk.h as b, case when x % 3 = 0 then 'A' when x % 3 = 1 then 'N' else 'R' end as v from i join blk on blk.o = i.o and blk.n = i.n join reach on reach.o = i.o and reach.b = blk.h), "
+    "hit as (select used.o, used.n, used.v, name, row_number() over (partition by used.o, used.n order by depth desc, pl desc) as k from used join defs e on e.o = used.o and e.v = used.v "
+    "join dom on dom.o = used.o and dom.a = e.b and dom.b = used.b join deep on deep.o = e.o and deep.b = e.b where e.b <> used.b or e.pl < used.n) "
+    "select cast(used.o as varchar) as m, used.n as i, used.v, coalesce(hit.name, used.v || '_0') as name from used left join hit on hit.o = used.o and hit.n = used.n and hit.k = 1"
+)
+def reaching_definitions_by_order(spark, d):
+    """Use: each line of an order's flow sets the variable of its flag and reads one that its part names; the definition that it reads."""
+    i = lines(spark, d).withColumn("m", F.col("o").cast("string"))
+    assigns = i.select("m", F.col("n").alias("i"), F.col("f").alias("v"))
+    uses = i.select("m", F.col("n").alias("i"), F.when(F.col("x") % 3 == 0, "A").when(F.col("x") % 3 == 1, "N").otherwise("R").alias("v"))
+    return ssa.renamed(spark, flow_facts(spark, d) | {"assigns": assigns}, uses)["Use"]
