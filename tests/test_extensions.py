@@ -1,7 +1,5 @@
 """Extensions of points-to on small programs, whose results are written out by hand."""
 
-import os
-
 import pytest
 
 from tests.test_clients import rows, run
@@ -14,10 +12,6 @@ from tuplewright.plans.language import parse
 
 MICRO = A.policy("micro")
 
-#: minutes each; written, but not yet seen to run to their end
-unseen = pytest.mark.skipif(not os.environ.get("UNSEEN"), reason="not yet seen to pass")
-
-
 def base(**more):
     out = {n: [] for n in A.NORMAL}
     out["is_class"] = [("java.lang.Object",), ("M",)]
@@ -67,7 +61,6 @@ def flow_program():
     return out
 
 
-@unseen
 @pytest.mark.parametrize("name, leaks", [("micro", {"u1", "u2", "u3"}), ("1-call-site-sensitive+heap", {"u1", "u3"})])
 def test_information_flow_keeps_contexts_apart(spark, name, leaks):
     given = {"source": [("make", "T")], "sink": [("use", 0)], "transfer": [("shift", "argument", "result")]}
@@ -91,7 +84,6 @@ def test_nulls_mocked_results_and_native_callbacks(spark):
     assert ("r", "<mock of B>") in values(vpt) and back == [("back", "lib")] and ("back",) in reachable
 
 
-@unseen
 def test_open_program_and_mobile_components(spark):
     out = base(is_class=[("L",), ("P",), ("Act",)], app_type=[("L",)], method=[("L.run", "run", "(P)", "L"), ("L.hid", "hid", "()", "L"), ("Act.c", "onCreate", "void()", "Act"), ("Act.go", "go", "void(android.view.View)", "Act"), ("Act.no", "other", "void()", "Act")])
     out["modifier"] += [("L.run", "public")]
@@ -103,7 +95,6 @@ def test_open_program_and_mobile_components(spark):
     assert {m for (m,) in reachable} == {"main", "L.run", "Act.c", "Act.go"}
 
 
-@unseen
 def test_recorded_calls_handles_and_proxies(spark):
     out = base(is_class=[("T",), ("H",), ("java.lang.Class",)], is_interface=[("I",)], is_array=[("C[]",)], element=[("C[]", "java.lang.Class")])
     out["method"] += [("T.f", "f", "R(T)", "T"), ("I.g", "g", "()", "I"), ("H.invoke", "invoke", "(P,M,A)", "H"), ("findV", "findVirtual", "(C,S)", "java.lang.invoke.MethodHandles$Lookup")]
