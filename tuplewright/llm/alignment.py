@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from tuplewright.llm.common import by_bytes, documents, join_hot, saved, texts
 from tuplewright.llm.packing import encoder
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 4 << 20
 HOT_PAIRS = 200_000
 MARK = "▁"
 SPACES = "\t-\r \x85\xa0  -     　"  # \s in the patterns of byte-level vocabularies
