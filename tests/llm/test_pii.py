@@ -90,6 +90,80 @@ def test_cards_beside_other_numbers(spark):
     assert (got[1]["card"], got[1]["date"], got[2]["card"], got[2]["ip"]) == (1, 1, 1, 1)
 
 
+def found_by_hand(run, fresh=True):
+    """A run of digit groups with its cards replaced, group by group, and how many there are."""
+    groups, seps = re.split("[ -]", run), [*re.findall("[ -]", run), ""]
+    out, n, i = "", 0, 0
+    while i < len(groups):
+        spans = []
+        for j in range(i + 1, len(groups) + 1):
+            part, between = groups[i:j], set(seps[i : j - 1])
+            digits, shape = "".join(part), [len(g) for g in part]
+            if len(digits) > 19:
+                break
+            one = len(between) == 1
+            common = j == i + 1 or one and (shape == [4, 6, 5] or shape == [4] * 4 or len(shape) == 5 and shape[:4] == [4] * 4 and shape[4] <= 3)
+            if len(digits) >= 13:
+                spans.append((j, digits, common))
+        loose = spans[-1:] if fresh else []
+        order = [[4] * 5, [4] * 4, [4, 6, 5]]
+        rank = lambda s: order.index([4] * 5 if s[0] - i == 5 else [len(g) for g in groups[i : s[0]]]) if s[0] > i + 1 else -1
+        hit = next((s for s in loose + sorted((s for s in spans if s[2]), key=rank) if luhn(s[1])), None)
+        fresh = hit is not None
+        j = hit[0] if hit else i + 1
+        text = "".join(g + s for g, s in zip(groups[i:j], seps[i:j], strict=True))
+        if hit:
+            body = chars(hit[1][:-1], "card")
+            digits = iter(body + next(d for d in "0123456789" if luhn(body + d)))
+            text, n = "".join(next(digits) if c.isdigit() else c for c in text), n + 1
+        out, i = out + text, j
+    return out, n
+
+
+def test_cards_in_runs_of_any_length(spark):
+    import random
+
+    draw = random.Random(5)
+    card = "4111 1111 1111 1111"
+    runs = ["1234 " * k + card for k in (13, 14, 15, 16, 300)] + [f"{'7 ' * 600}{card}{' 8' * 600}", "1" * 70 + " " + card, f"{card} " * 150 + "9"]
+    for _ in range(60):
+        groups = ["".join(draw.choices("0123456789", k=draw.choice([1, 2, 4, 4, 4, 5, 6, 16, 25]))) for _ in range(draw.randrange(14, 90))]
+        for at in draw.sample(range(len(groups)), 3):
+            groups[at] = draw.choice([card, card.replace(" ", "-"), card.replace(" ", ""), "3782 822463 10005"])
+        run = "".join(g + draw.choice("  -") for g in groups)[:-1]
+        if not re.search("|".join(pii.FORMATS[k] for k in ("ssn", "date")), run):
+            runs.append(run)
+    df = spark.createDataFrame([(i, f"no. {r}; end") for i, r in enumerate(runs)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
+    for i, r in enumerate(runs):
+        text, n = found_by_hand(r)
+        assert (got[i].text, got[i].pii.card) == (f"no. {text}; end", n), r
+    assert all("4111 1111 1111 1111" not in got[i].text for i in range(8)) and len(runs) > 50
+
+
+def test_cards_beside_punctuation_and_letters(spark):
+    card = "4111111111111111"
+    body = chars(card[:-1], "card")
+    new = body + next(d for d in "0123456789" if luhn(body + d))
+    in4 = lambda c, s: s.join(c[i : i + 4] for i in range(0, 16, 4))
+    beside = ["card-{}", "no.{}", "{}-", "-{}-", "({})", "{}.", "a.{}, b", "x {}-y", "{} 12ab", "{}-12ab", "{} 123-45-67890", "{} 1-2-", "{}\n{}"]
+    plain = ["x{}", "{}x", "0.{}", "3.{}", "_{}", "{}_1"]
+    given = [(t.format(*[c] * t.count("{}")), t.format(*[n] * t.count("{}"))) for t in beside for c, n in ((card, new), (in4(card, " "), in4(new, " ")), (in4(card, "-"), in4(new, "-")))]
+    given += [(t.format(card),) * 2 for t in plain]
+    df = spark.createDataFrame([(i, g[0]) for i, g in enumerate(given)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, KEY).collect()}
+    assert [got[i] for i in range(len(given))] == [g[1] for g in given]
+
+
+def test_a_very_long_run_takes_time_in_proportion(spark):
+    run = "4111 1111 1111 1111 12 " * 20_000 + "5"
+    df = spark.createDataFrame([(1, run), (2, "7" * 500_000), (3, "7" * 500_000 + "a")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, KEY).collect()}
+    text, n = found_by_hand(run)
+    assert (got[1].text, got[1].pii.card) == (text, n) and n == 20_000
+    assert got[2].text == "7" * 500_000 and got[3].text == "7" * 500_000 + "a"
+
+
 def test_permutations_are_one_to_one(spark):
     df = spark.range(27 * 50).select(pii.permute_number(pii.F.col("id"), pii.F.lit(KEY), "x", 27, 50).alias("n"))
     assert sorted(r.n for r in df.collect()) == list(range(27 * 50))

@@ -55,9 +55,13 @@ FORMATS = {
     "date": r"(?<![\w./-])(?:(?:1[789]|20)[0-9]{2}-[01]?[0-9]-[0-3]?[0-9]|[0-3]?[0-9]/[0-3]?[0-9]/(?:1[789]|20)[0-9]{2}|[0-3]?[0-9]\.[01]?[0-9]\.(?:1[789]|20)[0-9]{2})(?:(?![\w/-])|(?=T[0-9]{2}))",
     "phone": r"(?:(?<![\w+])\+[1-9][0-9]{0,2}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})|(?<!\w)\([0-9]{3}\))(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)",
 }
-#: a run of digit groups, in which cards are looked for; it ends before a value of another kind
+#: a run of digit groups of any length, in which cards are looked for; it ends before a value of another kind and before a
+#: group that is glued to a letter. Punctuation may stand on either side, but a run is no number's fraction.
 _OTHER = "|".join([FORMATS["ip"], FORMATS["ssn"], FORMATS["date"], "[A-Za-z0-9._%+-]{1,64}+@"])
-FORMATS["card"] = rf"(?<![\w.-])[0-9](?:(?:[ -](?!{_OTHER}))?[0-9]){{12,61}}(?![\w-])"
+FORMATS["card"] = rf"(?<!\w)(?<![0-9]\.)[0-9](?:(?:[ -](?!{_OTHER}|[0-9]++\w))?[0-9]){{12,}}+(?!\w)"
+RUN = "^[0-9 -]{13,}+$"
+MOST_DIGITS = 19  # of a card
+BLOCK = 256  # groups of a run that are folded at once
 LOOSE = "^[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
 GROUPED = ["^[0-9]{13,19}(?![0-9])", *(f"^[0-9]{{4}}{s}{rest}(?![0-9])" for s in " -" for rest in (f"[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{1,3}}", f"[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}", f"[0-9]{{6}}{s}[0-9]{{5}}"))]
 PATTERN = "|".join(FORMATS[k] for k in ("email", "ip", "ssn", "date", "card", "phone"))
@@ -140,27 +144,41 @@ def _card(value: Column, key: Column) -> Column:
 
 def _cards(run: Column, key: Column) -> Column:
     """struct(new, n): the run with its n cards replaced. At the start and after a card the longest loose run is tried
-    first; there and at each later group the common groupings, so that a card between other numbers is found."""
+    first; there and at each later group the common groupings, so that a card between other numbers is found.
 
-    def step(s: Column, _: Column) -> Column:
-        start = F.regexp_extract(s["rest"], "^[ -]?", 0)
+    A card is some whole groups, at most MOST_DIGITS, so each group is looked at with as many behind it, wherever it is in
+    the run. Blocks of groups are folded by themselves and what they give is joined, so that the work grows with the run.
+    """
 
-        def at(rest: Column) -> Column:
-            tried = F.array(F.when(s["fresh"], F.regexp_extract(rest, LOOSE, 0)).otherwise(""), *(F.regexp_extract(rest, p, 0) for p in GROUPED))
-            valid = F.filter(tried, lambda c: (c != "") & (luhn_sum(F.regexp_replace(c, "[^0-9]", "")) % 10 == 0))
+    def folded(groups: Column, seps: Column, short: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            here = F.concat(F.get(seps, i), F.get(groups, i))
+            window = F.zip_with(F.slice(seps, i + 1, MOST_DIGITS + 1), F.slice(short, i + 1, MOST_DIGITS + 1), lambda sep, g: F.concat(sep, g))
+            rest = F.regexp_replace(F.array_join(window, ""), "^[ -]", "")
+
+            def at(rest: Column) -> Column:
+                tried = F.array(F.when(s["fresh"], F.regexp_extract(rest, LOOSE, 0)).otherwise(""), *(F.regexp_extract(rest, p, 0) for p in GROUPED))
+                return F.get(F.filter(tried, lambda c: (c != "") & (luhn_sum(F.regexp_replace(c, "[^0-9]", "")) % 10 == 0)), F.lit(0))
 
             def moved(found: Column) -> Column:
-                group = F.regexp_extract(rest, "^[0-9]*", 0)
-                taken = F.when(found.isNull(), group).otherwise(found)
-                new = F.when(found.isNull(), group).otherwise(_card(found, key))
-                return F.struct(F.concat(s["out"], start, new).alias("out"), F.substring(rest, F.length(taken) + 1, F.length(rest)).alias("rest"), found.isNotNull().alias("fresh"), (s["n"] + found.isNotNull().cast("long")).alias("n"))
+                hit = found.isNotNull()
+                new = F.when(hit, F.concat(F.get(seps, i), _card(found, key))).otherwise(here)
+                behind = F.when(hit, i + F.size(F.split(found, "[ -]"))).otherwise(s["next"])
+                return F.struct(F.concat(s["out"], new).alias("out"), behind.alias("next"), hit.alias("fresh"), (s["n"] + hit.cast("long")).alias("n"))
+
+            return F.when(i < s["next"], s).otherwise(_let(_let(rest, at), moved))
 
-            return _let(F.get(valid, F.lit(0)), moved)
+        def block(s: Column, b: Column) -> Column:
+            begin = F.struct(F.lit("").alias("out"), s["next"].alias("next"), s["fresh"].alias("fresh"), s["n"].alias("n"))
+            places = F.sequence(b * BLOCK, F.least((b + 1) * BLOCK, F.size(groups)) - 1)
+            done = F.aggregate(places, begin, step)
+            return _let(done, lambda d: F.struct(F.concat(s["out"], d["out"]).alias("out"), d["next"].alias("next"), d["fresh"].alias("fresh"), d["n"].alias("n")))
 
-        return _let(F.substring(s["rest"], F.length(start) + 1, F.length(s["rest"])), at)
+        begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"), F.lit(True).alias("fresh"), F.lit(0).cast("long").alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(groups) - 1) / BLOCK).cast("int")), begin, block)
 
-    begin = F.struct(F.lit("").alias("out"), run.alias("rest"), F.lit(True).alias("fresh"), F.lit(0).cast("long").alias("n"))
-    done = F.aggregate(F.split(run, "[ -]"), begin, step)  # a group or more each step
+    shortened = lambda groups: F.transform(groups, lambda g: F.substring(g, 1, MOST_DIGITS + 1))
+    done = _let(F.split(run, "[ -]"), lambda g: _let(F.split(run, "[0-9]+"), lambda seps: _let(shortened(g), lambda short: folded(g, seps, short))))
     return _let(done, lambda s: F.struct(F.when(s["n"] > 0, s["out"]).alias("new"), s["n"].alias("n")))
 
 
@@ -217,10 +235,10 @@ def _email(value: Column, key: Column) -> Column:
 
 
 def kind_of(value: Column) -> Column:
-    """The first kind whose whole format the value has."""
+    """The first kind whose whole format the value has; a card's run, whose end depends on what follows it, is told by its characters."""
     out = F
     for kind in ("email", "ip", "ssn", "date", "phone", "card"):
-        test = value.contains("@") if kind == "email" else value.rlike(f"^(?:{FORMATS[kind]})$")
+        test = value.contains("@") if kind == "email" else value.rlike(RUN if kind == "card" else f"^(?:{FORMATS[kind]})$")
         out = out.when(test, F.lit(kind))
     return out
 
