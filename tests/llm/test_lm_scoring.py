@@ -66,7 +66,7 @@ def brute(rows):
         score = 0.0
         for v, w in zip(["<s>", *ws[:-1]], ws, strict=True):
             p = base(w)
-            if uni[w] and ctx[v]:
+            if ctx[v]:
                 p = max(two[v, w] - d, 0) / ctx[v] + d * types[v] / ctx[v] * p
             score += math.log10(p)
         out.append((i, not y, len(ws), sum(uni[w] > 0 for w in ws), total, sum(math.log10(base(w)) for w in ws), score))
@@ -91,6 +91,29 @@ def test_query_against_brute_force(spark, tmp_path):
     check(spark, folder, given, word_shards=5, pair_shards=1, shard_pairs=2**40)
 
 
+def test_probabilities_after_a_context_sum_to_one(spark, tmp_path):
+    """From scores alone: p(w | v) = p(v w end) / p(v | start) / p(end | w), with the ends' shares from texts that open with an unknown word."""
+    rng = random.Random(8)
+    vocabulary, fold = "abcdefgh", lambda i: zlib.crc32(str(i).encode()) % 10
+    learnt = [" ".join(rng.choices(vocabulary, weights=range(1, 9), k=12)) for _ in range(40)]
+    asked = ["q", *(f"q {w}" for w in vocabulary), *(f"{v} {w}" for v in vocabulary for w in [*vocabulary, "q"]), *vocabulary]
+    ids = {True: iter(i for i in range(10**6) if fold(i)), False: iter(i for i in range(10**6) if not fold(i))}
+    given = [(next(ids[y]), t, None, None, 0, 0, "", "", 0) for y, ts in ((True, learnt), (False, asked)) for t in ts]
+    docs = spark.read.parquet(f"{cases.stored(spark, tmp_path, given)}/documents.parquet")
+    text = {g[0]: g[1] for g in given}
+    count = Counter(w for t in learnt for w in t.split())
+    total, kinds = sum(count.values()) + len(learnt), len(count) + 1
+    base = lambda n: (n + 0.1) / (total + 0.1 * (kinds + 1))
+    for sizes in ({"word_shards": 2, "pair_shards": 3}, {"word_shards": 2, "shard_pairs": 30}):
+        p = {text[r.doc_id]: 10**r.score for r in L.score_documents(docs, **sizes).collect() if r.held_out}
+        q = p["q"] / base(len(learnt))  # after the start
+        end = {w: p[f"q {w}"] / q / base(count[w]) for w in vocabulary} | {"q": base(len(learnt))}
+        start = {w: p[w] / end[w] for w in vocabulary}
+        assert abs(sum(start.values()) + q - 1 + base(len(learnt)) * q / base(0)) < 0.02  # the end after the start: by back-off only
+        for v in vocabulary:
+            assert abs(sum(p[f"{v} {w}"] / start[v] / end[w] for w in end) + end[v] - 1) < 0.03
+
+
 def test_hot_contexts_are_dealt_by_pair(spark, tmp_path):
     """With most tokens of a shard at 50, each frequent context spans several shards; the discounts are then a shard's own."""
     rng = random.Random(6)

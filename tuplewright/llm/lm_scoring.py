@@ -5,8 +5,9 @@ The model is a bigram model with absolute discounting over the given unigram bas
     p(w | v) = max(c(v, w) - D, 0) / c(v) + D * T(v) / c(v) * p(w),   p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
 T(v): distinct words after v, D = n1 / (n1 + 2 n2) of the counts of all pairs of the corpus. A text starts in a
-start context and ends with the end token; a word not in training has, and gives as a context, the base alone (the
-base's share for such words is outside of what the back-off spreads). Scores don't depend on blocks or shards.
+start context and ends with the end token. A word not in training has c(v, w) = 0, so the back-off weight's share of the
+base, which keeps a part for such words: after each context the words of training and the unknown one sum to one. As
+a context it gives the base alone. Scores don't depend on blocks or shards.
 
 Method: pairs are kept in tries of two levels. Level one has the contexts, level two each context's
 successors beside one another, as numbers relative to the context's place; both and the pointers between
@@ -301,16 +302,16 @@ def _sum_words(shards: int):
 
 
 class Pairs:
-    """A block's tokens as places in its dictionary, and its distinct pairs of known tokens."""
+    """A block's tokens as places in its dictionary, and its distinct pairs with a known context; all unknown words are one there."""
 
     def __init__(self, block: B.Block, shares: list[tuple[int, bytes]], texts: int) -> None:
         """shares: what _sum_words answered. texts: of training in all."""
         size = len(block.order)
-        number, count = np.zeros(size + 2, np.uint64), np.zeros(size + 2, np.uint64)
+        number, count = np.zeros(size + 3, np.uint64), np.zeros(size + 3, np.uint64)
         got = [_read_numbers(d) for _, d in sorted(shares)]
         if got:
             number[block.order], count[block.order] = (np.concatenate([g[k] for g in got]) for k in (0, 1))
-        number[size:], count[size:] = (END, START), texts
+        number[size:], count[size : size + 2] = (END, START, UNKNOWN), texts
         self.lengths = block.lengths + 1
         self.starts = np.cumsum(self.lengths) - self.lengths
         ends = self.starts + block.lengths
@@ -324,8 +325,11 @@ class Pairs:
         context[1:] = word[:-1]
         context[self.starts] = size + 1
         self.word, self.context, self.number, self.count = word, context, number, count
-        self.known = (count[word] > 0) & (count[context] > 0)
-        code = context[self.known].astype(np.int64) * (size + 2) + word[self.known]
+        self.known = count[context] > 0
+        code = context[self.known].astype(np.int64) * (size + 3)
+        second = word[self.known]
+        code += np.where(count[second] > 0, second, np.int32(size + 2))
+        del second
         order = np.argsort(code)
         code = code[order]
         new = np.append(np.ones(min(1, len(code)), bool), code[1:] != code[:-1])
@@ -333,7 +337,7 @@ class Pairs:
         self.at[order] = np.cumsum(new, dtype=np.int32) - 1
         del order
         code = code[new]
-        self.first, self.second = (code // (size + 2)).astype(np.int32), (code % (size + 2)).astype(np.int32)
+        self.first, self.second = (code // (size + 3)).astype(np.int32), (code % (size + 3)).astype(np.int32)
         learn = np.repeat(_learning(block), self.lengths)[self.known]
         self.times = np.bincount(self.at[learn], minlength=len(code)).astype(np.uint32)
 
