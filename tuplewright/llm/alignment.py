@@ -33,6 +33,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -47,6 +48,8 @@ from tuplewright.llm.packing import encoder
 
 BLOCK_BYTES = 4 << 20
 HOT_PAIRS = 200_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 256
 MARK = "▁"
 SPACES = "\t-\r \x85\xa0  -     　"  # \s in the patterns of byte-level vocabularies
 
@@ -263,12 +266,25 @@ def scored(found: DataFrame) -> DataFrame:
     return out.select("d.doc_id", "d.n_a", "d.n_b", "d.n_groups", "d.n_links", F.col("d.s.best").alias("n_best"), F.col("d.s.n").alias("count_sum"), "d.groups_sha256")
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows for the jobs inside: texts that wait for a block are held once on each side."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, pattern: str | None = None, most: int = BLOCK_BYTES) -> DataFrame:
     """The operator: documents (doc_id, text) to doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     import public_tokenizers as P
 
     rows = tokenised(docs, path_a or P.path("byte_bpe_50k.json"), path_b or P.path("piece_bpe_32k.model"), pattern or P.PATTERN, most)
-    return scored(saved(blocks(rows), "aligned"))
+    with _small_batches(docs.sparkSession):
+        aligned = saved(blocks(rows), "aligned")
+    return scored(aligned)
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
