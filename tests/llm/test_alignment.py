@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers as P
 import sentencepiece
+from pyspark.sql import functions as F
 from tests.llm import cases
 from tokenizers import Tokenizer
 
@@ -104,3 +105,24 @@ def test_whole_table_and_cold_pairs(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert alignment.align(spark.createDataFrame([], cases.SCHEMA)).collect() == []
+
+
+def test_a_block_holds_a_megabyte_of_text(spark):
+    """Aligning holds a block's tokens and groups on the heap, so blocks are small by default and no result depends on them."""
+    rows = [(i, f"{i} " + "some words of a text, " * 2000) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    made = alignment.tokenised(docs, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN)
+    sizes = [r.n for r in made.selectExpr("aggregate(docs, 0L, (n, d) -> n + length(array_join(transform(d.units, i -> ''), ',')) + 1) n").collect()]
+    assert len(sizes) >= 3 and max(sizes) * 4 <= 1 << 20
+
+
+def test_few_blocks_to_a_file(spark, monkeypatch):
+    """A reading task holds the rows of a file at once, up to 4096."""
+    made = []
+    whole = alignment.saved
+    monkeypatch.setattr(alignment, "saved", lambda df, name, *more: made.append((name, whole(df, name, *more))) or made[-1][1])
+    docs = spark.createDataFrame([(i, f"a text of its own {i}") for i in range(40)], "doc_id long, text string").repartition(1)
+    assert alignment.align(docs, most=40).count() == 40
+    aligned = dict(made)["aligned"]
+    most = aligned.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert aligned.count() > 8 and most <= 4

@@ -17,7 +17,7 @@ each block of about ``BLOCK_BYTES`` of text, and a text is the list of its units
 libraries on whole texts.
 
 How it is distributed. A map task's texts become rows of blocks: units and, for each document, their numbers. Aligned
-blocks are saved. How many documents have a pair is counted by partial aggregate over each document's distinct pairs.
+blocks are saved, ``FILE_BLOCKS`` to a file, as many as a task that reads them holds at once. How many documents have a pair is counted by partial aggregate over each document's distinct pairs.
 The counts return to the distinct units of a block: those of frequent pairs (more than a ``HOT_PAIRS``-th of all, so
 fewer than ``HOT_PAIRS``) by broadcast, the others by shuffle, and sums of units to their block. The best count of each
 id of A is broadcast: as many rows as A has ids. No text, token or link of a document is shuffled. A document longer than
@@ -46,7 +46,8 @@ from pyspark.sql import functions as F
 from tuplewright.llm.common import by_bytes, documents, join_hot, saved, texts
 from tuplewright.llm.packing import encoder
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
+FILE_BLOCKS = 4
 HOT_PAIRS = 200_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 256
@@ -283,7 +284,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
 
     rows = tokenised(docs, path_a or P.path("byte_bpe_50k.json"), path_b or P.path("piece_bpe_32k.model"), pattern or P.PATTERN, most)
     with _small_batches(docs.sparkSession):
-        aligned = saved(blocks(rows), "aligned")
+        aligned = saved(blocks(rows), "aligned", FILE_BLOCKS)
     return scored(aligned)
 
 

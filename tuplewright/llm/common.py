@@ -34,12 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, rows_a_file: int = 0) -> DataFrame:
     """df, written once as Parquet to the shared folder and read again: lineage ends here, and a lost
-    executor costs no recomputation of what lies before."""
+    executor costs no recomputation of what lies before. rows_a_file: at most so many rows in a file (0: any
+    number), for wide rows, as a task that reads holds up to 4096 rows of a file at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
