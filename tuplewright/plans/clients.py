@@ -89,7 +89,7 @@ SERVER = """
 .decl Shadowed(f: symbol, by: symbol)
 Shown(v, "<<XL-pt-set>>") :- value_of(v, _), limit(k), n = count : { value_of(v, _) }, n > k.
 Shown(v, o) :- value_of(v, o), limit(k), n = count : { value_of(v, _) }, n <= k.
-Shadowed(g, f) :- field(f, name, t), field(g, name, s), above(t, s).
+Shadowed(g, f) :- field(f, name, t), above(t, s), field(g, name, s).
 """
 
 #: many allocations of a type in a method, or of string buffers anywhere, share a representative
