@@ -267,7 +267,8 @@ Loop(h, a) :- latch(h, s), avoiding(h, a, s).
 Induction(v, h, n) :- adds(v, b, n), Loop(h, b), k = count : { assigns(v, c), Loop(h, c) }, k = 1.
 """
 
-#: candidates for an injection point: by qualifier, else the only one, else the primary one, else by name
+#: candidates for an injection point: by qualifier, else the only one, else the primary one, else by name. What is asked of a
+#: point's candidates is told from their types, so that Injected needs no product of points and beans
 INJECTION = """
 .decl point(p: symbol, t: symbol, name: symbol)
 .decl bean(b: symbol, t: symbol, name: symbol)
@@ -279,12 +280,35 @@ INJECTION = """
 .decl only(p: symbol, b: symbol)
 .decl by_primary(p: symbol, b: symbol)
 .decl Injected(p: symbol, b: symbol)
+.decl offer(t: symbol, b: symbol)
+.decl named(b: symbol, t: symbol, name: symbol)
+.decl sole(t: symbol, b: symbol)
+.decl crowded(t: symbol)
+.decl several(p: symbol)
+.decl main(t: symbol, b: symbol)
+.decl has_main(t: symbol)
+.decl open(p: symbol)
+.decl settled(p: symbol)
+.decl unsettled(p: symbol)
 candidate(p, b) :- point(p, t, _), subtype(s, t), bean(b, s, _).
-by_qualifier(p, b) :- candidate(p, b), qualifier(p, q), bean(b, _, q).
-only(p, b) :- candidate(p, b), !qualifier(p, _), n = count : { candidate(p, _) }, n = 1.
-by_primary(p, b) :- candidate(p, b), !qualifier(p, _), !only(p, _), primary(b).
-Injected(p, b) :- by_qualifier(p, b); only(p, b); by_primary(p, b).
-Injected(p, b) :- candidate(p, b), !qualifier(p, _), !only(p, _), !by_primary(p, _), point(p, _, name), bean(b, _, name).
+offer(t, b) :- subtype(s, t), bean(b, s, _).
+named(b, s, q) :- bean(b, s, _), bean(b, _, q).
+sole(t, b) :- offer(t, b), n = count : { offer(t, _) }, n = 1.
+crowded(t) :- offer(t, _), n = count : { offer(t, _) }, n > 1.
+several(p) :- point(p, t, _), crowded(t).
+several(p) :- point(p, t, _), sole(t, b), point(p, u, _), sole(u, c), b != c.
+main(t, b) :- offer(t, b), primary(b).
+has_main(t) :- main(t, _).
+only(p, b) :- point(p, t, _), sole(t, b), !qualifier(p, _), !several(p).
+open(p) :- point(p, _, _), !qualifier(p, _), !only(p, _).
+by_qualifier(p, b) :- qualifier(p, q), point(p, t, _), subtype(s, t), named(b, s, q).
+by_primary(p, b) :- open(p), point(p, t, _), main(t, b).
+unsettled(p) :- open(p), !settled(p).
+settled(p) :- open(p), point(p, t, _), has_main(t).
+Injected(p, b) :- qualifier(p, q), point(p, t, _), subtype(s, t), named(b, s, q).
+Injected(p, b) :- only(p, b).
+Injected(p, b) :- open(p), point(p, t, _), main(t, b).
+Injected(p, b) :- unsettled(p), point(p, t, _), point(p, _, name), subtype(s, t), named(b, s, name).
 """
 
 
