@@ -31,6 +31,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: keys that an item of a pair brings along, and items of a group that a task pairs with the others
+MOST_KEYS, SHARE = 64, 2000
+
+
+def pairs(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """The distinct pairs a < b of items that have equal keys in some rows.
+
+    A pair is made once, at the least of the keys that both have, so pairs are neither moved nor compared with one another. Items
+    of more than MOST_KEYS keys don't bring them along: their pairs are made distinct. A large group is paired in shares.
+    """
+    given = rows.dropna(subset=[*keys, item]).select(F.struct(*keys).alias("k"), F.col(item).alias("x"))
+    own = given.groupBy("x").agg(F.sort_array(F.collect_set("k")).alias("of"))
+    own = own.select("x", F.explode("of").alias("k"), F.when(F.size("of") <= MOST_KEYS, F.col("of")).alias("of"))
+    shares = own.groupBy("k").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
+    own = own.join(shares, "k")
+    left = own.select("k", F.pmod(F.xxhash64("x"), "shares").alias("share"), F.col("x").alias("a"), F.col("of").alias("of_a"))
+    right = own.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("x").alias("b"), F.col("of").alias("of_b"))
+    first = (F.size("of_a") == 1) | (F.size("of_b") == 1) | (F.array_min(F.array_intersect("of_a", "of_b")) == F.col("k"))
+    light = left.where("of_a is not null").join(right.where("of_b is not null"), ["k", "share"]).where(F.col("a") < F.col("b")).where(first).select("a", "b")
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    heavy = left.where("of_a is null").join(right, ["k", "share"]).where("a <> b").select(*ordered).distinct()
+    return light.unionByName(heavy)
+
+
 # -- projections and filters
 
 
@@ -74,9 +98,7 @@ def column_permutation(spark, d):
 
 @query("select distinct a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey")
 def theta_neq_pair(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
-    a, b = s.select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("k")), s.select(F.col("s_suppkey").alias("b"), F.col("s_nationkey").alias("k"))
-    return a.join(b, "k").where("a < b").select("a", "b").distinct()
+    return pairs(table(spark, d, "supplier"), ["s_nationkey"], "s_suppkey")
 
 
 @query("select distinct concat('<', p_brand, ': ', p_type, '>') as id, length(p_brand) as len from part")
