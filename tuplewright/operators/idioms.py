@@ -135,8 +135,7 @@ def join4_chain(spark, d):
 
 @query("select distinct a.o_custkey as a, b.o_custkey as b from orders a join orders b on a.o_orderdate = b.o_orderdate and a.o_orderpriority = b.o_orderpriority and a.o_custkey < b.o_custkey where a.o_orderstatus = 'P' and b.o_orderstatus = 'P'")
 def self_join_pairs(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderdate", "o_orderpriority", F.col("o_custkey").alias("a"))
-    return o.join(o.withColumnRenamed("a", "b"), ["o_orderdate", "o_orderpriority"]).where("a < b").select("a", "b").distinct()
+    return pairs(table(spark, d, "orders").where("o_orderstatus = 'P'"), ["o_orderdate", "o_orderpriority"], "o_custkey")
 
 
 @query("select c_custkey as cust from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
