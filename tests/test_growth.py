@@ -3,7 +3,7 @@
 import random
 
 from tests.test_clients import run
-from tuplewright.operators import idioms
+from tuplewright.operators import idioms, recursive
 from tuplewright.plans import clients as C
 from tuplewright.plans.engine import Engine
 
@@ -54,3 +54,33 @@ def test_injection_without_candidates(spark):
     engine = Engine(spark, C.INJECTION, {n: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in "abc"[: len(rows[0])])) for n, rows in given.items()})
     engine.run("Injected")
     assert "candidate" not in engine.stored
+
+
+def test_a_forest_finds_each_path_once(spark, monkeypatch):
+    """All rounds of a chain of twelve write each path once; other graphs go by rounds that compare."""
+    rounds = []
+    whole = recursive.saved
+    monkeypatch.setattr(recursive, "saved", lambda df: rounds.append(whole(df)) or rounds[-1])
+    made = recursive.closure(spark.createDataFrame([(i, i - 1, 1) for i in range(1, 13)] + [(9, 8, 1), (40, 1, 1), (None, 1, 1)], "a long, b long, n long"))
+    down = {(a, b, a - b) for a in range(1, 13) for b in range(a)} | {(40, 1, 1), (40, 0, 2)}
+    assert sorted(map(tuple, made.collect())) == sorted(down)
+    assert not any("anti" in df._jdf.queryExecution().toString().lower() for df in rounds) and len(rounds) == 1 + 5 + 4
+    cycle = recursive.closure(spark.createDataFrame([(1, 2), (2, 1), (3, 1), (3, 2)], "a long, b long"))
+    assert sorted(map(tuple, cycle.collect())) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 1), (3, 2)]
+    split = recursive.closure(spark.createDataFrame([(4, 2), (4, 3), (3, 1), (2, 1)], "a long, b long"))
+    assert sorted(map(tuple, split.collect())) == [(2, 1), (3, 1), (4, 1), (4, 2), (4, 3)]
+
+
+def test_values_climb_by_levels(spark, tmp_path):
+    """A missing part, a key of nought and values of parts that aren't there; each value of a part is made once."""
+    spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 5, 6, 9, 12, 13, 26)] + [(6,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    given = [(26, 1), (26, 1), (12, 1), (12, 2), (9, 3), (4, 4), (100, 5), (0, 6), (1, 1), (5, 7), (-3, 8), (None, 9)]
+    spark.createDataFrame(given, "l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    there, want = {0, 1, 2, 3, 5, 6, 9, 12, 13, 26}, set()
+    for v, h in given:
+        want.add((v, h))
+        while v in there and v > 0:
+            v //= 2
+            want.add((v, h))
+    got = [tuple(r) for r in recursive.climbing_values(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and set(got) == want

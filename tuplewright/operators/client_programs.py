@@ -164,8 +164,8 @@ def products_of_orders(spark, d):
 def stand_ins_of_parts(spark, d):
     """Stand: parts of size above 45 are asked for; those of odd size are abstract and get the least part below them that isn't."""
     p = parts(spark, d)
-    above = p.where("up is not null").select(F.col("up").alias("a"), F.col("k").alias("b"))
-    below = closure(above).select(named("T", "b").alias("t"), named("T", "a").alias("s")).unionByName(p.select(named("T", "k").alias("t"), named("T", "k").alias("s")))
+    above = p.where("up is not null").select(F.col("k").alias("a"), F.col("up").alias("b"))
+    below = closure(above).select(named("T", "a").alias("t"), named("T", "b").alias("s")).unionByName(p.select(named("T", "k").alias("t"), named("T", "k").alias("s")))
     facts = {
         "wanted": p.where("size > 45").select(named("T", "k").alias("t")),
         "concrete_type": p.where("size % 2 = 0").select(named("T", "k").alias("t")),

@@ -1,7 +1,7 @@
 """Recursion over whole tables of the driver, by doubling and by the engine's rules.
 
 ``closure`` doubles paths: logarithmically many rounds in the longest path, of which each joins only what the
-last one found, written to the shared folder. The rule programs are semi-naive fixpoints of the engine.
+last one found, written to the shared folder; in a forest each path is made once. The rule programs are semi-naive fixpoints of the engine.
 The analyses' own programs are registered in programs.py.
 """
 
@@ -37,19 +37,43 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: paths that a task joins in a forest's closure
+TASK_PATHS = 500_000
+
+
+def joined(left: DataFrame, right: DataFrame, sums: list[str]) -> DataFrame:
+    """Paths of left that go on in right."""
+    l, r = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)) for side, df in (("l", left), ("r", right)))
+    both = l.join(r, F.col("l_b") == F.col("r_a"))
+    return both.select(F.col("l_a").alias("a"), F.col("r_b").alias("b"), *((F.col(f"l_{c}") + F.col(f"r_{c}")).alias(c) for c in sums))
+
+
+def forest_paths(edges: DataFrame, n: int, sums: list[str]) -> DataFrame:
+    """The closure of n edges of which no two start at one node and none goes up: a pair has one path, so nothing is compared with what was found.
+
+    Paths of up to 2**k edges follow on those of exactly 2**k. Tasks, and not what a task holds, grow with the paths.
+    """
+    jump = paths = edges
+    while True:
+        tasks = -(-n // TASK_PATHS)
+        found = saved(joined(jump.repartition(tasks, "b"), paths.repartition(tasks, "a"), sums))
+        if found.isEmpty():
+            return paths
+        jump = saved(joined(jump.repartition(tasks, "b"), jump.repartition(tasks, "a"), sums))
+        paths = paths.unionByName(found)
+        n *= 2
+
+
 def closure(edges: DataFrame) -> DataFrame:
     """The transitive closure of edges (a, b), further columns added up along a path: each round joins what the last found with all."""
     sums = [c for c in edges.columns if c not in ("a", "b")]
-    delta = saved(edges.distinct())
+    delta = saved(edges.dropna(subset=["a", "b"]).distinct())
     paths = delta
-
-    def step(left: DataFrame, right: DataFrame) -> DataFrame:
-        l, r = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)) for side, df in (("l", left), ("r", right)))
-        both = l.join(r, F.col("l_b") == F.col("r_a"))
-        return both.select(F.col("l_a").alias("a"), F.col("r_b").alias("b"), *((F.col(f"l_{c}") + F.col(f"r_{c}")).alias(c) for c in sums))
-
+    n, nodes, up = delta.agg(F.count("*"), F.count_distinct("a"), F.count_if(F.col("a") <= F.col("b"))).first()
+    if n == nodes and not up:
+        return forest_paths(delta, n, sums) if n else delta
     while True:
-        delta = saved(step(delta, paths).unionByName(step(paths, delta)).distinct().join(paths, paths.columns, "left_anti"))
+        delta = saved(joined(delta, paths, sums).unionByName(joined(paths, delta, sums)).distinct().join(paths, paths.columns, "left_anti"))
         if delta.isEmpty():
             return paths
         paths = paths.unionByName(delta)
