@@ -170,10 +170,20 @@ def forest_closure(spark, d):
     "vpt as (select v, h from alloc union select sub.p, vpt.h from vpt join sub on vpt.v = sub.c) select v, h from vpt"
 )
 def climbing_values(spark, d):
-    """Each part is assigned to its parent in the forest; suppliers are the objects: values climb by the closure of assignments."""
-    alloc = table(spark, d, "lineitem").select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("h")).distinct()
-    up = closure(edges(spark, d))
-    return alloc.unionByName(alloc.join(up, alloc.v == up.a).select(F.col("b").alias("v"), "h")).distinct()
+    """Each part is assigned to its parent in the forest; suppliers are the objects. A parent's key has one binary digit less, so values climb by levels, each once."""
+    level = lambda v: F.when(F.col(v) > 0, F.length(F.bin(v))).otherwise(0).alias("level")
+    alloc = table(spark, d, "lineitem").select(F.col("l_partkey").alias("v"), F.col("l_suppkey").alias("h")).distinct().select("v", "h", level("v"))
+    path = f"{shared_dir(spark)}/rounds/{uuid.uuid4().hex}"
+    alloc.write.partitionBy("level").parquet(path)
+    alloc = spark.read.schema(alloc.schema).parquet(path)
+    up = forest(spark, d).distinct().select("c", "p", level("c"))
+    out = climbed = alloc.select("v", "h").limit(0)
+    for at in range(alloc.agg(F.max("level")).first()[0] or 0, -1, -1):
+        here = alloc.where(F.col("level") == at).select("v", "h").unionByName(climbed).repartition("v").distinct()
+        here = saved(here.join(up.where(F.col("level") == at), F.col("v") == F.col("c"), "left").select("v", "h", "p"))
+        climbed = here.where("p is not null").select(F.col("p").alias("v"), "h")
+        out = out.unionByName(here.select("v", "h"))
+    return out
 
 
 @query(
