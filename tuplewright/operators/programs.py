@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tuplewright.operators.idioms import table
+from tuplewright.operators.recursive import saved
 from tuplewright.plans import analyses as A
 from tuplewright.plans import clients as C
 from tuplewright.plans import extensions as X
@@ -102,7 +103,7 @@ def folded_order_sums(spark, d):
 
 
 def flow_facts(spark, d) -> dict[str, DataFrame]:
-    i = lines(spark, d).withColumn("m", F.col("o").cast("string"))
+    i = saved(lines(spark, d)).withColumn("m", F.col("o").cast("string"))  # each relation reads them
     back = i.where("f = 'A' and n > 2").select("m", F.col("n").alias("i"), F.lit(1).cast("long").alias("to"))
     return {
         "instruction": i.select("m", F.col("n").alias("i")),

@@ -549,4 +549,4 @@ call_target(i, m) :- Reachable(k), (direct_call(i, _, k, m); static_call(i, k, m
 def run(spark: SparkSession, rules: str, facts: dict[str, DataFrame], *wanted: str) -> Result:
     """Other programs of this module (TAINT, DATA_FLOW need HIERARCHY and LOOKUP; the rest stand alone)."""
     base = DECLS + HIERARCHY + LOOKUP if rules in (TAINT, DATA_FLOW) else ""
-    return Engine(spark, base + rules, facts).run(*wanted)
+    return Engine(spark, base + rules, facts, keyed=rules == CONTROL_FLOW).run(*wanted)

@@ -13,15 +13,21 @@
   records and ``nil`` join, differ and repeat like any value. ``choice-domain`` keeps for each key the least tuple of the
   first round that has any.
 * Only what the requested relations need is evaluated.
+* A program in which each rule speaks of one key, the first column of all its relations, can be run ``keyed``: facts are dealt
+  by the key once, relations are bucketed tables, and joins, distinct rows and aggregates stay where their key is. That is for
+  keys of many small groups, such as methods: a key's tuples are one task's.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import reduce
 from threading import RLock as Lock
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -35,6 +41,28 @@ COMPACT_AFTER = 8
 PARALLEL = 6
 #: a stratum's rules that are planned, and relations that are written, side by side
 WORKERS = 8
+#: bytes of a keyed program's facts, as the plan tells, for a bucket
+BUCKET_BYTES = 1 << 19
+#: while a keyed program runs: a join goes by its key alone, and no filter of nulls (there are none) hides that from a union
+BY_KEY = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.constraintPropagation.enabled": "false",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings for the jobs inside."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,10 +78,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Stored:
-    """A relation's tuples as files in the shared folder, added to round by round."""
+    """A relation's tuples as files in the shared folder, added to round by round. buckets: by the first column, if any."""
 
-    def __init__(self, spark: SparkSession, name: str, schema: T.StructType) -> None:
-        self.spark, self.schema = spark, schema
+    def __init__(self, spark: SparkSession, name: str, schema: T.StructType, buckets: int = 0) -> None:
+        self.spark, self.schema, self.buckets = spark, schema, buckets
         self.base = f"{shared_dir(spark)}/relations/{name.replace('.', '_')}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
         self.read: DataFrame | None = None
@@ -62,15 +90,34 @@ class Stored:
         """The rows as written, not yet part of the relation, their count (by the job that writes them), and their place."""
         path = f"{self.base}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        return self.spark.read.schema(self.schema).parquet(path), seen.get["n"], path
+        return self._put(df, path, seen), seen.get["n"], path
+
+    def _put(self, df: DataFrame, path: str, seen: Observation | None = None) -> DataFrame:
+        df = df.repartition(self.buckets, df.columns[0]) if self.buckets else df  # none if the rows are dealt so
+        df = df.observe(seen, F.count(F.lit(1)).alias("n")) if seen else df
+        if self.buckets:
+            df.write.format("parquet").option("path", path).bucketBy(self.buckets, df.columns[0]).saveAsTable(self._table(path))
+        else:
+            df.write.parquet(path)
+        return self._get([path])
+
+    @staticmethod
+    def _table(path: str) -> str:
+        return re.sub(r"\W", "_", "_".join(path.split("/")[-2:]))
+
+    def _get(self, paths: list[str]) -> DataFrame:
+        if self.buckets:
+            # the filter passes all: a union of scans alone would be one of column batches, which loses the buckets that it claims to keep
+            tables = (self.spark.table(self._table(p)) for p in paths)
+            return reduce(DataFrame.unionByName, (t.where(F.col(f"`{t.columns[0]}`").cast("string") >= "") for t in tables))
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     def add(self, path: str) -> None:
         self.read = None
         self.paths.append(path)
         if len(self.paths) > COMPACT_AFTER:
             path = f"{self.base}/all-{uuid.uuid4().hex[:8]}"
-            self.all().write.parquet(path)
+            self._put(self.all(), path)
             self.paths, self.read = [path], None
 
     def take(self, rows: DataFrame) -> None:
@@ -80,7 +127,7 @@ class Stored:
 
     def all(self) -> DataFrame:
         if self.read is None:
-            self.read = self.spark.read.schema(self.schema).parquet(*self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
+            self.read = self._get(self.paths) if self.paths else self.spark.createDataFrame([], self.schema)
         return self.read
 
 
@@ -617,7 +664,11 @@ class Compiler:
         blank = {v for b in x.body if isinstance(b, Atom) and b.negated for v in variables(b) if v.startswith("_")}
         inner = set().union(*map(all_variables, x.body)) - blank | (all_variables(x.value) if x.value is not None else set())
         tables = [self.relation(b.relation) if isinstance(b, Atom) else None for b in x.body]
-        rows = self.body(x.body, tables, inner, seed=seed, types=types).distinct()
+        names = [a.name for a in x.body[0].args if isinstance(a, Var)] if len(x.body) == 1 and isinstance(x.body[0], Atom) and not x.body[0].negated else []
+        if names and len(set(names)) == len(x.body[0].args) and set(outer) <= set(names):
+            rows = self.body(x.body, tables, inner, types=types)  # a whole relation's tuples, which are distinct
+        else:
+            rows = self.body(x.body, tables, inner, seed=seed, types=types).distinct()
         value = self.term(x.value, {v: F.col(f"`{v}`") for v in rows.columns}) if x.value is not None else F.lit(1)
         make = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "mean": F.mean}[x.kind]
         sums = rows.groupBy(*outer).agg(make(value).alias(name))
@@ -638,9 +689,11 @@ class Compiler:
 class Engine(Compiler):
     """Evaluates a program over given facts."""
 
-    def __init__(self, spark: SparkSession, program: Program | str, facts: dict[str, DataFrame] | None = None, defined: set[str] | None = None, most_rounds: int = 10_000) -> None:
+    def __init__(self, spark: SparkSession, program: Program | str, facts: dict[str, DataFrame] | None = None, defined: set[str] | None = None, most_rounds: int = 10_000, keyed: bool = False) -> None:
         super().__init__(spark, parse(program, defined) if isinstance(program, str) else program)
         self.facts = facts or {}
+        self.keyed = keyed
+        self.buckets = self._buckets() if keyed else 0
         self.most_rounds = most_rounds
         typed = WithOrdinals(self.program, self.types_of)
         self.open_symbols, self.ordinals, self.ordering = typed.open, None, Lock()
@@ -648,7 +701,7 @@ class Engine(Compiler):
         self.rounds: list[Round] = []
         derived = {h.relation for r in self.program.rules for h in r.heads}
         #: relations that are facts alone are read where they are
-        self.plain = {n: self.given(n).distinct() for n in self.program.relations if n in self.facts and n not in derived and self.program.relations[n].columns}
+        self.plain = {n: self._facts(n) for n in self.program.relations if n in self.facts and n not in derived and self.program.relations[n].columns}
         #: of those, the ones known to have no tuples
         self.bare = {n for n in self.plain if self._rowless(self.facts[n])}
         #: and the ones that are written without repeated rows, for rounds to read
@@ -665,11 +718,38 @@ class Engine(Compiler):
         most = df._jdf.queryExecution().optimizedPlan().maxRows()
         return most.isDefined() and most.get() == 0
 
+    def _buckets(self) -> int:
+        """How many buckets a keyed program's relations have: by the size of the facts."""
+        for rule in self.program.rules:
+            atoms = list(rule.heads)
+            work = list(rule.body)
+            while work:
+                x = work.pop()
+                if isinstance(x, Atom):
+                    atoms.append(x)
+                elif isinstance(x, Aggregate):
+                    work += x.body
+                elif isinstance(x, Compare):
+                    work += [x.left, x.right]
+            keys = {x.args[0] if x.args else None for x in atoms}
+            if len(keys) > 1 or not all(isinstance(k, Var) for k in keys) or not any(isinstance(x, Atom) and not x.negated for x in rule.body):
+                raise RuleError(f"a rule for {rule.heads[0].relation} has no one key")
+        sizes = [df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() for df in self.facts.values()]
+        most = max(200, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return int(min(max(1, max(sizes, default=0) // BUCKET_BYTES), most))
+
+    def by_key(self):
+        """The session's settings while a keyed program runs."""
+        return settings(self.spark, BY_KEY if self.keyed else {})
+
+    def _store(self, name: str, schema: T.StructType) -> Stored:
+        return Stored(self.spark, name, schema, self.buckets if self.program.relations[name].columns else 0)
+
     def _settle(self, names: set[str]) -> None:
         """Writes facts that rounds will read again and again: else each round would compute and compare them anew."""
         names = sorted(names & set(self.plain) - self.bare - self.settled)
         with ThreadPoolExecutor(max_workers=WORKERS) as pool:
-            made = dict(zip(names, pool.map(lambda n: Stored(self.spark, n, self.schema(self.program.relations[n])).write(self.plain[n]), names), strict=True))
+            made = dict(zip(names, pool.map(lambda n: self._store(n, self.schema(self.program.relations[n])).write(self.plain[n]), names), strict=True))
         for name, (df, count, _) in made.items():
             self.plain[name] = df
             self.settled.add(name)
@@ -720,6 +800,11 @@ class Engine(Compiler):
             raise RuleError(f"{name} has {len(schema)} columns, its facts have {len(df.columns)}")
         return df.select(*(F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(df.columns, schema.fields, strict=True)))
 
+    def _facts(self, name: str) -> DataFrame:
+        """A relation's distinct facts."""
+        df = self.given(name)
+        return (df.repartition(self.buckets, df.columns[0]) if self.keyed and df.columns else df).distinct()
+
     def _rule(self, rule: Rule, group: set[str], delta: dict[str, DataFrame] | None, first: int | None) -> DataFrame:
         tables = []
         for i, x in enumerate(rule.body):
@@ -774,7 +859,7 @@ class Engine(Compiler):
         for name in group:
             if name not in self.stored:
                 schema = self.schema(self.program.relations[name]) if self.program.relations[name].columns else T.StructType([T.StructField("_one", T.IntegerType())])
-                self.stored[name] = Stored(self.spark, name, schema)
+                self.stored[name] = self._store(name, schema)
         parts: dict[str, list[DataFrame]] = {r: [] for r in group}
 
         def fire(rule: Rule, deltas: dict[str, DataFrame] | None, first: int | None) -> list[tuple[str, DataFrame]]:
@@ -785,7 +870,7 @@ class Engine(Compiler):
         if delta is None:
             for name in group:
                 if name in self.facts and not self._rowless(self.facts[name]):
-                    parts[name].append(self.given(name).distinct())
+                    parts[name].append(self._facts(name))
             firings = [(rule, None, None) for rule, inner in zip(rules, recursive, strict=True) if not inner]
         else:
             firings = [(rule, dict(delta), i) for rule in rules for i, x in enumerate(rule.body) if isinstance(x, Atom) and not x.negated and x.relation in delta]
@@ -820,11 +905,15 @@ class Engine(Compiler):
 
     def run(self, *wanted: str) -> Result:
         """Evaluates what the wanted relations need (by default the outputs, or else everything)."""
+        with self.by_key():
+            return self._run(*wanted)
+
+    def _run(self, *wanted: str) -> Result:
         wanted = wanted or tuple(self.program.outputs) or tuple(r for r in self.program.relations if r != ORDINALS)
         groups = [g for g in strata(self.program, wanted) if not all(r in self.stored or r in self.plain for r in g)]
         needs = {r: {u for q in self.program.rules for h in q.heads if h.relation == r for x in q.body for u, _ in used(x)} for g in groups for r in g}
         done: dict[str, Future] = {}
-        self._settle({u for g in groups for r in g if needs[r] & set(g) for q in g for u in needs[q]})
+        self._settle({u for g in groups for r in g if self.keyed or needs[r] & set(g) for q in g for u in needs[q]})
 
         def evaluate_after(group: list[str], before: list[Future]) -> None:
             for f in before:
@@ -849,6 +938,10 @@ class Engine(Compiler):
 
     def insert(self, name: str, rows: DataFrame) -> dict[str, int]:
         """Adds facts after a run and derives what follows. Relations that negate or aggregate anything that changed are evaluated anew."""
+        with self.by_key():
+            return self._insert(name, rows)
+
+    def _insert(self, name: str, rows: DataFrame) -> dict[str, int]:
         schema = self.schema(self.program.relations[name])
         rows = rows.select(*(F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, schema.fields, strict=True)))
         self.facts[name] = self.facts[name].unionByName(rows.toDF(*self.facts[name].columns)) if name in self.facts else rows
@@ -890,7 +983,7 @@ class Engine(Compiler):
         """The distinct rows that are in among and not in less, written; None if there are none."""
         rows = rows.distinct().join(among, among.columns, "left_semi")
         rows = rows if less is None else rows.join(less, less.columns, "left_anti")
-        df, n, _ = Stored(self.spark, f"{name}-gone", among.schema).write(rows)
+        df, n, _ = Stored(self.spark, f"{name}-gone", among.schema, self.buckets if self.program.relations[name].columns else 0).write(rows)
         return df if n else None
 
     def _suspects(self, group: list[str], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -926,6 +1019,10 @@ class Engine(Compiler):
         semi-naive rounds from the suspects alone. Strata that negate or aggregate a relation with suspects, those with
         choices, and what depends on them are evaluated anew.
         """
+        with self.by_key():
+            return self._delete(name, rows)
+
+    def _delete(self, name: str, rows: DataFrame) -> dict[str, int]:
         schema = self.schema(self.program.relations[name])
         rows = rows.select(*(F.col(f"`{c}`").cast(f.dataType).alias(f.name) for c, f in zip(rows.columns, schema.fields, strict=True)))
         if name not in self.facts:
@@ -944,7 +1041,7 @@ class Engine(Compiler):
             elif any(r in gone for r, _ in uses) or any(r in gone for r in group):
                 gone |= self._suspects(group, gone)
         left = self.given(name).join(rows, rows.columns, "left_anti")
-        self.facts[name] = Stored(self.spark, f"{name}-left", schema).write(left)[0]
+        self.facts[name] = Stored(self.spark, f"{name}-left", schema, self.buckets).write(left)[0]
         if name in self.plain:
             self.plain[name] = self.facts[name].distinct()
             self.settled.discard(name)
