@@ -143,7 +143,7 @@ def dominators_by_order(spark, d):
 def phi_placement_by_order(spark, d):
     """Phi: each line of an order's flow sets the variable of its flag; where definitions meet."""
     assigns = lines(spark, d).select(F.col("o").cast("string").alias("m"), F.col("n").alias("i"), F.col("f").alias("v"))
-    return Engine(spark, X.SSA, flow_facts(spark, d) | {"assigns": assigns}).run("Phi")["Phi"]
+    return Engine(spark, X.SSA, flow_facts(spark, d) | {"assigns": assigns}, keyed=True).run("Phi")["Phi"]
 
 
 @query(
