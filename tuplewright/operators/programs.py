@@ -451,7 +451,7 @@ def closure_after_deletions(spark, d):
     of = lines(spark, d)
     after = of.select("o", (F.col("n") - 1).alias("n"), F.col("n").alias("y"), F.col("f").alias("g"))
     ways = of.select("o", "n").join(after, ["o", "n"])
-    engine = Engine(spark, rules, {"way": ways.select("o", "n", "y")})
+    engine = Engine(spark, rules, {"way": ways.select("o", "n", "y")}, keyed=True)
     engine.run("Path")
     engine.delete("way", ways.where("g = 'R'").select("o", "n", "y"))
     return engine.relation("Path")
