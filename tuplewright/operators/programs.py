@@ -474,4 +474,4 @@ def reaching_definitions_by_order(spark, d):
     i = lines(spark, d).withColumn("m", F.col("o").cast("string"))
     assigns = i.select("m", F.col("n").alias("i"), F.col("f").alias("v"))
     uses = i.select("m", F.col("n").alias("i"), F.when(F.col("x") % 3 == 0, "A").when(F.col("x") % 3 == 1, "N").otherwise("R").alias("v"))
-    return ssa.renamed(spark, flow_facts(spark, d) | {"assigns": assigns}, uses)["Use"]
+    return ssa.renamed(spark, flow_facts(spark, d) | {"assigns": assigns}, uses, ("Use",))["Use"]

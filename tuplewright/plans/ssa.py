@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tuplewright.plans import extensions as X
-from tuplewright.plans.engine import Engine
+from tuplewright.plans.engine import Engine, Stored
 
 #: where a phi stands in its block, and a use by a phi behind its predecessor
 FIRST, LAST = -1, 2**62
@@ -50,12 +50,14 @@ def name(v: str = "v"):
     return F.concat(F.col(v), F.when(at.isNull(), F.lit("_0")).when(at == FIRST, F.concat(F.lit("_phi_"), F.col("of").cast("string"))).otherwise(F.concat(F.lit("_"), at.cast("string"))))
 
 
-def renamed(spark: SparkSession, facts: dict[str, DataFrame], uses: DataFrame) -> dict[str, DataFrame]:
+def renamed(spark: SparkSession, facts: dict[str, DataFrame], uses: DataFrame, wanted: tuple[str, ...] = ("Definition", "Use", "Phi", "PhiArgument")) -> dict[str, DataFrame]:
     """From the facts of control flow with assigns (m, i, v), and uses (m, i, v): Definition and Use (m, i, v, name), Phi (m, b, v, name) and PhiArgument (m, b, v, p, name).
 
-    Code that can't be reached has no names. A method's instructions have numbers from 0 on.
+    Code that can't be reached has no names. A method's instructions have numbers from 0 on. Only the wanted ones are made, where
+    their methods are.
     """
-    run = Engine(spark, X.SSA, facts).run("Dominates", "Parent", "Phi", "BlockOf", "BlockSuccessor", "reaches", "assigns")
+    engine = Engine(spark, X.SSA, facts, keyed=True)
+    run = engine.run("Dominates", "Parent", "Phi", "BlockOf", "BlockSuccessor", "reaches", "assigns")
     block = run["BlockOf"].withColumnRenamed("head", "b").join(run["reaches"], ["m", "b"])
     spans = intervals(run["Dominates"].join(run["reaches"], ["m", "b"]), run["Parent"])
     own = run["assigns"].join(block, ["m", "i"]).select("m", "v", "b", F.col("i").alias("at"))
@@ -65,12 +67,14 @@ def renamed(spark: SparkSession, facts: dict[str, DataFrame], uses: DataFrame) -
     edges = run["BlockSuccessor"].select("m", F.col("a").alias("p"), "b").join(run["reaches"].withColumnRenamed("b", "p"), ["m", "p"])
     ends = phis.select("m", "v", F.col("b").alias("to")).join(edges.withColumnRenamed("b", "to"), ["m", "to"])
     ends = reaching(ends.select("m", "v", F.col("p").alias("b"), F.lit(LAST).cast("long").alias("i"), "to"), every, spans)
-    return {
+    made = {
         "Definition": own.select("m", F.col("at").alias("i"), "v", F.concat("v", F.lit("_"), F.col("at").cast("string")).alias("name")),
         "Use": used.select("m", "i", "v", name().alias("name")),
         "Phi": phis.select("m", "b", "v", F.concat("v", F.lit("_phi_"), F.col("b").cast("string")).alias("name")),
         "PhiArgument": ends.select("m", F.col("to").alias("b"), "v", F.col("b").alias("p"), name().alias("name")),
     }
+    with engine.by_key():
+        return {n: Stored(spark, n, made[n].schema).write(made[n])[0] for n in wanted}
 
 
 def rewritten(facts: DataFrame, names: dict[str, DataFrame], method: str, place: str, defines: str | None = None, uses: tuple[str, ...] = ()) -> DataFrame:
