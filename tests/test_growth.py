@@ -8,7 +8,7 @@ from tests.test_clients import run
 from tuplewright.operators import idioms, recursive
 from tuplewright.plans import clients as C
 from tuplewright.plans import extensions as X
-from tuplewright.plans.engine import Engine, Stored
+from tuplewright.plans.engine import BROADCAST_BYTES, Engine, Stored
 from tuplewright.plans.language import RuleError
 
 
@@ -105,7 +105,7 @@ def test_keyed_programs_deal_facts_once(spark, monkeypatch):
     put = Stored._put
     monkeypatch.setattr(Stored, "_put", lambda self, df, path, seen=None: (plans.append((path, df)), put(self, df, path, seen))[1])
     keyed = Engine(spark, X.SSA, given, keyed=True)
-    with keyed.by_key():
+    with keyed.running():
         found = keyed.run("Dominates", "PhiArgument", "Phi")
         derived = [df for path, df in plans if not any(f"/{n}-" in path for n in given)]
         assert len(derived) > 20 and not any("Exchange" in df.repartition(3, df.columns[0])._jdf.queryExecution().executedPlan().toString() for df in derived)
@@ -145,3 +145,17 @@ def test_an_aggregate_of_one_relation_is_one_grouping(spark):
     body = engine._rule(engine.program.rules[0], {"N"}, None, None)
     assert body._jdf.queryExecution().analyzed().toString().count("Join") == 1
     assert sorted(map(tuple, engine.run("N")["N"].collect())) == [(1, 2), (2, 1)]
+
+
+def test_relations_are_not_broadcast_at_length(spark):
+    """While rules run, joins broadcast at most BROADCAST_BYTES, or what the session allows if that is less; afterwards the session is as it was."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    rules = ".decl e(a: number, b: number) .decl p(a: number, b: number) p(x, y) :- e(x, y). p(x, z) :- p(x, y), e(y, z)."
+    before, seen = spark.conf.get(key), []
+    for allowed, want in ((before, BROADCAST_BYTES), ("-1", -1)):
+        spark.conf.set(key, allowed)
+        engine = Engine(spark, rules, {"e": spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")})
+        engine.on_delta = lambda *_: seen.append(int(spark.conf.get(key)))
+        assert engine.run("p")["p"].count() == 3 and set(seen) == {want} and spark.conf.get(key) == allowed
+        seen.clear()
+    spark.conf.set(key, before)

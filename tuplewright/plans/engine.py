@@ -50,6 +50,8 @@ BY_KEY = {
     "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
 }
+#: the most bytes of a relation that a join broadcasts: each goes through the driver, in every round, and is several times larger there
+BROADCAST_BYTES = 1 << 20
 
 
 @contextmanager
@@ -738,9 +740,12 @@ class Engine(Compiler):
         most = max(200, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         return int(min(max(1, max(sizes, default=0) // BUCKET_BYTES), most))
 
-    def by_key(self):
-        """The session's settings while a keyed program runs."""
-        return settings(self.spark, BY_KEY if self.keyed else {})
+    def running(self):
+        """The session's settings while a program runs."""
+        if self.keyed:
+            return settings(self.spark, BY_KEY)
+        most = min(BROADCAST_BYTES, self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+        return settings(self.spark, {"spark.sql.autoBroadcastJoinThreshold": str(most)})
 
     def _store(self, name: str, schema: T.StructType) -> Stored:
         return Stored(self.spark, name, schema, self.buckets if self.program.relations[name].columns else 0)
@@ -905,7 +910,7 @@ class Engine(Compiler):
 
     def run(self, *wanted: str) -> Result:
         """Evaluates what the wanted relations need (by default the outputs, or else everything)."""
-        with self.by_key():
+        with self.running():
             return self._run(*wanted)
 
     def _run(self, *wanted: str) -> Result:
@@ -938,7 +943,7 @@ class Engine(Compiler):
 
     def insert(self, name: str, rows: DataFrame) -> dict[str, int]:
         """Adds facts after a run and derives what follows. Relations that negate or aggregate anything that changed are evaluated anew."""
-        with self.by_key():
+        with self.running():
             return self._insert(name, rows)
 
     def _insert(self, name: str, rows: DataFrame) -> dict[str, int]:
@@ -1019,7 +1024,7 @@ class Engine(Compiler):
         semi-naive rounds from the suspects alone. Strata that negate or aggregate a relation with suspects, those with
         choices, and what depends on them are evaluated anew.
         """
-        with self.by_key():
+        with self.running():
             return self._delete(name, rows)
 
     def _delete(self, name: str, rows: DataFrame) -> dict[str, int]:

@@ -73,7 +73,7 @@ def renamed(spark: SparkSession, facts: dict[str, DataFrame], uses: DataFrame, w
         "Phi": phis.select("m", "b", "v", F.concat("v", F.lit("_phi_"), F.col("b").cast("string")).alias("name")),
         "PhiArgument": ends.select("m", F.col("to").alias("b"), "v", F.col("b").alias("p"), name().alias("name")),
     }
-    with engine.by_key():
+    with engine.running():
         return {n: Stored(spark, n, made[n].schema).write(made[n])[0] for n in wanted}
 
 
