@@ -60,6 +60,29 @@ def test_small_sets_at_the_threshold(spark):
     assert sorted(map(tuple, H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
 
 
+def test_pairs_below_the_threshold_stay_in_their_bucket(spark, monkeypatch):
+    """A group of texts at 0.74 of each other: its pairs pass the registers' tests, and aren't made into rows."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        text = [f"w{j}" for j in range(204)]
+        for at in rng.sample(range(4, 200, 6), 3):
+            text[at] = f"own{i}-{at}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, rows[i][1] + " end") for i in range(20)]
+    made, likely = [], H.likely
+
+    def counted(pairs, classes):
+        made.append(pairs.count())
+        return likely(pairs, classes)
+
+    monkeypatch.setattr(H, "likely", counted)
+    want, links = brute(rows)
+    assert links >= 20
+    assert sorted(map(tuple, H.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == want
+    assert made[1] < 4 * len(rows)
+
+
 def test_estimate_and_bounds():
     rng = np.random.default_rng(5)
     unlike = []

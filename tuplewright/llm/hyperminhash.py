@@ -19,7 +19,8 @@ How it is distributed.
 * A band's key with one class is dropped. Before registers are joined, members of a bucket are compared by two bits of
   each register, 32 bytes a set, which unlike sets differ in too often: FAR bits or fewer pass.
 * First round: buckets of up to SMALL members give all pairs, of a larger one each member its nearest within tiles of TILE
-  members; confirmed links make components. Second round: of larger buckets all pairs between different components, in pairs of tiles.
+  members; confirmed links make components. Second round: of larger buckets all pairs between different components, in pairs of tiles,
+  but for those that the sets' parity sketches (shingles.py) exclude for certain, which most of the pairs below the threshold are.
   So a group of near copies does not give its square of pairs, and no bucket is gathered in one task; no candidate is left out.
 * Whole sets are built from the texts of candidates that pass, and compared by joins.
 
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tuplewright.llm.common import bounded, by_bytes, documents, join_hot, saved, texts
-from tuplewright.llm.shingles import hashed
+from tuplewright.llm.shingles import SKETCH_BYTES, folded, hashed, sketch, within
 from tuplewright.llm.simhash import components
 
 NUM, DEN = 17, 20
@@ -91,26 +92,29 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(1) - by_chance) / (1 - by_chance)
 
 
-MARKED = "doc_id long, h long, h2 long, digest binary, n long, regs binary"
+MARKED = "doc_id long, h long, h2 long, digest binary, n long, regs binary, sketch binary"
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """For each row doc_id, the text's hashes, its set's digest and size, and, with the first of a task's equal sets only, registers."""
+    """For each row doc_id, the text's hashes, its set's digest and size, and, with the first of a task's equal sets only, registers and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         seen: set[bytes] = set()
         for batch in by_bytes(batches):
-            digests, sizes, regs = [], [], []
+            digests, sizes, regs, sketches = [], [], [], []
             for t in texts(batch):
                 h = np.unique(hashed(t))
                 digest = xxh3_128_digest(h.tobytes())
                 digests.append(digest)
                 sizes.append(len(h))
-                regs.append(registers(h).tobytes() if len(h) and digest not in seen else None)
+                new = len(h) > 0 and digest not in seen
                 seen.add(digest)
-            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())]
+                regs.append(registers(h).tobytes() if new else None)
+                bitmap = sketch(h.view(np.int64)) if new else None
+                sketches.append(folded(bitmap, min(len(bitmap), SKETCH_BYTES)).tobytes() if new else None)
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary()), pa.array(sketches, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in MARKED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *text_hashes("text")).mapInArrow(run, MARKED)
@@ -122,7 +126,7 @@ def text_hashes(column: str) -> list:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row for each set that isn't empty: its number cls, digest, least doc_id, copies, size, one text's hashes, registers and their short form."""
+    """One row for each set that isn't empty: its number cls, digest, least doc_id, copies, size, one text's hashes, registers and their short form, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,9 +134,9 @@ def classes_of(rows: DataFrame) -> DataFrame:
             bits = np.array([short(r) for r in regs], np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(bits[:, i].copy()) for i in range(4))], [*batch.schema.names, *BITS])
 
-    one = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min(F.struct("h", "h2")).alias("t"), F.max("regs").alias("regs"))
-    one = one.select("digest", "rep", "copies", "n", "t.h", "t.h2", "regs")
-    schema = "digest binary, rep long, copies long, n long, h long, h2 long, regs binary, " + ", ".join(f"{b} long" for b in BITS)
+    one = rows.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.min(F.struct("h", "h2")).alias("t"), F.max("regs").alias("regs"), F.max("sketch").alias("sketch"))
+    one = one.select("digest", "rep", "copies", "n", "t.h", "t.h2", "regs", "sketch")
+    schema = "digest binary, rep long, copies long, n long, h long, h2 long, regs binary, sketch binary, " + ", ".join(f"{b} long" for b in BITS)
     return saved(one.mapInArrow(run, schema).withColumn("cls", F.monotonically_increasing_id()), "hmh-classes")
 
 
@@ -149,8 +153,8 @@ def fits(far: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (far <= FAR) & (NUM * n <= DEN * m) & (NUM * m <= DEN * n)
 
 
-def bucket(cls: np.ndarray, n: np.ndarray, bits: np.ndarray, part: np.ndarray, nearest: bool) -> np.ndarray:
-    """Pairs of a bucket's members (n ascending) in different parts that may be similar; nearest: for each member its nearest only."""
+def bucket(cls: np.ndarray, n: np.ndarray, bits: np.ndarray, part: np.ndarray, sketches: list[bytes] | None) -> np.ndarray:
+    """Pairs of a bucket's members (n ascending) in different parts that may be similar; without sketches: for each member its nearest only."""
     m, out = len(cls), [np.zeros((0, 2), np.int64)]
     if part.min() == part.max():
         return out[0]
@@ -165,9 +169,11 @@ def bucket(cls: np.ndarray, n: np.ndarray, bits: np.ndarray, part: np.ndarray, n
                 continue
             far = sum(np.bitwise_count(bits[rows, None, k] ^ bits[None, cols, k]).astype(np.int32) for k in range(4))
             ok &= fits(far, n[rows, None], n[None, cols])
-            if not nearest:
+            if sketches is not None:
                 i, j = np.nonzero(ok)
-                out.append(np.stack([cls[i + a], cls[j + b]], 1))
+                i, j = i + a, j + b
+                found = within(i, j, n, sketches, NUM, DEN)
+                out.append(np.stack([cls[i[found]], cls[j[found]]], 1))
                 continue
             far = np.where(ok, far, 1 << 30)
             for ids, other, d in ((rows, b, far), (cols, a, far.T)):
@@ -176,14 +182,15 @@ def bucket(cls: np.ndarray, n: np.ndarray, bits: np.ndarray, part: np.ndarray, n
                 better = low < best[ids]
                 of[ids] = np.where(better, at + other, of[ids])
                 best[ids] = np.where(better, low, best[ids])
-    if nearest:
+    if sketches is None:
         i = np.flatnonzero(of >= 0)
         out.append(np.stack([cls[i], cls[of[i]]], 1))
     return np.concatenate(out)
 
 
 def proposed(live: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
-    """Distinct pairs a < b in one bucket and tile that may be similar and are in different parts. live: key, tile, cls; sets: cls, n, bits, part."""
+    """Distinct pairs a < b in one bucket and tile that may be similar and are in different parts. live: key, tile, cls; sets: cls, n, bits, part, and sketch unless nearest."""
+    names = ["key", "tile", "cls", "n", *BITS, "part"] + ["sketch"] * (not nearest)
 
     def pairs(cols: list[np.ndarray]) -> pa.RecordBatch:
         key, tile, cls, n, part = (cols[i] for i in (0, 1, 2, 3, 8))
@@ -199,7 +206,7 @@ def proposed(live: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
             ok = fits(np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64), n[i], n[j]) & (part[i] != part[j])
             out.append(np.stack([cls[i[ok]], cls[j[ok]]], 1))
         for a, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-            out.append(bucket(cls[a : a + size], n[a : a + size], bits[a : a + size], part[a : a + size], nearest))
+            out.append(bucket(cls[a : a + size], n[a : a + size], bits[a : a + size], part[a : a + size], None if nearest else cols[9][a : a + size].tolist()))
         both = np.unique(np.sort(np.concatenate(out), 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
@@ -208,7 +215,7 @@ def proposed(live: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([c.to_numpy() for c in batch.columns])
+            held.append([batch.column(i).to_numpy(zero_copy_only=names[i] != "sketch") for i in range(len(names))])
             if held[0][0][0] == held[-1][0][-1] and held[0][1][0] == held[-1][1][-1]:
                 continue  # one tile so far
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -218,7 +225,7 @@ def proposed(live: DataFrame, sets: DataFrame, nearest: bool) -> DataFrame:
         if held:
             yield pairs([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    rows = live.join(sets, "cls").select("key", "tile", "cls", "n", *BITS, "part")
+    rows = live.join(sets, "cls").select(*names)
     return rows.repartition("key", "tile").sortWithinPartitions("key", "tile", "n", "cls").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -273,7 +280,7 @@ def linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = saved(likely(proposed(dealt(live), sets.withColumn("part", F.col("cls")), True), classes), "hmh-nearest")
     links = saved(confirmed(docs, classes, first), "hmh-links")
     parts = saved(components(links), "hmh-parts")
-    joined = saved(sets.join(parts, sets.cls == parts.node, "left").select("cls", "n", *BITS, F.coalesce("root", "cls").alias("part")), "hmh-sets-parts")
+    joined = saved(classes.join(parts, classes.cls == parts.node, "left").select("cls", "n", *BITS, "sketch", F.coalesce("root", "cls").alias("part")), "hmh-sets-parts")
     second = saved(likely(proposed(crossed(live, joined), joined, False).join(first, ["a", "b"], "left_anti"), classes), "hmh-others")
     if second.isEmpty():
         return parts

@@ -172,8 +172,8 @@ def buckets(rows: DataFrame) -> DataFrame:
     return rare.unionByName(often.join(counts, "key")).where("least <> most").select("key", "cls", "of")
 
 
-def within(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> np.ndarray:
-    """Which of the pairs i, j the members' sketches don't exclude."""
+def within(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: list[bytes], num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Which of the pairs i, j the members' sketches don't exclude at a similarity of num/den."""
     ok, sizes = np.ones(len(i), bool), np.array([len(s) for s in sketches])
     size = np.minimum(sizes[i], sizes[j])
     for k in np.unique(size).tolist():
@@ -184,7 +184,7 @@ def within(i: np.ndarray, j: np.ndarray, n: np.ndarray, sketches: list[bytes]) -
         for a in range(0, len(at), 4096):
             x, y = i[at[a : a + 4096]], j[at[a : a + 4096]]
             far = np.bitwise_count(flat[place[x]] ^ flat[place[y]]).sum(1, dtype=np.int64)
-            ok[at[a : a + 4096]] = (DEN + NUM) * far <= (DEN - NUM) * (n[x] + n[y])
+            ok[at[a : a + 4096]] = (den + num) * far <= (den - num) * (n[x] + n[y])
     return ok
 
 
