@@ -114,3 +114,23 @@ def test_repeated_rows_are_learnt_from_once(spark):
     once = toxicity.fitted(docs.distinct(), labels.distinct())
     again = toxicity.fitted(docs, labels)
     assert (once.words == again.words).all() and np.allclose(once.fit, again.fit) and np.allclose(once.unigram, again.unigram)
+
+
+def test_texts_and_counting_stay_off_the_driver(spark, monkeypatch):
+    """The fit from Spark's counts is the plain one; it calls neither the plain counting nor word_hashes on the driver."""
+    rng = random.Random(7)
+    docs = corpus(300, 6) + [("", 0), ("alone", 1), ("two words", 0)]
+    docs += [(" ".join(rng.choices("abcdefghijklmnopqrstuvwx", weights=range(24) if i % 2 else None, k=80)), i % 2) for i in range(100)]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(docs)], "doc_id long, toxic int")
+    folds = spark.sql("select id, pmod(shiftright(xxhash64(cast(id as string)), 7), 3) f from range(403) where crc32(cast(id as string)) % 4 <> 2").collect()
+    plain = toxicity.train([(r.f, docs[r.id][1], docs[r.id][0]) for r in folds], sum(docs[r.id][1] for r in folds) / len(folds))
+
+    def refused(*_):
+        raise AssertionError("texts on the driver")
+
+    monkeypatch.setattr(toxicity.ClassModels, "__init__", refused)
+    got = toxicity.fitted(rows, labels)
+    for name in ("words", "unigram", "back", "pairs", "pair_ratio"):
+        assert len(getattr(got, name)) and np.array_equal(getattr(got, name), getattr(plain, name)), name
+    assert got.unknown == plain.unknown and np.allclose(got.fit, plain.fit) and got.fit[1:].any()

@@ -19,7 +19,8 @@ out). A logistic fit over these, on texts that the counts have not seen, turns t
 
 Training uses at most ``SAMPLE`` labelled texts of each class, those of least hash of their id; the bound
 is a parameter. The fit is made on a third of the sample with counts from the other two, the counts that
-score are of the whole sample; all on the driver, from these texts alone. Where a class has none, every score is the share of label 1 in the sample.
+score are of the whole sample. Spark counts: distinct contexts of each pair, then sums for each word; the third's features are made in tasks. The
+driver gets a row of sums for each word, the pairs that pass the discount and the features, no text. Where a class has none, every score is the share of label 1 in the sample.
 Texts are scored in one map with the model as a broadcast value, whose size the sample bounds: a hash
 and a log ratio for each word and for each pair that passed the discount.
 
@@ -37,11 +38,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tuplewright.llm.common import by_bytes, doc_crc, documents, texts
+from tuplewright.llm.common import by_bytes, doc_crc, documents, saved, texts
 
 SAMPLE = 4500
 WINDOWS = (3, 6, 12, 40)
@@ -98,7 +99,6 @@ class ClassModels:
             codes.append(code)
             contexts.append(count.astype(np.int32))
         cont = [np.bincount(c % max(size, 1), minlength=size) for c in codes]
-        shared = 1 / (size + 1)
         either = np.unique(np.concatenate(codes))
         group, word = (either // max(size, 1)).astype(np.int32), (either % max(size, 1)).astype(np.int32)
         seen = []
@@ -107,19 +107,39 @@ class ClassModels:
             seen[c][np.searchsorted(either, codes[c])] = contexts[c]
         del codes, contexts, either
         keep = np.maximum(*seen) > PAIR_DISCOUNT  # the others have the value of the lower level
-        uni, taken, back, p = [], [], [], []
+        total, off = ([np.bincount(group, x, minlength=size) for x in of] for of in (seen, [np.minimum(x, PAIR_DISCOUNT) for x in seen]))
+        self._ratios(cont, total, off, group[keep], word[keep], [x[keep] for x in seen])
+
+    @classmethod
+    def of_counts(cls, words: pa.Table, pairs: pa.Table, which: str) -> ClassModels:
+        """The same from the tables of ``counts``. which: every or part."""
+        words = words.filter(pc.greater(words.column(f"{which}_has"), 0))
+        column = lambda t, c: t.column(c).to_numpy()
+        known = column(words, "word").view(np.uint64)
+        order = np.argsort(known)
+        by_class = lambda t, c, at: [column(t, f"{which}_{c}_{i}")[at] for i in (0, 1)]
+        model = cls.__new__(cls)
+        model.words = known[order]
+        seen = by_class(pairs, "seen", slice(None))
+        keep = np.maximum(*seen) > PAIR_DISCOUNT
+        group, word = (np.searchsorted(model.words, column(pairs, c).view(np.uint64)[keep]) for c in ("v", "w"))
+        model._ratios(*(by_class(words, c, order) for c in ("cont", "total", "off")), group, word, [x[keep] for x in seen])
+        return model
+
+    def _ratios(self, cont: list[np.ndarray], total: list[np.ndarray], off: list[np.ndarray], group: np.ndarray, word: np.ndarray, seen: list[np.ndarray]) -> None:
+        """By class, for each word: words before it, contexts of pairs that it begins, and how many of these are taken off; for each pair kept, its words' places and contexts."""
+        size, uni, taken, back, p = len(self.words), [], [], [], []
+        shared = 1 / (size + 1)
         for c in (0, 1):
-            share, off = kneser_ney(cont[c], np.zeros(size, np.int64), 1, discount(cont[c]))
-            uni.append(share + off[0] * shared)
-            taken.append(off[0])
-            share, off = kneser_ney(seen[c], group, size, PAIR_DISCOUNT)
-            back.append(off)
-            p.append(share[keep] + off[group[keep]] * uni[c][word[keep]])
-            del share
+            share, rest = kneser_ney(cont[c], np.zeros(size, np.int64), 1, discount(cont[c]))
+            uni.append(share + rest[0] * shared)
+            taken.append(rest[0])
+            back.append(np.where(total[c] > 0, off[c] / np.maximum(total[c], 1), 1.0))
+            p.append((seen[c] - np.minimum(seen[c], PAIR_DISCOUNT)) / np.maximum(total[c], 1)[group] + back[c][group] * uni[c][word])
         self.unknown = np.float32(np.log(taken[1] / taken[0]))
         self.unigram = np.log(uni[1] / uni[0]).astype(np.float32)
         self.back = np.log(np.maximum(back[1], 1e-9) / np.maximum(back[0], 1e-9)).astype(np.float32)
-        keys = pairs_of(np.stack([self.words[group[keep]], self.words[word[keep]]]))[0]
+        keys = pairs_of(np.stack([self.words[group], self.words[word]]))[0]
         order = np.argsort(keys)
         self.pairs, self.pair_ratio = keys[order], np.log(p[1] / p[0])[order].astype(np.float32)
         self.fit = np.zeros(2 + len(WINDOWS))
@@ -176,23 +196,64 @@ def train(rows: list[tuple[int, int, str | np.ndarray]], share: float) -> ClassM
     held = [(y, part.features(w)) for f, y, w in hashed if f == 2]
     del part
     model = ClassModels(pick(lambda f: True))
-    y = np.array([a for a, _ in held], float)
+    return calibrated(model, [a for a, _ in held], [b for _, b in held], share, all(pick(lambda f: f < 2)))
+
+
+def calibrated(model: ClassModels, labels: list[int], features: list[list[float]], share: float, both: bool) -> ClassModels:
+    """The model with its fit. both: whether the counts behind the features have texts of both classes."""
+    y = np.array(labels, float)
     share = min(max(share, 1e-6), 1 - 1e-6)
-    if 0 < y.sum() < len(y) and all(pick(lambda f: f < 2)):
-        model.fit = logistic(np.array([b for _, b in held]), y)
+    if 0 < y.sum() < len(y) and both:
+        model.fit = logistic(np.array(features), y)
         model.fit[0] += np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     else:
         model.fit[0] = np.log(share / (1 - share))
     return model
 
 
+def counts(rows: DataFrame) -> tuple[pa.Table, pa.Table]:
+    """What ClassModels.of_counts takes, of rows toxic, f, text: sums for each word, and the pairs that are in more than PAIR_DISCOUNT contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            words = [word_hashes(t).view(np.int64) for t in texts(batch)]
+            sizes = [len(w) for w in words]
+            at = np.concatenate([np.zeros(0, np.int64), *map(np.arange, sizes)])
+            w = np.concatenate([np.zeros(0, np.int64), *words])
+            before = [pa.array(np.roll(w, k), mask=at < k) for k in (1, 2)]
+            toxic, f = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("toxic", "f"))
+            yield pa.RecordBatch.from_arrays([pa.array(toxic), pa.array((f < 2).astype(np.int32)), before[0], pa.array(w), before[1]], ["toxic", "part", "v", "w", "before"])
+
+    places = rows.select("toxic", "f", "text").mapInArrow(run, "toxic int, part int, v long, w long, before long").repartition("v", "w")
+    of_context = places.groupBy("toxic", "v", "w", "before").agg(F.max("part").alias("part"))
+    pairs = saved(of_context.groupBy("toxic", "v", "w").agg(F.count("*").alias("every"), F.sum("part").alias("part")), "toxicity-pairs")
+    zero, real = F.lit(0).cast("long"), F.col("v").isNotNull()
+
+    def sums(word: str, cont: bool) -> DataFrame:
+        columns = []
+        for m in ("every", "part"):
+            columns.append((F.col(m) if cont else zero).alias(f"{m}_has"))
+            for c in (0, 1):
+                mine = lambda x, c=c: F.when(real & (F.col("toxic") == c), x).otherwise(zero)
+                columns.append(mine((F.col(m) > 0).cast("long") if cont else zero).alias(f"{m}_cont_{c}"))
+                columns.append(mine(zero if cont else F.col(m)).alias(f"{m}_total_{c}"))
+                columns.append(mine(zero if cont else F.least(F.col(m), F.lit(int(PAIR_DISCOUNT)))).alias(f"{m}_off_{c}"))
+        return pairs.where(F.col(word).isNotNull()).select(F.col(word).alias("word"), *columns)
+
+    rows = sums("w", True).unionByName(sums("v", False))
+    words = rows.groupBy("word").agg(*(F.sum(c).cast("int").alias(c) for c in rows.columns[1:]))
+    seen = [F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col(m))), zero).alias(f"{m}_seen_{c}") for m in ("every", "part") for c in (0, 1)]
+    common = pairs.where(real).groupBy("v", "w").agg(*seen).where(F.greatest("every_seen_0", "every_seen_1") > PAIR_DISCOUNT)
+    return words.toArrow(), common.toArrow()
+
+
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ClassModels:
     """Counts and fit from at most ``sample`` texts of each class, outside the held-out fold."""
     crc = doc_crc()
     named = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)")
     mine = named.withColumn("doc_id", F.col("_id")).where(crc % 4 != HELD_OUT).withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    counts = {r[0]: r[1] for r in mine.groupBy("toxic").count().collect()}
-    if not counts:
+    labelled = {r[0]: r[1] for r in mine.groupBy("toxic").count().collect()}
+    if not labelled:
         return train([], 0.0)
     chosen = [mine.where(F.col("toxic") == c).select("_id", "toxic", "h").distinct().orderBy("h", "_id").limit(sample) for c in (0, 1)]
     keys = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
@@ -200,17 +261,23 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ClassMod
     fold = F.pmod(F.shiftright("h", 7), F.lit(3)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("text")).join(keys, "_id").select("_id", "toxic", fold.alias("f"), "text").distinct()
 
+    rows = saved(rows, "toxicity-sample")
+    folds = {(r.toxic, r.f) for r in rows.select("toxic", "f").distinct().collect()}
+    words, pairs = counts(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(ClassModels.of_counts(words, pairs, "part"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
+        part = shared.value
         for batch in by_bytes(batches):
-            packed = [pack(t.encode()) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(4), pa.array(packed, pa.binary())], ["_id", "toxic", "f", "text_hash", "packed"])
-
-    found = rows.select("*", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "_id long, toxic int, f int, text_hash long, packed binary").toArrow()
-    found = found.sort_by([(c, "ascending") for c in ("_id", "toxic", "text_hash")])
-    expand = zstandard.ZstdDecompressor().decompress
-    words = [word_hashes(expand(x).decode()) for x in found.column("packed").to_pylist()]
-    return train(list(zip(found.column("f").to_pylist(), found.column("toxic").to_pylist(), words, strict=True)), counts.get(1, 0) / sum(counts.values()))
+            found = pa.array([part.features(word_hashes(t)) for t in texts(batch)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in order), found], [*order, "features"])
+
+    order = ("_id", "toxic", "text_hash")
+    held = rows.where("f = 2").select("_id", "toxic", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "_id long, toxic int, text_hash long, features array<double>").toArrow()
+    held = held.sort_by([(c, "ascending") for c in order])
+    both = all(any((c, f) in folds for f in (0, 1)) for c in (0, 1))
+    share = labelled.get(1, 0) / sum(labelled.values())
+    return calibrated(ClassModels.of_counts(words, pairs, "every"), held.column("toxic").to_pylist(), held.column("features").to_pylist(), share, both)
 
 
 def scored(docs: DataFrame, model: ClassModels, extra: list[str] | None = None) -> DataFrame:
