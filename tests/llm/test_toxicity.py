@@ -117,7 +117,7 @@ def test_repeated_rows_are_learnt_from_once(spark):
 
 
 def test_texts_and_counting_stay_off_the_driver(spark, monkeypatch):
-    """The fit from Spark's counts is the plain one; it calls neither the plain counting nor word_hashes on the driver."""
+    """The fit from Spark's counts is the plain one, and nothing is counted from texts on the driver."""
     rng = random.Random(7)
     docs = corpus(300, 6) + [("", 0), ("alone", 1), ("two words", 0)]
     docs += [(" ".join(rng.choices("abcdefghijklmnopqrstuvwx", weights=range(24) if i % 2 else None, k=80)), i % 2) for i in range(100)]
