@@ -126,3 +126,19 @@ def test_few_blocks_to_a_file(spark, monkeypatch):
     aligned = dict(made)["aligned"]
     most = aligned.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert aligned.count() > 8 and most <= 4
+
+
+def test_a_unit_is_aligned_once_a_task(spark, monkeypatch):
+    """Not once a block, and a row each; where units are counted anew, and they are several times, results are the same."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(ODD + ["words", "of", "all", "texts"], k=30))) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    of = (P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN)
+    units = {u for _, text in rows if alignment.MARK not in text for u in alignment.tokens(*of).units(text)}
+    made = alignment.tokenised(docs, *of, most=300)
+    assert made.select("block").distinct().count() > 8
+    assert made.where("a is not null").count() == len(units)
+    monkeypatch.setattr(alignment, "UNITS_HELD", 60)
+    anew = alignment.tokenised(docs, *of, most=300).where("held = 0")
+    assert anew.select("block").distinct().count() > 3
+    assert sorted(map(tuple, alignment.align(docs, most=300).collect()), key=str) == brute(rows)
