@@ -29,6 +29,43 @@ def test_pairs_are_made_once(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
 
 
+def joined(plan) -> int:
+    """Rows that the joins of a plan that ran have made."""
+    name, inner = plan.nodeName(), None
+    if name == "AdaptiveSparkPlan":
+        inner = plan.executedPlan()
+    elif "QueryStage" in name:
+        inner = plan.plan()
+    below = [inner] if inner else [plan.children().apply(i) for i in range(plan.children().size())]
+    return (plan.metrics().apply("numOutputRows").value() if "Join" in name else 0) + sum(map(joined, below))
+
+
+def test_no_join_makes_the_pairs(spark, monkeypatch):
+    """200 items of one key and some of others, in shares of about 50: 19900 pairs and more, of which joins make none; those of a second key are left out."""
+    monkeypatch.setattr(idioms, "SHARE", 50)
+    rng = random.Random(6)
+    given = [(0, i) for i in range(200)] + [(rng.randint(1, 30), rng.randint(0, 230)) for _ in range(900)]
+    df = idioms.pairs(spark.createDataFrame(given, "k int, i long"), ["k"], "i")
+    got = [tuple(r) for r in df.collect()]
+    groups = [{i for k, i in given if k == g} for g in range(31)]
+    want = {(a, b) for g in groups for a in g for b in g if a < b}
+    assert len(got) == len(want) > 19900 and set(got) == want
+    assert joined(df._jdf.queryExecution().executedPlan()) < 2500
+
+
+def test_pairs_of_items_with_many_keys(spark, monkeypatch):
+    """Up to 60 keys an item, more than a sketch tells apart: a group is cut by the keys that its items bring as well."""
+    monkeypatch.setattr(idioms, "SHARE", 20)
+    rng = random.Random(7)
+    given = [(rng.randint(0, 150), f"i{i}") for i in range(40) for _ in range(rng.choice((1, 5, 60)))]
+    got = [tuple(r) for r in idioms.pairs(spark.createDataFrame(given, "k int, i string"), ["k"], "i").collect()]
+    groups = {}
+    for k, i in given:
+        groups.setdefault(k, set()).add(i)
+    want = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_shadowing_joins_no_fields_by_name_alone(spark):
     """Sixty classes, each with one field of the same name: a join by name alone makes 3600 rows."""
     field = spark.createDataFrame([(f"f{i}", "n", f"T{i}") for i in range(60)], "f string, name string, t string")

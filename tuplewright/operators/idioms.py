@@ -31,8 +31,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: keys that an item of a pair brings along, and items of a group that a task pairs with the others
-MOST_KEYS, SHARE = 64, 2000
+#: keys that an item of a pair brings along; items of a group that a row pairs with others, and keys for each of these that they bring on
+#: average; items whose pairs are made between two looks at whether the rows made are wanted, which hold them till then
+MOST_KEYS, SHARE, KEYS_EACH, TILE = 64, 2000, 8, 128
 
 
 def pairs(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -43,16 +44,45 @@ def pairs(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
     """
     given = rows.dropna(subset=[*keys, item]).select(F.struct(*keys).alias("k"), F.col(item).alias("x"))
     own = given.groupBy("x").agg(F.sort_array(F.collect_set("k")).alias("of"))
-    own = own.select("x", F.explode("of").alias("k"), F.when(F.size("of") <= MOST_KEYS, F.col("of")).alias("of"))
-    shares = own.groupBy("k").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-    own = own.join(shares, "k")
-    left = own.select("k", F.pmod(F.xxhash64("x"), "shares").alias("share"), F.col("x").alias("a"), F.col("of").alias("of_a"))
-    right = own.select("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("x").alias("b"), F.col("of").alias("of_b"))
-    first = (F.size("of_a") == 1) | (F.size("of_b") == 1) | (F.array_min(F.array_intersect("of_a", "of_b")) == F.col("k"))
-    light = left.where("of_a is not null").join(right.where("of_b is not null"), ["k", "share"]).where(F.col("a") < F.col("b")).where(first).select("a", "b")
+    own = own.select("x", "of", (F.size("of") > MOST_KEYS).alias("heavy"), F.posexplode("of").alias("at", "k"))
+    own = own.select("k", "x", "heavy", F.when(F.col("heavy"), F.slice("of", 1, 0)).otherwise(F.slice("of", 1, F.col("at"))).alias("before"))
+    load = F.greatest(F.count("*"), F.sum(F.size("before")) / KEYS_EACH)
+    own = own.join(own.groupBy("k").agg(F.ceil(load / SHARE).alias("shares")), "k").withColumn("share", F.pmod(F.xxhash64("x"), "shares"))
+    own = own.withColumn("all", F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))
+    left = own.where("heavy").select("k", "share", F.col("x").alias("a"))
+    right = own.select("k", F.explode("all").alias("share"), F.col("x").alias("b"))
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    heavy = left.where("of_a is null").join(right, ["k", "share"]).where("a <> b").select(*ordered).distinct()
-    return light.unionByName(heavy)
+    heavy = left.join(right, ["k", "share"]).where("a <> b").select(*ordered).distinct()
+    return light_pairs(own.where("not heavy").select("k", "x", "before", "share", F.explode("all").alias("other"))).unionByName(heavy)
+
+
+def light_pairs(own: DataFrame) -> DataFrame:
+    """Of items that bring the keys before k, the pairs that share k and none of these.
+
+    Each two shares, and each one with itself, meet in one row, which is cut into tiles, and loops over a tile's arrays make the pairs: a
+    join would make each from two rows. A tile is a row of its own since generated code holds all that it makes of a row. The keys before
+    k are compared only where their sketches, a bit for each of them, have a bit in common.
+    """
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(k), F.lit(64)).cast("int"))
+    bits = F.aggregate("before", F.lit(0).cast("long"), lambda bits, k: bits.bitwiseOR(bit(k)))
+    unit = [F.col("k"), F.least("share", "other").alias("i"), F.greatest("share", "other").alias("j")]
+    units = own.select(*unit, F.struct((F.col("share") > F.col("other")).alias("second"), "x", bits.alias("bits"), "before").alias("one"))
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as rows that are few and short here make many pairs
+    units = units.repartition(parts, "k", "i", "j").groupBy("k", "i", "j").agg(F.sort_array(F.collect_list("one")).alias("m"))
+    second, same = F.filter("m", lambda one: one["second"]), F.col("i") == F.col("j")
+    units = units.select(same.alias("same"), F.filter("m", lambda one: ~one["second"]).alias("m"), F.when(same, F.col("m")).otherwise(second).alias("n"))
+    cut = lambda c: F.posexplode(F.transform(F.sequence(F.lit(0), F.ceil(F.greatest(F.size(c) / TILE - 1, F.lit(0))).cast("int")), lambda t: F.slice(c, t * TILE + 1, TILE)))
+    units = units.select("same", "n", cut("m").alias("row", "ms")).select("same", "ms", "row", cut("n").alias("column", "ns"))
+    only = lambda f, c: F.transform(c, lambda one: one[f]).alias(f"{f}_{c}")
+    fields = [only(f, c) for c in ("ms", "ns") for f in ("x", "bits", "before")]
+    units = units.where("not same or row <= column").select((F.col("same") & (F.col("row") == F.col("column"))).alias("same"), *fields)
+    upto = lambda low, high: F.explode(F.when(low < high, F.sequence(low, high - 1)))
+    at = lambda c, i: F.get(F.col(c), F.col(i))
+    units = units.withColumn("p", upto(F.lit(0), F.size("x_ms"))).withColumn("low", F.when(F.col("same"), F.col("p") + 1).otherwise(0))
+    units = units.select("x_ns", "bits_ns", "before_ns", "low", *(at(f"{f}_ms", "p").alias(f) for f in ("x", "bits", "before")))
+    units = units.withColumn("q", upto(F.col("low"), F.size("x_ns")))
+    apart = (F.col("bits").bitwiseAND(at("bits_ns", "q")) == 0) | ~F.arrays_overlap("before", at("before_ns", "q"))
+    return units.where(apart).select(F.least("x", at("x_ns", "q")).alias("a"), F.greatest("x", at("x_ns", "q")).alias("b"))
 
 
 # -- projections and filters
